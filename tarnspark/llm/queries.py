@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import token_files, warc
 from .byte_bpe import decode_documents, encode_documents
 from .chat import render_chats
 from .common import table
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .quality import judge_documents
-from .token_files import round_trip
+from .topk import top_k
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,11 +38,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("original.doc_id", *[f"verdict.{x}" for x in names], F.sha2("verdict.clean_text", 256).alias("clean_sha256"))
 
 
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    out = token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_chats(table(spark, sf_dir, "conversations"))
 
@@ -51,7 +61,9 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc_salvage": op7_warc_salvage,
     "op8_token_files": op8_token_files,
+    "op9_block_topk": op9_block_topk,
     "op10_chat_snapshots": op10_chat_snapshots,
 }
 
@@ -110,6 +122,25 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept, lost_chars, sha256(clean_text) AS clean_sha256
 FROM failed""",
+    "op7_warc_salvage": """
+WITH d AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM d
+), r AS (
+  SELECT *, first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM g
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first_id END AS refers_to FROM r""",
+    "op9_block_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+)
+SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s) WHERE rank <= 5""",
     "op10_chat_snapshots": r"""
 WITH t AS (
   SELECT DISTINCT conv_id, turn, role, text FROM conversations
