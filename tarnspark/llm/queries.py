@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .quality import judge_documents
+from .substring_dedup import dedup_substrings
 from .topk import top_k
 
 
@@ -33,6 +34,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("original.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(table(spark, sf_dir, "documents"), window=35)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -66,6 +72,7 @@ QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_minhash": op5_minhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_warc_salvage": op7_warc_salvage,
@@ -90,6 +97,22 @@ WITH l AS (
 SELECT any_value(k.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY row_id""",
+    "op4_substring_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT row_id, doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d
+), f AS (
+  SELECT row_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS h FROM w WHERE i + 34 <= len(ws)
+), r AS (
+  SELECT row_id, i, count(*) OVER (PARTITION BY h) > 1 AS again FROM f
+), c AS (
+  SELECT w.row_id, w.i, w.ws[w.i] AS word, coalesce(max(again::INT) OVER (PARTITION BY w.row_id ORDER BY w.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM w LEFT JOIN r ON r.row_id = w.row_id AND r.i = w.i
+), k AS (
+  SELECT row_id, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM c GROUP BY row_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (row_id)""",
     "op5_minhash": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
