@@ -6,8 +6,9 @@ reaches the threshold fall below a chosen miss probability. Survivors are verifi
 
 Buckets are never expanded into all pairs. First each class is verified with its best partner among the least members
 of its buckets, which joins most of a group; then buckets whose members still lie in several components are
-compared block by block, and each task returns a spanning forest of candidate links between components. That is repeated
-until no candidate between components is left, so links decide as if all candidates had been verified.
+compared block by block: pairs between components that survive are tried on hashed sets, and each task returns a spanning
+forest of links, which are verified in turn. That is repeated until no link between components is left, so links decide
+as if all candidates had been verified.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Signature hashes compared before each posterior test, and the odds below which a pair is pruned.
 BATCHES, MISS = (16, 32, 64, 128), 1e-8
+#: Members of a block of a bucket.
 BLOCK = 1024
+#: Shared shingles by which collisions of 32-bit hashes may hide a link.
+SLACK = 4
 REMEMBERED = 500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -198,18 +202,29 @@ def _star_tester(least: list[int], percent: int) -> Callable:
     return test
 
 
+def _small_sets(width: int):
+    """(node, small): the sorted distinct 32-bit hashes of a text's shingles."""
+
+    def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer(width)
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "small": [np.unique((signer.hashes(words_of(t)) >> _U(32)).astype(np.uint32)).tobytes() for t in batch["text"]]})
+
+    return small
+
+
 def _block_forest(least: list[int], percent: int) -> Callable:
-    """Of two blocks of a bucket: candidate links between components, a spanning forest of them, most equal hashes first."""
+    """Of blocks of buckets: links between components, a spanning forest of them. Pairs that survive the posterior tests are tried
+    on their small sets, most equal hashes first, with room for SLACK chance collisions. A pair that shares several
+    bands is tried in the first of them only."""
 
     def forest(group: pd.DataFrame) -> pd.DataFrame:
-        left = group[group["mine"] == group["i"]]
-        right = group[group["mine"] == group["j"]]
-        a, b = _sigs(left["sig"]), _sigs(right["sig"])
-        i, j, m = pair_matches(a, b, least)
-        na, nb = left["n"].to_numpy()[i], right["n"].to_numpy()[j]
-        nodes = [bytes(x) for x in left["node"]], [bytes(x) for x in right["node"]]
-        comps = [bytes(x) for x in left["comp"]], [bytes(x) for x in right["comp"]]
-        failed = {(x, bytes(y)) for x, ys in zip(nodes[0], left["failed"], strict=True) if ys is not None for y in ys}
+        group = group.sort_values(["band", "code"], kind="stable").reset_index(drop=True)
+        sigs, sizes = _sigs(group["sig"]), group["n"].to_numpy()
+        nodes, comps = [bytes(x) for x in group["node"]], [bytes(x) for x in group["comp"]]
+        sets = [np.frombuffer(x, np.uint32) for x in group["small"]]
+        failed = [{bytes(y) for y in ys} if ys is not None else () for ys in group["failed"]]
+        mine, left, right, bands = (group[c].to_numpy() for c in ("mine", "i", "j", "band"))
         root: dict[bytes, bytes] = {}
 
         def find(x: bytes) -> bytes:
@@ -218,15 +233,27 @@ def _block_forest(least: list[int], percent: int) -> Callable:
             return x
 
         out = []
-        fits = similar_sizes(na, nb, percent)
-        for at in np.argsort(-m, kind="stable"):
-            x, y = nodes[0][i[at]], nodes[1][j[at]]
-            if not fits[at] or (x, y) in failed:
-                continue
-            p, q = find(comps[0][i[at]]), find(comps[1][j[at]])
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out.append((min(x, y), max(x, y)))
+        codes = group["code"].to_numpy()
+        edges = np.flatnonzero((codes[1:] != codes[:-1]) | (bands[1:] != bands[:-1])) + 1
+        for own in np.split(np.arange(len(group)), edges):
+            p, q = own[mine[own] == left[own]], own[mine[own] == right[own]]
+            i, j, m = pair_matches(sigs[p], sigs[q], least)
+            i, j = p[i], q[j]
+            keep = similar_sizes(sizes[i], sizes[j], percent)
+            if left[own[0]] == right[own[0]]:
+                keep &= i < j
+            i, j, m = i[keep], j[keep], m[keep]
+            for at in np.argsort(-m, kind="stable"):
+                x, y = i[at], j[at]
+                a, b = find(comps[x]), find(comps[y])
+                if a == b or nodes[y] in failed[x]:
+                    continue
+                if (sigs[x].reshape(BANDS, ROWS) == sigs[y].reshape(BANDS, ROWS)).all(1).argmax() != bands[x]:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True)) + SLACK
+                if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                    root[max(a, b)] = min(a, b)
+                    out.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return forest
@@ -267,21 +294,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         own = F.coalesce(F.col("comp"), F.col("node"))
         sided = failed.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(failed.select(F.col("b").alias("node"), F.col("a").alias("other")))
         sided = sided.groupBy("node").agg(F.collect_set("other").alias("failed"))
-        state = saved(sigs.select("node", "n", "sig").join(labels, "node", "left").join(sided, "node", "left").select("node", "n", "sig", "failed", own.alias("comp")), "near-state")
-        placed = members.select("band", "code", "node", "size").join(state.select("node", "comp"), "node")
+        placed = members.select("band", "code", "node").join(labels, "node", "left").select("band", "code", own.alias("comp"))
         mixed = placed.groupBy("band", "code").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band", "code")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        part = members.select("band", "code", "node", blocks.alias("blocks")).join(mixed, ["band", "code"])
+        part = saved(members.select("band", "code", "node", "size").join(mixed, ["band", "code"]), "near-mixed")
+        small = texts.join(part.select("node").distinct(), "node", "left_semi").select("node", "text").mapInPandas(_small_sets(width), "node binary, small binary")
+        state = sigs.select("node", "n", "sig").join(small, "node").join(labels, "node", "left").join(sided, "node", "left").select("node", "n", "sig", "small", "failed", own.alias("comp"))
+        lots = math.ceil(part.count() / BLOCK) + 1
+        name, blocks = F.xxhash64("band", "code"), F.ceil(F.col("size") / BLOCK).cast("int")
+        part = part.withColumns({"blocks": blocks, "lot": F.when(F.col("size") <= BLOCK, F.pmod(name, F.lit(lots))).otherwise(name)})
         part = part.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
-        part = part.withColumn("pair", F.explode(pairs)).select("band", "code", "node", "mine", "pair.i", "pair.j").join(state, "node")
-        forest = part.groupBy("band", "code", "i", "j").applyInPandas(_block_forest(least, percent), "a binary, b binary")
+        part = part.withColumn("pair", F.explode(pairs)).select("band", "code", "node", "blocks", "lot", "mine", "pair.i", "pair.j").join(saved(state, "near-state"), "node")
+        forest = part.groupBy("blocks", "lot", "i", "j").applyInPandas(_block_forest(least, percent), "a binary, b binary")
         fresh = saved(forest.distinct(), "near-forest")
         if fresh.isEmpty():
             break
         tested = saved(_verified(fresh, texts, width, percent), "near-tested")
         links = links.unionByName(tested.where("linked").select("a", "b"))
-        failed = failed.unionByName(tested.where("NOT linked").select("a", "b"))
+        wrong = tested.where("NOT linked").select("a", "b")
+        if wrong.isEmpty():  # so every pair that was passed over lies in one component
+            labels = components(links)
+            break
+        failed = failed.unionByName(wrong)
     named = classes.select("node", "id").join(labels, "node")
     ids = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     ids = named.join(ids, "comp").select("node", "component_id")
