@@ -32,8 +32,6 @@ HASHES = BANDS * ROWS
 BATCHES, MISS = (16, 32, 64, 128), 1e-8
 #: Members of a block of a bucket.
 BLOCK = 1024
-#: Shared shingles by which collisions of 32-bit hashes may hide a link.
-SLACK = 4
 REMEMBERED = 500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -215,7 +213,7 @@ def _small_sets(width: int):
 
 def _block_forest(least: list[int], percent: int) -> Callable:
     """Of blocks of buckets: links between components, a spanning forest of them. Pairs that survive the posterior tests are tried
-    on their small sets, most equal hashes first, with room for SLACK chance collisions. A pair that shares several
+    on their small sets, most equal hashes first, with room for chance collisions. A pair that shares several
     bands is tried in the first of them only."""
 
     def forest(group: pd.DataFrame) -> pd.DataFrame:
@@ -250,7 +248,8 @@ def _block_forest(least: list[int], percent: int) -> Callable:
                     continue
                 if (sigs[x].reshape(BANDS, ROWS) == sigs[y].reshape(BANDS, ROWS)).all(1).argmax() != bands[x]:
                     continue
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True)) + SLACK
+                hidden = sizes[x] - len(sets[x]) + sizes[y] - len(sets[y])  # shared shingles that collisions may hide
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True)) + hidden
                 if 100 * both >= percent * (sizes[x] + sizes[y] - both):
                     root[max(a, b)] = min(a, b)
                     out.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
