@@ -1,16 +1,20 @@
-"""Every query of the store against its SQL."""
+"""Every query of the store and of scenes against its SQL."""
 
 from __future__ import annotations
 
 import pytest
 
 from tarnspark.plans import queries as store_queries
+from tarnspark.plans import scene_queries
 
+QUERIES = store_queries.QUERIES | scene_queries.QUERIES
+ORACLE_SQL = store_queries.ORACLE_SQL | scene_queries.ORACLE_SQL
 
-@pytest.mark.parametrize("name", sorted(store_queries.QUERIES))
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(name, matches, spark, sf_dir):
-    sql = store_queries.ORACLE_SQL.get(name)
+    sql = ORACLE_SQL.get(name)
     if sql is None:
-        assert store_queries.QUERIES[name](spark, sf_dir).columns
+        assert QUERIES[name](spark, sf_dir).columns
     else:
-        matches(store_queries.QUERIES[name], sql)
+        matches(QUERIES[name], sql)
