@@ -6,7 +6,7 @@ their counts only, at most beam width times predicates of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,7 +65,9 @@ def mine(df: DataFrame, columns: list[str], target: str, *, beam: int = 25, dept
     """Failure classes: rule, depth, counts and rates on both halves, lift, p- and q-value, significant.
 
     df: scenario_id, split (discovery or confirmation), target (0 or 1; NULL rows don't count) and feature columns. Rules
-    that cover the same rows count once, the shortest first. The correction's family is the rules that are confirmed.
+    that cover the same rows count once, the shortest first. Every rule with min_support discovery rows is counted on the
+    confirmation half; those with a row there are the correction's family. Only the report is cut: rules with min_support
+    confirmation rows in order of WRAcc on that half, the first `top` and every significant one after them.
     """
     d = df.where(F.col(target).isNotNull()).select("scenario_id", "split", F.col(target).cast("long").alias(target), *columns)
     if not d.where(~F.col(target).isin(0, 1)).isEmpty():
@@ -86,16 +88,19 @@ def mine(df: DataFrame, columns: list[str], target: str, *, beam: int = 25, dept
         scored.sort(key=lambda x: (-x[0], rule_text(x[1])))
         front = [x[1] for x in scored[:beam]]
         found += scored
-    best = sorted((x for x in found if x[0] > 0), key=lambda x: (-x[0], len(x[1]), rule_text(x[1])))[:top]
     every = confirmation.agg(F.count(F.lit(1)), F.coalesce(F.sum(target), F.lit(0))).first()
-    counts = _counts(confirmation, [x[1] for x in best], target)
-    rows = [(rule_text(r), len(r), w, n, k, cn, ck, every[0] - cn, every[1] - ck) for (w, r, n, k), (cn, ck, _) in zip(best, counts, strict=True)]
+    counts = _counts(confirmation, [x[1] for x in found], target)
+    rows = [(rule_text(r), len(r), w, n, k, cn, ck, every[0] - cn, every[1] - ck) for (w, r, n, k), (cn, ck, _) in zip(found, counts, strict=True) if cn]
     names = "rule string, depth int, wracc double, disc_n long, disc_failures long, conf_n long, conf_failures long, rest_n long, rest_failures long"
     tested = benjamini_hochberg(with_fisher(df.sparkSession.createDataFrame(rows, names), "conf_failures", "conf_n", "rest_failures", "rest_n"), alpha=alpha)
     low, high = wilson(F.col("conf_failures"), F.col("conf_n"), alpha, contain=True)
     rate = F.try_divide("conf_failures", "conf_n")
-    return tested.select(
+    lift = F.try_divide(rate, F.try_divide("rest_failures", "rest_n"))
+    gain = F.col("conf_n") * (rate - F.lit(every[1] / every[0] if every[0] else 0.0))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(gain, 9)), F.desc_nulls_last(lift), "depth", "rule")
+    shown = tested.where(F.col("conf_n") >= min_support).withColumn("__nth", F.row_number().over(order))
+    return shown.where((F.col("__nth") <= top) | F.col("rejected")).select(
         "rule", "depth", "wracc", "disc_n", "disc_failures", F.try_divide("disc_failures", "disc_n").alias("disc_rate"), "conf_n", "conf_failures",
-        rate.alias("conf_rate"), low.alias("conf_rate_lo"), high.alias("conf_rate_hi"), F.try_divide(rate, F.try_divide("rest_failures", "rest_n")).alias("conf_lift"),
+        rate.alias("conf_rate"), low.alias("conf_rate_lo"), high.alias("conf_rate_hi"), lift.alias("conf_lift"),
         "p_value", "q_value", F.col("rejected").alias("significant"),
     )
