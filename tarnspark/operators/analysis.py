@@ -1,4 +1,7 @@
-"""The named analyses of the results store. Inputs: runs (run_id), metrics (run_id, scenario_id), features (scenario_id)."""
+"""The named analyses of the results store. Inputs: runs (run_id), metrics (run_id, scenario_id), features (scenario_id).
+
+Scenarios whose status is not ok count in none of them but group_failure_rates and pair_coverage, which take what they are given.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,10 @@ from tarnspark.functions.stats import wilson
 COMFORT = {"max_abs_a_lon": 2.40, "max_abs_a_lat": 4.89, "max_abs_jerk": 8.37, "max_abs_yaw_rate": 0.95}
 
 
+def _ok(metrics: DataFrame) -> DataFrame:
+    return metrics.where(F.col("status") == "ok")
+
+
 def group_failure_rates(metrics: DataFrame, features: DataFrame, run_id: str, target: str = "at_fault_collision", by: str = "ego_maneuver", alpha: float = 0.05) -> DataFrame:
     """Scenarios, failures and failure rate of one run by a feature, with Wilson bounds; NULL features are a group, NULL targets
     don't count."""
@@ -28,7 +35,7 @@ def comfort_breakdown(metrics: DataFrame, run_id: str, bounds: dict[str, float]
     measured = F.coalesce(*[F.col(c) for c in bounds]).isNotNull()
     channels = {**{c: (F.col(c).isNotNull(), over[c].cast("int")) for c in bounds}, "any_channel": (measured, anyone), "stored_flag": (F.col("comfort_violation").isNotNull(), F.col("comfort_violation"))}
     sums = [x for c, (there, hit) in channels.items() for x in (F.sum(there.cast("long")).alias(f"{c}__n"), F.coalesce(F.sum(hit.cast("long")), F.lit(0)).alias(f"{c}__k"))]
-    one = metrics.where(F.col("run_id") == run_id).agg(*sums)
+    one = _ok(metrics).where(F.col("run_id") == run_id).agg(*sums)
     stack = ", ".join(f"'{c}', `{c}__n`, `{c}__k`" for c in channels)
     d = one.select(F.expr(f"stack({len(channels)}, {stack}) AS (channel, n, k)"))
     low, high = wilson(F.col("k"), F.col("n"), alpha)
@@ -43,7 +50,7 @@ def comfort_consistency(metrics: DataFrame, run_id: str, bounds: dict[str, float
     for c, b in bounds.items():
         over = (F.col(c) > b) if over is None else over | (F.col(c) > b)
     flagged = F.col("comfort_violation") == 1
-    return metrics.where(F.col("run_id") == run_id).agg(F.count(F.lit(1)).alias("n"), F.sum((flagged & ~over).cast("long")).alias("n_flagged_without_violation"), F.sum((~flagged & over).cast("long")).alias("n_violation_without_flag"))
+    return _ok(metrics).where(F.col("run_id") == run_id).agg(F.count(F.lit(1)).alias("n"), F.sum((flagged & ~over).cast("long")).alias("n_flagged_without_violation"), F.sum((~flagged & over).cast("long")).alias("n_violation_without_flag"))
 
 
 def latency_aggregates(metrics: DataFrame, runs: DataFrame, run_ids: list[str]) -> DataFrame:
@@ -53,16 +60,17 @@ def latency_aggregates(metrics: DataFrame, runs: DataFrame, run_ids: list[str])
     labels = [r[0] for r in chosen.select("hardware").distinct().limit(2).collect()]
     if len(labels) > 1:
         raise ValueError(f"runs of different hardware can't be blended: {sorted(map(str, labels))}")
-    d = metrics.join(F.broadcast(chosen.select("run_id", "hardware")), "run_id").where("n_cycles > 0")
+    d = _ok(metrics).join(F.broadcast(chosen.select("run_id", "hardware")), "run_id").where("n_cycles > 0")
     return d.groupBy("hardware").agg(
         F.count(F.lit(1)).alias("n_scenarios"), F.sum("n_cycles").alias("n_cycles"), F.percentile("plan_us_p50", F.lit(0.5)).alias("p50_median"), F.percentile("plan_us_p50", F.lit(0.9)).alias("p50_p90"),
         F.percentile("plan_us_p99", F.lit(0.5)).alias("p99_median"), (F.sum(F.col("plan_us_mean") * F.col("n_cycles")) / F.nullif(F.sum("n_cycles"), F.lit(0))).alias("mean_weighted"), F.max("plan_us_max").alias("max_us"),
     )
 
 
-def paired_by_mode(metrics: DataFrame, runs: DataFrame, metric: str, modes: tuple[str, str] = ("log_replay", "reactive")) -> DataFrame:
-    """A row for each configuration and scenario measured under both agent modes."""
-    d = metrics.where(F.col(metric).isNotNull()).join(F.broadcast(runs.select("run_id", "config_name", "agent_mode")), "run_id")
+def paired_by_mode(metrics: DataFrame, runs: DataFrame, metric: str, modes: tuple[str, str] = ("log_replay", "reactive"), *, dataset: str, planner: str) -> DataFrame:
+    """A row for each configuration and scenario measured under both agent modes, of one dataset and planner."""
+    runs = runs.where((F.col("dataset") == dataset) & (F.col("planner") == planner))
+    d = _ok(metrics).where(F.col(metric).isNotNull()).join(F.broadcast(runs.select("run_id", "config_name", "agent_mode")), "run_id")
     value = lambda m: F.max(F.when(F.col("agent_mode") == m, F.col(metric)))
     d = d.groupBy("config_name", "scenario_id").agg(*[value(m).alias(m) for m in modes])
     return d.where(F.col(modes[0]).isNotNull() & F.col(modes[1]).isNotNull())
@@ -73,10 +81,10 @@ def mode_comparison(paired: DataFrame, modes: tuple[str, str] = ("log_replay", "
     return paired.groupBy("config_name").agg(F.count(F.lit(1)).alias("n_paired"), F.avg(a).alias("mean_first"), F.avg(b).alias("mean_second"), F.avg(b - a).alias("delta"))
 
 
-def metric_disagreement(metrics: DataFrame, runs: DataFrame, agent_mode: str = "reactive") -> DataFrame:
-    """Ranks of configurations by similarity to the log (ade) and by safety, and the rank of their safety ranks' mean. Ranking a few
+def metric_disagreement(metrics: DataFrame, runs: DataFrame, agent_mode: str = "reactive", *, dataset: str) -> DataFrame:
+    """Ranks of one dataset's configurations by similarity to the log (ade) and by safety, and the rank of their safety ranks' mean. Ranking a few
     configurations is one task."""
-    d = metrics.join(F.broadcast(runs.where(F.col("agent_mode") == agent_mode).select("run_id", "config_name")), "run_id")
+    d = _ok(metrics).join(F.broadcast(runs.where((F.col("agent_mode") == agent_mode) & (F.col("dataset") == dataset)).select("run_id", "config_name")), "run_id")
     means = d.groupBy("config_name").agg(F.avg("ade").alias("ade"), F.avg("collision").alias("collision"), F.avg("at_fault_collision").alias("at_fault"), F.avg("comfort_violation").alias("comfort"))
     rank = lambda c: F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last(c)))
     ranked = means.select("config_name", *[rank(c).alias(f"rank_{c}") for c in ("ade", "collision", "at_fault", "comfort")])
@@ -85,13 +93,13 @@ def metric_disagreement(metrics: DataFrame, runs: DataFrame, agent_mode: str = "
 
 
 def config_table(metrics: DataFrame, runs: DataFrame) -> DataFrame:
-    d = metrics.join(F.broadcast(runs.select("run_id", "config_name", "agent_mode")), "run_id")
+    d = _ok(metrics).join(F.broadcast(runs.select("run_id", "config_name", "agent_mode")), "run_id")
     return d.groupBy("config_name", "agent_mode").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("collision", "at_fault_collision", "comfort_violation")])
 
 
 def not_at_fault_rate(metrics: DataFrame, runs: DataFrame) -> DataFrame:
     """Percent of scenarios with a collision that was not the ego's fault, by agent mode."""
-    d = metrics.join(F.broadcast(runs.select("run_id", "agent_mode")), "run_id")
+    d = _ok(metrics).join(F.broadcast(runs.select("run_id", "agent_mode")), "run_id")
     return d.groupBy("agent_mode").agg((F.avg(F.col("collision") - F.col("at_fault_collision")) * 100).alias("not_at_fault_pct"))
 
 

@@ -11,6 +11,7 @@ from tarnspark.plans import adapters
 from tarnspark.sources import store
 
 RUN = "A_F"
+DATASET, PLANNER = "driver", "ilqr"
 _Z = repr(stats.normal_quantile(0.975))
 
 
@@ -49,11 +50,11 @@ def a10_not_at_fault(s: SparkSession, d: str) -> DataFrame:
 
 
 def j5_paired_modes(s: SparkSession, d: str) -> DataFrame:
-    return analysis.paired_by_mode(_metrics(s, d), adapters.runs(s, d), "at_fault_collision")
+    return analysis.paired_by_mode(_metrics(s, d), adapters.runs(s, d), "at_fault_collision", dataset=DATASET, planner=PLANNER)
 
 
 def t9_mode_deltas(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(analysis.mode_comparison(analysis.paired_by_mode(_metrics(s, d), adapters.runs(s, d), "at_fault_collision")))
+    return _rounded(analysis.mode_comparison(analysis.paired_by_mode(_metrics(s, d), adapters.runs(s, d), "at_fault_collision", dataset=DATASET, planner=PLANNER)))
 
 
 def j6_pair_coverage(s: SparkSession, d: str) -> DataFrame:
@@ -61,7 +62,7 @@ def j6_pair_coverage(s: SparkSession, d: str) -> DataFrame:
 
 
 def w1_metric_disagreement(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(analysis.metric_disagreement(_metrics(s, d), adapters.runs(s, d)))
+    return _rounded(analysis.metric_disagreement(_metrics(s, d), adapters.runs(s, d), dataset=DATASET))
 
 
 def w2_fisher_bh(s: SparkSession, d: str) -> DataFrame:
