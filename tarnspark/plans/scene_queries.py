@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnspark.operators import bootstrap, cycles, miner, scene
@@ -10,6 +10,8 @@ from tarnspark.plans import adapters
 from tarnspark.sources import ingest, store
 
 KINDS = ("vehicle", "pedestrian", "cyclist", "bus", "motorcyclist")
+#: The last day of a user's first scenario in i19.
+SPLIT_DAY = 18
 #: An L-shaped area.
 RING = [(0.0, 0.0), (150.0, 0.0), (150.0, 40.0), (60.0, 40.0), (60.0, 80.0), (0.0, 80.0)]
 
@@ -93,9 +95,9 @@ def j15_area_distances(s: SparkSession, d: str) -> DataFrame:
     return _rounded(scene.area_distances(points, s.range(3).select(F.col("id").alias("scenario_id"), "id").select("scenario_id", shifted.alias("ring"))), 5)
 
 
-def _track_rows(s: SparkSession, d: str) -> DataFrame:
+def _track_rows(s: SparkSession, d: str, scenario: Column | None = None) -> DataFrame:
     e = adapters.load(s, d, "events")
-    return e.select((F.col("user_id") % 20).alias("scenario_id"), F.when(F.col("event_type") == "click", "AV").otherwise(F.col("event_type")).alias("track_id"), F.minute("ts").alias("timestep"), "event_id", F.col("value").alias("position_x"), F.get_json_object("props", "$.k").cast("double").alias("position_y"))
+    return e.select((F.col("user_id") % 20 if scenario is None else scenario).alias("scenario_id"), F.when(F.col("event_type") == "click", "AV").otherwise(F.col("event_type")).alias("track_id"), F.minute("ts").alias("timestep"), "event_id", F.col("value").alias("position_x"), F.get_json_object("props", "$.k").cast("double").alias("position_y"))
 
 
 def i21_dense_tracks(s: SparkSession, d: str) -> DataFrame:
@@ -108,8 +110,10 @@ def i20_recentred(s: SparkSession, d: str) -> DataFrame:
 
 
 def i19_reject_reasons(s: SparkSession, d: str) -> DataFrame:
-    rows = _track_rows(s, d).withColumn("scenario_id", F.col("event_id") % 200)
-    return ingest.reject_reasons(rows.dropDuplicates(["scenario_id", "track_id", "timestep"]), n_steps=30, min_travel=5.0).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    """Two scenarios a user, by the day of the month, so that their number grows with the table."""
+    rows = _track_rows(s, d, F.col("user_id") * 2 + (F.dayofmonth("ts") > SPLIT_DAY).cast("int"))
+    last = ingest.last_states(rows, "event_id").select("scenario_id", "track_id", "timestep", "state.*")
+    return ingest.reject_reasons(last, n_steps=30, min_travel=5.0).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def t1_cluster_bootstrap(s: SparkSession, d: str) -> DataFrame:
@@ -211,4 +215,14 @@ SELECT a.scenario_id, a.track_id, g.i::INT AS timestep, agent_idx, l.timestep IS
 FROM a CROSS JOIN range(60) g(i) LEFT JOIN l ON l.scenario_id = a.scenario_id AND l.track_id = a.track_id AND l.timestep = g.i""",
     "i20_recentred": f"""WITH {_TRACKS}, z AS (SELECT scenario_id, position_x AS ox, position_y AS oy FROM l WHERE track_id = 'AV' AND timestep = 0)
 SELECT scenario_id, count(*) AS n, round(min(position_x - ox), 6) AS low, round(max(position_y - oy), 6) AS high FROM l JOIN z USING (scenario_id) GROUP BY scenario_id""",
+    "i19_reject_reasons": f"""WITH r AS (
+  SELECT user_id * 2 + (extract(day FROM ts) > {SPLIT_DAY})::INT AS scenario_id, CASE WHEN event_type = 'click' THEN 'AV' ELSE event_type END AS track_id, extract(minute FROM ts)::INT AS timestep, event_id,
+    value AS x, json_extract_string(props, '$.k')::DOUBLE AS y FROM events
+), l AS (
+  SELECT scenario_id, track_id, timestep, max_by(x, event_id) AS x, max_by(y, event_id) AS y FROM r GROUP BY ALL
+), d AS (
+  SELECT *, track_id = 'AV' AS ego, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step FROM l WINDOW w AS (PARTITION BY scenario_id, track_id ORDER BY timestep)
+), g AS (
+  SELECT scenario_id, count(DISTINCT timestep) AS steps, count(*) FILTER (WHERE ego) AS n, min(timestep) FILTER (WHERE ego) AS first, coalesce(sum(step) FILTER (WHERE ego), 0.0) AS travel FROM d GROUP BY scenario_id
+) SELECT CASE WHEN steps <> 30 THEN 'steps' WHEN n = 0 THEN 'no_ego' WHEN first <> 0 THEN 'ego_not_at_start' WHEN travel < 5.0 THEN 'travel' END AS reason, count(*) AS n FROM g GROUP BY 1""",
 }

@@ -43,12 +43,19 @@ def reject_reasons(tracks: DataFrame, ego: str = "AV", n_steps: int = 110, min_t
     return d.select("scenario_id", reason.alias("reason"))
 
 
+def last_states(tracks: DataFrame, order_by: str) -> DataFrame:
+    """(scenario_id, track_id, timestep, state, n_repeats): of repeated states the last by order_by, and how many others there are."""
+    key = ["scenario_id", "track_id", "timestep"]
+    values = [c for c in tracks.columns if c not in (*key, order_by)]
+    return tracks.groupBy(*key).agg(F.max_by(F.struct(*values), order_by).alias("state"), (F.count(F.lit(1)) - 1).alias("n_repeats"))
+
+
 def densify(tracks: DataFrame, order_by: str, n_steps: int = 110) -> DataFrame:
     """Every track at every step, with valid and agent_idx (the rank of its id in the scenario). Of repeated states the last by order_by wins;
     n_repeats counts the others."""
     key = ["scenario_id", "track_id", "timestep"]
     values = [c for c in tracks.columns if c not in (*key, order_by)]
-    last = tracks.groupBy(*key).agg(F.max_by(F.struct(*values), order_by).alias("state"), (F.count(F.lit(1)) - 1).alias("n_repeats"))
+    last = last_states(tracks, order_by)
     agents = last.select("scenario_id", "track_id").distinct()
     rank = F.dense_rank().over(Window.partitionBy("scenario_id").orderBy("track_id")) - 1
     grid = agents.withColumn("agent_idx", rank).withColumn("timestep", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))))
