@@ -2,7 +2,8 @@
 
 Archives are gzip members, one a record. The reader checks each member's CRC and each record's lengths and digests. After
 a failed check it searches for the next valid member or version line, goes on from there, and logs the bytes between
-as a quarantined gap.
+as a quarantined gap. Inside a member it searches the decompressed content for version lines in the same way, also what
+came out of a member before its damage.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ ARCHIVE_BYTES = 4 << 20
 TRAILER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _NEXT = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.")
+_VERSION_LINE = re.compile(rb"(?<=\n)WARC/1\.")
+#: What is wrong with a member whose content may be wrong anywhere: only records with a digest of their own are taken from it.
+_BAD, _DIGEST = "bad gzip member", re.compile(rb"(?i)\r\nWARC-Block-Digest:\s*sha256:")
 _PAGE = "urn:page:"
 _STEP = 1 << 16
 
@@ -80,54 +84,102 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     return out, start + size + 4
 
 
-def read_member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at data[at], and where it ends."""
-    z, parts = zlib.decompressobj(31), []
+def read_member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The content of the gzip member at data[at], where it ends, and "" or what is wrong with it: then the content is what came
+    out before the damage, and the end is not known (at)."""
+    z, parts, start = zlib.decompressobj(31), [], at
     try:
         while not z.eof and at < len(data):
-            parts.append(z.decompress(data[at : at + _STEP]))
+            step = data[at : at + _STEP]
             at += _STEP
-    except zlib.error as e:
-        raise Damaged("bad gzip member") from e
+            before = z.copy()
+            parts.append(z.decompress(step))
+    except zlib.error:
+        parts.append(_until_damage(before, step))
+        return b"".join(parts), start, _BAD
     if not z.eof:
-        raise Damaged("gzip member cut short")
-    return b"".join(parts), min(at, len(data)) - len(z.unused_data)
+        return b"".join(parts), start, "gzip member cut short"
+    return b"".join(parts), min(at, len(data)) - len(z.unused_data), ""
 
 
-def _unit(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the member, or the plain record, at data[at], and where that ends."""
-    if not data.startswith(_MAGIC, at):
-        one, end = parse_record(data, at)
-        return [one], end
-    content, end = read_member(data, at)
-    found, inner = [], 0
-    while inner < len(content):
-        one, inner = parse_record(content, inner)
-        found.append(one)
-    return found, end
+def _until_damage(z, step: bytes) -> bytes:
+    """What z makes of step, byte by byte, before it fails."""
+    parts = []
+    try:
+        for i in range(len(step)):
+            parts.append(z.decompress(step[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(parts)
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    """Records ({"kind": "record", "start", "end", ...}) and gaps ({"kind": "gap", "start", "end", "reason"}) in order;
-    together they cover every byte, but for empty members."""
+def _inner(content: bytes) -> Iterator[tuple[int, int, dict | str]]:
+    """(start, end, record or a gap's reason) of content, in order; together they cover it."""
     at, gap, reason = 0, None, ""
-    while at < len(data):
+    while at < len(content):
         try:
-            found, end = _unit(data, at)
+            one, end = parse_record(content, at)
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
+            later = _VERSION_LINE.search(content, at + 1)
+            at = later.start() if later else len(content)
+            continue
+        if gap is not None:
+            yield gap, at, reason
+            gap = None
+        yield at, end, one
+        at = end
+    if gap is not None:
+        yield gap, len(content), reason
+
+
+def salvage(data: bytes) -> Iterator[dict]:
+    """Records ({"kind": "record", "start", "end", ...}) and gaps ({"kind": "gap", "start", "end", "reason"}) in order;
+    together they cover every byte, but for empty members.
+
+    Records and gaps inside a member have the member's start and end; an inner gap's reason has the bytes of the content that
+    it spans. A member that is damaged itself gives the whole records that came out of it and then one gap up to what follows;
+    those records have the start and end of that gap. A member without a single whole record is one gap.
+    """
+    at, gap, reason, held = 0, None, "", []
+
+    def closed(end: int) -> list[dict]:
+        return [{"kind": "record", "start": start, "end": end} | one for start, one in held] + [{"kind": "gap", "start": gap, "end": end, "reason": reason}]
+
+    while at < len(data):
+        wrong, found = "", []
+        if data.startswith(_MAGIC, at):
+            content, end, wrong = read_member(data, at)
+            found = list(_inner(content))
+            whole = [x for low, high, x in found if isinstance(x, dict) and (wrong != _BAD or _DIGEST.search(content, low, high))]
+            if wrong:
+                held += [(at, x) for x in whole]
+            elif content and not whole:
+                wrong = found[0][2]
+        else:
+            try:
+                one, end = parse_record(data, at)
+                found = [(0, 0, one)]
+            except Damaged as e:
+                wrong = str(e)
+        if wrong:
+            if gap is None:
+                gap, reason = at, wrong
             later = _NEXT.search(data, at + 1)
             at = later.start() if later else len(data)
             continue
         if gap is not None:
-            yield {"kind": "gap", "start": gap, "end": at, "reason": reason}
-            gap = None
-        for one in found:
-            yield {"kind": "record", "start": at, "end": end} | one
+            yield from closed(at)
+            gap, held = None, []
+        for low, high, x in found:
+            if isinstance(x, dict):
+                yield {"kind": "record", "start": at, "end": end} | x
+            else:
+                yield {"kind": "gap", "start": at, "end": end, "reason": f"{x}: bytes {low} to {high} of the member's content"}
         at = end
     if gap is not None:
-        yield {"kind": "gap", "start": gap, "end": len(data), "reason": reason}
+        yield from closed(len(data))
 
 
 def revisits(pages: DataFrame, id_col: str, text_col: str, min_bytes: int = MIN_REVISIT) -> DataFrame:
