@@ -1,32 +1,78 @@
-"""Cluster bootstrap of means: whole clusters are drawn, so rows of one cluster stay together."""
+"""Bootstrap by Poisson weights: each unit's weight in each replicate is drawn from a hash of the unit, so that replicates are sums,
+which tasks add up in part and no task needs a cell's rows together."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OUT = "n_clusters long, n_rows long, point double, ci_lo double, ci_hi double"
+#: Weights drawn at once, and cells held before their sums are given on.
+DRAWN, CELLS = 1_000_000, 200
+_CDF = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
+def poisson_weights(marks: np.ndarray, n_boot: int) -> np.ndarray:
+    """(unit, replicate) weights of mean 1 by the units' 64-bit hashes."""
+    x = marks.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, n_boot + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return np.searchsorted(_CDF, (x >> np.uint64(11)) * 2.0**-53, side="right").astype(np.float64)
+
+
+def resampled(units: DataFrame, keys: list[str], mark: Column, values: list[str], n_boot: int) -> DataFrame:
+    """(*keys, replicate, n_units, *values): weighted sums of each cell and replicate; in replicate 0 each weight is 1."""
+    sums = ["n_units", *values]
+    d = units.select(*keys, mark.alias("__mark"), F.lit(1.0).alias("n_units"), *[F.col(v).cast("double").alias(v) for v in values])
+    d = d.repartition(2 * units.sparkSession.sparkContext.defaultParallelism, "__mark")
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        give = lambda: pd.DataFrame([(*k, *map(list, s)) for k, s in held.items()], columns=[*keys, *sums])
+        for batch in batches:
+            for key, part in batch.groupby(keys, dropna=False, sort=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                if key not in held and len(held) >= CELLS:
+                    yield give()
+                    held.clear()
+                total = held.setdefault(key, np.zeros((len(sums), n_boot + 1)))
+                marks, x = part["__mark"].to_numpy(), part[sums].to_numpy(np.float64)
+                total[:, 0] += x.sum(0)
+                step = max(1, DRAWN // n_boot)
+                for at in range(0, len(marks), step):
+                    total[:, 1:] += x[at : at + step].T @ poisson_weights(marks[at : at + step], n_boot)
+        if held:
+            yield give()
+
+    kinds = dict(d.dtypes)
+    rows = d.mapInPandas(add, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"`{s}` array<double>" for s in sums)]))
+    flat = rows.select(*keys, F.posexplode(F.arrays_zip(*sums)).alias("replicate", "s")).select(*keys, "replicate", *[F.col(f"s.{s}").alias(s) for s in sums])
+    return flat.groupBy(*keys, "replicate").agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def whole(c: Column) -> Column:
+    """An aggregate's argument: c in replicate 0."""
+    return F.max(F.when(F.col("replicate") == 0, c))
+
+
+def drawn(c: Column) -> Column:
+    """c in the drawn replicates that have any unit."""
+    return F.when((F.col("replicate") > 0) & (F.col("n_units") > 0), c)
 
 
 def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, value: str, *, seed: int, n_boot: int = 10_000, alpha: float = 0.05) -> DataFrame:
     """The mean of value in each cell of keys, with a percentile interval over draws of clusters. NULL values don't count; fewer
-    than two clusters give NaN bounds. Clusters are summed up before they meet, so a cell's task has a row a cluster."""
+    than two clusters give NaN bounds. Clusters are summed up first, then weighted by Poisson draws."""
     d = df.where(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(F.col(value).cast("double")).alias("__sum"), F.count(F.lit(1)).alias("__n"))
-
-    def cell(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(cluster)
-        sums, sizes = group["__sum"].to_numpy(), group["__n"].to_numpy(np.int64)
-        low = high = np.nan
-        if len(group) > 1:
-            rng, means = np.random.default_rng(seed), np.empty(n_boot)
-            step = max(1, 1_000_000 // len(group))
-            for at in range(0, n_boot, step):
-                drawn = rng.integers(0, len(group), (min(step, n_boot - at), len(group)))
-                means[at : at + step] = sums[drawn].sum(1) / sizes[drawn].sum(1)
-            low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame([(*key, len(group), sizes.sum(), sums.sum() / sizes.sum(), low, high)], columns=[*keys, *(x.split()[0] for x in OUT.split(", "))])
-
-    kinds = dict(df.dtypes)
-    return d.groupBy(*keys).applyInPandas(cell, ", ".join([*(f"{k} {kinds[k]}" for k in keys), OUT]))
+    mean = F.try_divide("__sum", "__n")
+    out = resampled(d, keys, F.xxhash64(F.lit(seed), F.col(cluster).cast("string")), ["__sum", "__n"], n_boot).groupBy(*keys).agg(
+        whole(F.col("n_units")).cast("long").alias("n_clusters"), whole(F.col("__n")).cast("long").alias("n_rows"), whole(mean).alias("point"),
+        F.percentile(drawn(mean), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("__ci"),
+    )
+    bound = lambda i: F.when(F.col("n_clusters") > 1, F.col("__ci")[i]).otherwise(float("nan"))
+    return out.select(*keys, "n_clusters", "n_rows", "point", bound(0).alias("ci_lo"), bound(1).alias("ci_hi"))

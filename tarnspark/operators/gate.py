@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnspark.functions.stats import benjamini_hochberg, excludes
 
+from .bootstrap import drawn, resampled, whole
+
 # 1 if more is better, -1 if less is. ade and fde have no direction on purpose.
 DIRECTIONS = {
     "collision": -1, "at_fault_collision": -1, "drivable_area_violation": -1, "max_offroad_dist": -1, "wrong_direction": -1, "min_ttc": 1,
@@ -16,28 +16,13 @@ DIRECTIONS = {
     "max_abs_jerk": -1, "max_abs_yaw_rate": -1, "comfort_violation": -1, "plan_us_p50": -1, "plan_us_p99": -1, "plan_us_mean": -1, "plan_us_max": -1,
 }
 MIN_PAIRS = 3
-CELL = "scope string, metric string, n_paired long, baseline_val double, candidate_val double, delta double, delta_lo double, delta_hi double, p_value double"
-
-
-def paired_bootstrap(a: np.ndarray, b: np.ndarray, n_boot: int, seed: int, alpha: float = 0.05) -> tuple[float, float, float, float]:
-    """Difference of means (b - a), its percentile interval and a two-sided p-value; pairs are drawn together."""
-    d = b - a
-    if len(d) < 2:
-        return (float(d.mean()) if len(d) else np.nan, np.nan, np.nan, np.nan)
-    rng, means = np.random.default_rng(seed), np.empty(n_boot)
-    step = max(1, 2_000_000 // len(d))
-    for at in range(0, n_boot, step):
-        means[at : at + step] = d[rng.integers(0, len(d), (min(step, n_boot - at), len(d)))].mean(1)
-    low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
-    p = min(1.0, max(2 * min((means <= 0).mean(), (means >= 0).mean()), 1 / n_boot))
-    return float(d.mean()), float(low), float(high), float(p)
 
 
 def gate(baseline: DataFrame, candidate: DataFrame, metrics: list[str], *, scopes: DataFrame | None = None, n_boot: int = 10_000, seed: int, alpha: float = 0.05, min_effect: float = 0.0, directions: dict[str, int] | None = None) -> DataFrame:
     """A row for each scope and metric with delta, interval, p- and q-value and verdict (regression, improvement or inconclusive).
 
     baseline and candidate have scenario_id and the metrics; scopes has (scope, scenario_id), and `all` is always a scope.
-    Metrics without a declared direction raise. A cell is one task: its values are two numbers a scenario.
+    Metrics without a declared direction raise. Pairs are drawn together, by Poisson weights; no task needs a cell's pairs at once.
     """
     known = DIRECTIONS | (directions or {})
     unknown = [m for m in metrics if m not in known]
@@ -48,15 +33,17 @@ def gate(baseline: DataFrame, candidate: DataFrame, metrics: list[str], *, scope
     cells = pairs.select(F.lit("all").alias("scope"), "metric", "scenario_id", "a", "b")
     if scopes is not None:
         cells = cells.unionByName(pairs.join(scopes.select("scope", "scenario_id").distinct(), "scenario_id").select("scope", "metric", "scenario_id", "a", "b"))
-    places = {m: i for i, m in enumerate(metrics)}
-
-    def cell(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("scenario_id")
-        a, b = group["a"].to_numpy(), group["b"].to_numpy()
-        delta, low, high, p = paired_bootstrap(a, b, n_boot, seed + places[key[1]], alpha)
-        return pd.DataFrame([(*key, len(a), a.mean(), b.mean(), delta, low, high, p)], columns=[x.split()[0] for x in CELL.split(", ")])
-
-    found = cells.groupBy("scope", "metric").applyInPandas(cell, CELL)
+    d = cells.withColumn("d", F.col("b") - F.col("a"))
+    mean = lambda c: F.try_divide(c, "n_units")
+    of = drawn(mean("d"))
+    n = F.count(of)
+    p = F.least(F.lit(1.0), F.greatest(2 * F.least(F.try_divide(F.count_if(of <= 0), n), F.try_divide(F.count_if(of >= 0), n)), F.lit(1 / n_boot)))
+    found = resampled(d, ["scope", "metric"], F.xxhash64(F.lit(seed), "metric", "scenario_id"), ["a", "b", "d"], n_boot).groupBy("scope", "metric").agg(
+        whole(F.col("n_units")).cast("long").alias("n_paired"), whole(mean("a")).alias("baseline_val"), whole(mean("b")).alias("candidate_val"), whole(mean("d")).alias("delta"),
+        F.percentile(of, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("__ci"), p.alias("p_value"),
+    )
+    alone = lambda c: F.when(F.col("n_paired") > 1, c).otherwise(float("nan"))
+    found = found.select("scope", "metric", "n_paired", "baseline_val", "candidate_val", "delta", alone(F.col("__ci")[0]).alias("delta_lo"), alone(F.col("__ci")[1]).alias("delta_hi"), alone(F.col("p_value")).alias("p_value"))
     enough = F.col("n_paired") >= MIN_PAIRS
     tested = benjamini_hochberg(found.where(enough), alpha=alpha).unionByName(found.where(~enough), allowMissingColumns=True)
     sign = F.create_map(*[F.lit(x) for m in metrics for x in (m, known[m])])[F.col("metric")]

@@ -12,6 +12,8 @@ from tarnspark.sources import store
 
 RUN = "A_F"
 DATASET, PLANNER = "driver", "ilqr"
+#: Boxes of 40 by 16 whose centres are further apart don't touch.
+REACH = 44.0
 _Z = repr(stats.normal_quantile(0.975))
 
 
@@ -122,13 +124,21 @@ def a12_speed_percentile(s: SparkSession, d: str) -> DataFrame:
 
 
 def j14_box_overlaps(s: SparkSession, d: str) -> DataFrame:
-    """Pairs of boxes of one track and day that touch, by oriented boxes with the heading k pi / 50."""
+    """Pairs of boxes of one track and day that touch, by oriented boxes with the heading k pi / 50. Boxes meet those of
+    their own and neighbouring cells only; all pairs are counted without being made."""
     t = _tracks(s, d).withColumn("day", F.to_date("ts")).withColumn("h", F.col("y") * F.pi() / 50)
     a, b = (t.select("user_id", "day", *[F.col(c).alias(f"{c}_{n}") for c in ("event_id", "x", "y", "h")]) for n in "ab")
-    j = a.join(b, ["user_id", "day"]).where("event_id_a < event_id_b")
+    cell = lambda c: F.floor(F.col(c) / REACH)
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    a = a.withColumns({"cx": cell("x_a"), "cy": cell("y_a")})
+    b = b.withColumn("i", near).withColumn("j", near).withColumns({"cx": cell("x_b") + F.col("i"), "cy": cell("y_b") + F.col("j")})
     c = F.col
     hit = geometry.box_overlap(c("x_a"), c("y_a"), c("h_a"), F.lit(40.0), F.lit(16.0), c("x_b"), c("y_b"), c("h_b"), F.lit(40.0), F.lit(16.0))
-    return j.groupBy("user_id").agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(hit, 1)).alias("overlaps"))
+    hits = a.join(b, ["user_id", "day", "cx", "cy"]).where("event_id_a < event_id_b").where(hit).groupBy("user_id").agg(F.count(F.lit(1)).alias("overlaps"))
+    same = t.where("user_id IS NOT NULL AND day IS NOT NULL AND event_id IS NOT NULL").groupBy("user_id", "day", "event_id").agg(F.count(F.lit(1)).alias("m"))
+    pairs = same.groupBy("user_id", "day").agg(F.sum("m").alias("n"), F.sum(c("m") * c("m")).alias("own"))
+    pairs = pairs.groupBy("user_id").agg(F.sum(F.expr("(n * n - own) DIV 2")).alias("pairs")).where("pairs > 0")
+    return pairs.join(hits, "user_id", "left").select("user_id", "pairs", F.coalesce("overlaps", F.lit(0).cast("long")).alias("overlaps"))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[0] in "aijptw" and k[1:2].isdigit()}
