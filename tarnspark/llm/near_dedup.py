@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, row_key, saved, skew_join
@@ -267,6 +267,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     are never a component's id unless all its ids are null. Other columns are ignored; an empty table gives an empty
     result. Classes of equal sets are told by 128-bit hashes; links between classes are verified on the words.
     """
+    return _grouped(docs, width, percent, id_col, text_col).drop("comp")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates with comp, which tells components apart also where all ids are null; NULL for rows without shingles."""
     bounded_batches(docs.sparkSession)
     least = least_matches(percent / 100)
     signed = saved(_signed(docs, width, id_col, text_col), "near-signed")
@@ -317,19 +322,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         failed = failed.unionByName(wrong)
     named = classes.select("node", "id").join(labels, "node")
     ids = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    ids = named.join(ids, "comp").select("node", "component_id")
-    found = skew_join(full.select("row", "id", "n", "node"), saved(classes.select("node", "id").withColumnRenamed("id", "own").join(ids, "node", "left").select("node", F.coalesce("component_id", "own").alias("component_id")), "near-ids"), ["node"], "inner", "near")
-    found = found.select("row", "id", F.col("n").alias("n_shingles"), "component_id")
-    lone = signed.where(F.col("node").isNull()).select("row", "id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    ids = named.join(ids, "comp").select("node", "comp", "component_id")
+    found = skew_join(full.select("row", "id", "n", "node"), saved(classes.select("node", "id").withColumnRenamed("id", "own").join(ids, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("component_id", "own").alias("component_id")), "near-ids"), ["node"], "inner", "near")
+    found = found.select("row", "id", F.col("n").alias("n_shingles"), "component_id", "comp")
+    lone = signed.where(F.col("node").isNull()).select("row", "id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("binary").alias("comp"))
     return found.unionByName(lone)
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one of its id, the first of them if equal rows have that id; rows without
-    shingles all stay."""
-    found = near_duplicates(docs, width, percent, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
-    order = Window.partitionBy("component_id", F.col("n_shingles") > 0).orderBy("row")
-    first = found.withColumn("nth", F.row_number().over(order)).where((F.col("nth") == 1) | (F.col("n_shingles") == 0) | F.col("id").isNull())
-    keep = first.select("row").distinct()
-    d = docs.withColumn("__row", row_key(F.col(id_col), F.col(text_col)))
-    return d.join(keep.withColumnRenamed("row", "__row"), "__row").dropDuplicates(["__row"]).drop("__row")
+    """docs with one row of each component: the one of its id, the first of them if unequal rows have that id, or if all its ids are
+    null; rows without shingles all stay, equal ones too."""
+    blank = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    found = _grouped(docs, width, percent, id_col, text_col).where(F.col("comp").isNotNull() & F.col("id").eqNullSafe(F.col("component_id")))
+    keep = found.groupBy("comp").agg(F.min("row").alias("__row")).select("__row")
+    d = docs.where(~blank).withColumn("__row", row_key(F.col(id_col), F.col(text_col)))
+    return d.join(keep, "__row").dropDuplicates(["__row"]).drop("__row").union(docs.where(blank))
