@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import Remembered, bounded_batches
 
-#: Pre-tokens that a worker remembers.
-REMEMBERED = 400_000
+#: Bytes of words and their ids that a worker remembers while a task runs.
+REMEMBERED = 24 << 20
 
 
 def byte_characters() -> list[str]:
@@ -76,20 +76,6 @@ def serialise_model(ranks: dict[bytes, int]) -> bytes:
     return bytes(out)
 
 
-class _Memory(dict):
-    """Ids, as bytes, of pieces of text already seen; emptied when full."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[key] = found = self.make(key)
-        return found
-
-
 class ByteBPE:
     """Encodes and decodes with ranks; ids are the ranks, as bytes of little-endian unsigned 32-bit integers."""
 
@@ -110,8 +96,7 @@ class ByteBPE:
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.pre_tokens = _Memory(self._pre_token)
-        self.first, self.later = _Memory(self._piece), _Memory(lambda x: self._piece(" " + x))
+        self.later = Remembered(lambda x: self._piece(" " + x), REMEMBERED)  # ids of words that follow a space
 
     def _pre_token(self, word: str) -> bytes:
         raw = word.encode()
@@ -121,48 +106,63 @@ class ByteBPE:
         return np.asarray(ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join([self.pre_tokens[x] for x in self.pattern.findall(piece)])
+        return b"".join([self._pre_token(x) for x in self.pattern.findall(piece)])
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         level = text.replace("\n", " ")
         if " ".join(level.split()) != level:  # not only single spaces and line ends between words
-            return b"".join([self.first[x] if x[0] != " " else self.later[x[1:]] for x in self._SAFE.split(text)])
+            return b"".join([self._piece(x) if x[0] != " " else self.later[x[1:]] for x in self._SAFE.split(text)])
         head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+        return self._piece(head) + b"".join(map(self.later.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _codec(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(read_ranks(path), pattern)
 
 
-def encoder(ranks_path: str, pattern: str) -> Callable[[Column], Column]:
-    """text -> ids as bytes; null is the empty text. Each worker loads the vocabulary once."""
+def _by_batch(ranks_path: str, pattern: str, kind: T.DataType, convert: Callable) -> Callable[[Column], Column]:
+    """A pandas UDF of convert(codec, value). Each worker loads the vocabulary once; what it remembers goes with the task."""
 
-    @F.pandas_udf(T.BinaryType())
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(kind)
+    def run(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(ranks_path, pattern)
-        for batch in texts:
-            yield pd.Series([codec.encode(x or "") for x in batch])
+        try:
+            for batch in values:
+                yield convert(codec, batch)
+        finally:
+            codec.later.forget()
+
+    return run
 
-    return encode
+
+def encoder(ranks_path: str, pattern: str) -> Callable[[Column], Column]:
+    """text -> ids as bytes; null is the empty text."""
+    return _by_batch(ranks_path, pattern, T.BinaryType(), lambda codec, batch: pd.Series([codec.encode(x or "") for x in batch]))
 
 
 def decoder(ranks_path: str, pattern: str) -> Callable[[Column], Column]:
     """ids as bytes -> the text's bytes; null has none."""
+    return _by_batch(ranks_path, pattern, T.BinaryType(), lambda codec, batch: pd.Series([codec.decode(bytes(x or b"")) for x in batch]))
 
-    @F.pandas_udf(T.BinaryType())
-    def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(ranks_path, pattern)
-        for batch in ids:
-            yield pd.Series([codec.decode(bytes(x or b"")) for x in batch])
 
-    return decode
+def round_tripper(ranks_path: str, pattern: str) -> Callable[[Column], Column]:
+    """text -> struct<ids, decoded>: encoder() and decoder() in one worker."""
+
+    def both(codec: ByteBPE, batch: pd.Series) -> pd.DataFrame:
+        ids = [codec.encode(x or "") for x in batch]
+        return pd.DataFrame({"ids": ids, "decoded": [codec.decode(x) for x in ids]})
+
+    return _by_batch(ranks_path, pattern, T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]), both)
+
+
+def _with_count(out: DataFrame) -> DataFrame:
+    return out.select("original", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *[c for c in out.columns if c != "original"])
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -172,10 +172,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     Rows are encoded one by one, so repeated rows, null ids and extra columns of any name are harmless. No shuffle.
     """
     bounded_batches(docs.sparkSession)
-    out = docs.select(F.struct("*").alias("original"), encoder(ranks_path, pattern)(F.col(text_col)).alias("ids"))
-    return out.select("original", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    return _with_count(docs.select(F.struct("*").alias("original"), encoder(ranks_path, pattern)(F.col(text_col)).alias("ids")))
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """encode_documents' rows with decoded, the bytes that the ids stand for."""
     return encoded.withColumn("decoded", decoder(ranks_path, pattern)(F.col("ids")))
+
+
+def round_trip_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """decode_documents(encode_documents(docs)), with one Python worker a task instead of two."""
+    bounded_batches(docs.sparkSession)
+    out = docs.select(F.struct("*").alias("original"), round_tripper(ranks_path, pattern)(F.col(text_col)).alias("trip"))
+    return _with_count(out.select("original", "trip.ids", "trip.decoded"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +15,50 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key is heavy if it holds more than 1/HEAVY of the rows, so there are fewer than HEAVY such keys.
 HEAVY = 1000
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Remembered(dict):
+    """make(key) of keys already asked for, in two generations that hold about `limit` bytes in all: what is not asked for while
+    the younger one fills is forgotten with the elder. Keys over LONGEST are made anew each time. Values are bytes or numbers."""
+
+    #: Bytes that an entry takes beside its key's and value's own length, and the length of keys that are not stored.
+    ENTRY, LONGEST = 180, 64
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.half, self.size, self.elder = make, limit // 2, 0, {}
+
+    def __missing__(self, key):
+        value = self.elder.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.LONGEST:
+            self.size += self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+            if self.size > self.half:
+                self.elder, self.size = dict(self), 0
+                self.clear()
+            self[key] = value
+        return value
+
+    def forget(self) -> None:
+        self.elder, self.size = {}, 0
+        self.clear()
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one if the master is
+    local; on a cluster it raises, as each executor would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         root = "file://" + tempfile.mkdtemp(prefix="tarnspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -41,10 +76,14 @@ def saved(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Long texts travel to Python workers in Arrow batches of few rows, so a worker's memory stays bounded."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Rows travel to Python workers in Arrow batches of about `limit` bytes (a longer text is a batch of its own), so that a worker's
+    memory is bounded whatever the texts' lengths. Spark reads this from the session when a lazy result is run, so it stays
+    set there; a lower setting is kept, and results don't depend on it."""
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    size = re.fullmatch(r"(-?\d+)b?", held)
+    if not size or not 0 < int(size[1]) <= limit:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
 
 
 def row_key(id_col: Column, text: Column) -> Column:
@@ -68,14 +107,17 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
     return hot.unionByName(rest)
 
 
-def write_blobs(df: DataFrame, column: str, path: str, trailer: bytes) -> None:
-    """Writes each row's bytes as a file of its own, followed by trailer, through Spark's committed file output.
+def write_blobs(df: DataFrame, column: str, path: str, trailer: bytes, folder: str | None = None) -> None:
+    """Writes each row's bytes as a file of its own, followed by trailer, through Spark's committed file output; with folder, a
+    column, into folders <folder>=<value>.
 
     The text writer emits a string's bytes as they are, then the line separator; ISO-8859-1 makes any bytes a separator.
     """
+    names = [folder] if folder else []
     (
-        df.select(F.col(column).cast("string").alias("value"))
-        .write.option("maxRecordsPerFile", 1)
+        df.select(F.col(column).cast("string").alias("value"), *names)
+        .write.partitionBy(*names)
+        .option("maxRecordsPerFile", 1)
         .option("encoding", "ISO-8859-1")
         .option("lineSep", trailer.decode("latin-1"))
         .text(path)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import token_files, warc
-from .byte_bpe import decode_documents, encode_documents
+from .byte_bpe import round_trip_documents
 from .chat import render_chats
 from .common import table
 from .line_dedup import dedup_lines
@@ -30,7 +30,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    out = decode_documents(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern), ranks, pattern)
+    out = round_trip_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
     return out.select("original.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

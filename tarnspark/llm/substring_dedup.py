@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, row_key, saved, skew_join
+from .common import Remembered, bounded_batches, row_key, saved, skew_join
 from .fm_index import FMIndex
 
 GRAM = 8
@@ -31,22 +31,19 @@ STRETCH = 64
 HOT_STRETCHES = 512
 #: Words of a shard, about.
 SHARD_WORDS = 300_000
-REMEMBERED = 500_000
+#: Bytes of word hashes that a task remembers.
+REMEMBERED = 16 << 20
 _U = np.uint64
 
 
 class WordHasher:
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = Remembered(xxhash.xxh64_intdigest, REMEMBERED)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """64-bit hashes of the words [^\\x20\\x09-\\x0D]+."""
-        words, known = (text or "").encode().split(), self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        words = (text or "").encode().split()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -9,11 +9,14 @@ of its key and the document's number, which gives the place of its ids. Layout,
     fingerprints uint32[docs], slot -> document uint32[docs], id offsets uint64[docs + 1], keys int64[docs],
     key flags uint8[docs] (1: the key is null), copies uint32[docs] (which of the rows of an equal key), ids
 
-Documents ascend by key, null keys first; shards of a partition and partitions ascend too.
+Documents ascend by key, null keys first; shards of a partition and partitions ascend too. A shard's folder is named
+shard=<partition>_<ids of the partition before it>_<its ids>_<first key>_<last key>, so that a listing of the folders is the index
+from keys to shards and gives all starts, and no file is opened for either.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -22,15 +25,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_characters
-from .common import bounded_batches, read_blobs, work_path, write_blobs
+from .common import Remembered, bounded_batches, work_path, write_blobs
 
 MAGIC, TRAILER = b"TARNTOK1", b"TARNEND1"
 #: A shard is closed when it has so many ids or documents.
-SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 16
+SHARD_IDS, SHARD_DOCS = 1 << 21, 1 << 16
 LEVEL_LOAD, MAX_LEVELS = 2, 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -142,6 +145,18 @@ class Shard:
         out[known] = self.slot_docs[slots[known]]
         return out
 
+    def every(self, keys: list[int | None]) -> np.ndarray:
+        """Document numbers of all rows of the keys that the shard holds. A key's rows follow each other, so one that is found leads to
+        the others; which copy the shard begins with is known from its first row."""
+        out = []
+        for key in keys:
+            first = int(self.copies[0]) if self.docs and (self.nulls[0] == 1, self.keys[0]) == (key is None, key or 0) else 0
+            at = int(self.find(key_codes(np.array([key or 0]), np.array([key is None]), np.array([first])))[0])
+            while 0 <= at < self.docs and (self.nulls[at] == 1, self.keys[at]) == (key is None, key or 0):
+                out.append(at)
+                at += 1
+        return np.array(out, np.int64)
+
     def get(self, key: int | None, copy: int = 0) -> np.ndarray | None:
         code = key_codes(np.array([key or 0]), np.array([key is None]), np.array([copy]))
         doc = int(self.find(code)[0])
@@ -160,56 +175,70 @@ class _Packers(dict):
         return found
 
 
+# Normaliser and pre-tokenizer settings under which words between blanks are encoded one by one.
+BY_WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+BY_WORD_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_at_blanks(settings: dict) -> bool:
+    """Whether the tokenizer's own settings let words between blanks be encoded one by one: every match of its pattern lies between
+    two blanks, its normaliser changes nothing across a blank (NFC never composes one, case is mapped character by character),
+    no added token has or strips a blank, and merges are not random."""
+    added = all(not re.search(r"\s", x["content"]) and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in settings["added_tokens"])
+    model = settings["model"]
+    plain = model["type"] == "BPE" and not model.get("dropout") and settings.get("truncation") is None and settings.get("padding") is None
+    return added and plain and settings["normalizer"] == BY_WORD_NORMALIZER and settings["pre_tokenizer"] == BY_WORD_PRE_TOKENIZER
+
+
 class WordEncoder:
-    """The tokenizer's ids of whole texts, word by word. Its normaliser and pre-tokenizer treat words between blanks
-    ([\\x20\\x09-\\x0D]) one by one, no added token has a blank, and a word of Latin-1 letters followed by ASCII marks other than
-    the apostrophe is two pre-tokens, the letters lower-cased and the marks. Whether that holds is tried on construction."""
+    """The tokenizer's ids of whole texts: word by word ([^\\x20\\x09-\\x0D]+) where splits_at_blanks() allows it. There a word of Latin-1 letters
+    followed by ASCII marks other than the apostrophe is two pre-tokens, the letters lower-cased and the marks."""
 
-    #: Words, and runs of letters, that a worker remembers.
-    REMEMBERED = 1_000_000
+    #: Bytes of words, and of runs of letters, that a worker remembers while a task runs.
+    REMEMBERED = 12 << 20
     _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
     def __init__(self, path: str, width: int, end_id: int | None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.packers, self.known, self.runs = _Packers("H" if width == 2 else "I"), {}, {}
+        self.packers = _Packers("H" if width == 2 else "I")
+        self.known, self.runs = Remembered(self._word, self.REMEMBERED), Remembered(self._run, self.REMEMBERED)
         self.end = b"" if end_id is None else self._pack([end_id])
         chars = byte_characters()
         self.bytewise = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-        tries = ["A b,c\td\n\n'Re e<|endoftext|> f", "é  é ſ x\x0b<y> '\x0c7 8", "a 's b ,. c", "ÀÉ&& été... don't", "Don (a) 3b b3 it's"]
-        self.by_word = all(self._whole(x) == b"".join([self._word(w) for w in x.encode().split()]) for x in tries)
+        self.by_word = splits_at_blanks(json.loads(self.tokenizer.to_str()))
 
     def _pack(self, ids: list[int]) -> bytes:
-        return self.packers[len(ids)].pack(*ids)
+        return self.packers[len(ids)].pack(*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}{self.packers.letter}", *ids)
 
     def _whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _run(self, run: str) -> bytes:
         """A run of letters, lower-cased, or of marks."""
-        if run not in self.runs:
-            self.runs[run] = self._pack([t.id for t in self.tokenizer.model.tokenize(run.translate(self.bytewise))]) if run[:1].isalpha() else self._whole(run)
-        return self.runs[run]
+        return self._pack([t.id for t in self.tokenizer.model.tokenize(run.translate(self.bytewise))]) if run[:1].isalpha() else self._whole(run)
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         found = self._WORD.match(text)
-        return self._run(found[1].lower()) + self._run(found[2]) if found else self._whole(text)
+        return self.runs[found[1].lower()] + self.runs[found[2]] if found else self._whole(text)
 
-    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_word:
-            return [self._whole(x.decode()) + self.end for x in texts]
-        for memory in (self.known, self.runs):
-            if len(memory) > self.REMEMBERED:
-                memory.clear()
-        split, known = [x.split() for x in texts], self.known
-        for w in set().union(*split).difference(known):
-            known[w] = self._word(w)
-        return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
+    def encode(self, text: bytes) -> bytes:
+        return (b"".join(map(self.known.__getitem__, text.split())) if self.by_word else self._whole(text.decode())) + self.end
 
+    def forget(self) -> None:
+        self.known.forget()
+        self.runs.forget()
 
-@lru_cache(maxsize=2)
+
+@lru_cache(maxsize=1)
 def _encoder(path: str, width: int, end_id: int | None) -> WordEncoder:
     return WordEncoder(path, width, end_id)
 
@@ -217,61 +246,100 @@ def _encoder(path: str, width: int, end_id: int | None) -> WordEncoder:
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None, *, width: int = 2, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes whole texts' ids as shards below path, documents in ascending id order, null ids first.
 
-    Texts are dealt by ranges of ids, one shuffle, and encoded after it. width: bytes of an id. Null and empty texts have the
-    end id only. Rows of one id follow each other, ordered by text, and are told apart by a copy number; other columns
-    are not kept. An empty table writes no shard.
+    Texts are dealt by ranges of ids and, within an id, of hashes of their texts, so an id of many rows is split; one shuffle, and
+    encoding after it. width: bytes of an id. Null and empty texts have the end id only. Rows of one id follow each
+    other, and are told apart by partition and copy, a number; other columns are not kept. An empty table writes no shard.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.repartitionByRange(n, F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), "text").select("id", F.col("text").cast("binary").alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    order = [F.asc_nulls_first("id"), F.asc("hash")]
+    d = d.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("id", F.col("text").cast("binary").alias("text"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec, partition = _encoder(tokenizer_path, width, end_id), TaskContext.get().partitionId()
         keys, copies, ids, held, before, last = [], [], [], 0, 0, (0, None)
-        for batch in batches:
-            numbers = [None if pd.isna(x) else int(x) for x in batch["id"]]
-            for key, own in zip(numbers, codec.encode_batch([bytes(x) for x in batch["text"]]), strict=True):
-                last = (last[0] + 1, key) if last[1] == key and (keys or before or held) else (0, key)
-                keys.append(key)
-                copies.append(last[0])
-                ids.append(own)
-                held += len(own) // width
-                if held >= SHARD_IDS or len(keys) >= SHARD_DOCS:
-                    yield pd.DataFrame({"shard": [pack_shard(keys, copies, ids, width, partition, before)]})
-                    before, held = before + held, 0
-                    keys, copies, ids = [], [], []
-        if keys:
-            yield pd.DataFrame({"shard": [pack_shard(keys, copies, ids, width, partition, before)]})
-
-    write_blobs(d.mapInPandas(pack, "shard binary"), "shard", path, TRAILER)
 
-
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of the shards below path: doc_id, copy, partition, offset (ids of its partition before it), n_tokens and
-    ids (as little-endian unsigned 32-bit integers), each found by its key through the shard's hash."""
+        def shard() -> pd.DataFrame:
+            name = "_".join("null" if x is None else str(x) for x in (partition, before, held, keys[0], keys[-1]))
+            return pd.DataFrame({"blob": [pack_shard(keys, copies, ids, width, partition, before)], "shard": [name]})
+
+        try:
+            for batch in batches:
+                for key, text in zip(batch["id"], batch["text"], strict=True):
+                    key, own = None if pd.isna(key) else int(key), codec.encode(bytes(text))
+                    last = (last[0] + 1, key) if last[1] == key and (keys or before or held) else (0, key)
+                    keys.append(key)
+                    copies.append(last[0])
+                    ids.append(own)
+                    held += len(own) // width
+                    if held >= SHARD_IDS or len(keys) >= SHARD_DOCS:
+                        yield shard()
+                        before, held = before + held, 0
+                        keys, copies, ids = [], [], []
+            if keys:
+                yield shard()
+        finally:
+            codec.forget()
+
+    write_blobs(d.mapInPandas(pack, "blob binary, shard string"), "blob", path, TRAILER, "shard")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A row a shard below path: path, partition, before, n_ids, first_key, last_key, from the folders' names alone."""
+    found = spark.read.format("binaryFile").load(path)
+    if "shard" not in found.columns:  # no shard was written
+        found = found.withColumn("shard", F.lit(None).cast("string"))
+    part = F.split("shard", "_")
+    number = lambda i: F.nullif(part[i], F.lit("null")).cast("long")
+    return found.select("path", *[number(i).alias(c) for i, c in enumerate(("partition", "before", "n_ids", "first_key", "last_key"))])
+
+
+def _documents(spark: SparkSession, path: str, covers: Column | None, wanted: list[int | None] | None) -> DataFrame:
+    """Documents of the shards that covers() names; of all keys, or of wanted ones."""
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
                 s = Shard(bytes(content))
-                found = s.find(key_codes(s.keys, s.nulls, s.copies))
+                found = s.find(key_codes(s.keys, s.nulls, s.copies)) if wanted is None else s.every(wanted)
                 start, end = s.offsets[found], s.offsets[found + 1]
                 for at in range(0, len(found), 1000):
                     part = slice(at, at + 1000)
+                    docs = found[part]
                     yield pd.DataFrame({
-                        "doc_id": pd.arrays.IntegerArray(s.keys[part].astype(np.int64), s.nulls[part] == 1),
-                        "copy": s.copies[part].astype(np.int64), "partition": np.int64(s.partition), "offset": s.before + start[part],
+                        "doc_id": pd.arrays.IntegerArray(s.keys[docs].astype(np.int64), s.nulls[docs] == 1),
+                        "copy": s.copies[docs].astype(np.int64), "partition": np.int64(s.partition), "offset": s.before + start[part],
                         "n_tokens": end[part] - start[part], "ids": [s.payload[a:b].astype("<u4").tobytes() for a, b in zip(start[part], end[part], strict=True)],
                     })
 
-    return read_blobs(spark, path).mapInPandas(documents, "doc_id long, copy long, partition long, offset long, n_tokens long, ids binary")
+    blobs = spark.read.format("binaryFile").load(path)
+    if covers is not None and "shard" in blobs.columns:
+        blobs = blobs.where(covers)
+    return blobs.select("content").mapInPandas(documents, "doc_id long, copy long, partition long, offset long, n_tokens long, ids binary")
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """Every document of the shards below path: doc_id, copy, partition, offset (ids of its partition before it), n_tokens and
+    ids (as little-endian unsigned 32-bit integers), each found by its key through the shard's hash."""
+    return _documents(spark, path, None, None)
+
+
+def read_keys(spark: SparkSession, path: str, keys: list[int | None]) -> DataFrame:
+    """read_token_files' rows of a few keys (None: null). Only shards whose first and last key enclose one of them are opened, and each
+    key takes constant time there; keys that no shard holds give no row."""
+    part = F.split("shard", "_")
+    low, high = F.nullif(part[3], F.lit("null")).cast("long"), F.nullif(part[4], F.lit("null")).cast("long")
+    covers = F.lit(False)
+    for key in set(keys):
+        covers = covers | (low.isNull() if key is None else (low.isNull() | (low <= key)) & high.isNotNull() & (high >= key))
+    return _documents(spark, path, covers, list(dict.fromkeys(keys)))
 
 
-def with_starts(tokens: DataFrame) -> DataFrame:
-    """read_token_files' rows with start: all ids before the document. The sizes of the partitions, one row each, are added up."""
-    sizes = tokens.groupBy("partition").agg(F.sum("n_tokens").alias("n"))
+def with_starts(tokens: DataFrame, shards: DataFrame) -> DataFrame:
+    """read_token_files' rows with start: all ids before the document, by the manifest's sizes of partitions, one row each."""
+    sizes = shards.groupBy("partition").agg(F.sum("n_ids").alias("n"))
     earlier = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("partition", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     return tokens.join(F.broadcast(base), "partition").withColumn("start", F.col("base") + F.col("offset"))
@@ -282,4 +350,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int | None, *, widt
     spark = docs.sparkSession
     path = work_path(spark, "token-files")
     write_token_files(docs, path, tokenizer_path, end_id, width=width, **names)
-    return with_starts(read_token_files(spark, path))
+    return with_starts(read_token_files(spark, path), manifest(spark, path))
