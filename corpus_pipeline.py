@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.llm.byte_bpe import decode_documents, encode_documents
+from tarnspark.llm.byte_bpe import round_trip_documents
 from tarnspark.llm.common import saved, table
 from tarnspark.llm.line_dedup import dedup_lines
 from tarnspark.llm.mixing import mixed_documents
@@ -50,7 +50,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) of each use of a document, and digests of them and of what they decode to."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    out = decode_documents(encode_documents(docs, ranks, pattern), ranks, pattern)
+    out = round_trip_documents(docs, ranks, pattern)
     return out.select("original.doc_id", "original.lang", "original.source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
