@@ -1,4 +1,6 @@
-"""A compressed FM-index over sequences of integers: the Burrows-Wheeler transform in a wavelet matrix of packed bits.
+"""A compressed FM-index over sequences of integers: the Burrows-Wheeler transform in a wavelet matrix of packed bits, a bit for
+each suffix of a sequence that occurs more than once, and the sorted symbols. The text is not kept: what is searched is streamed past
+the index. With 2^16 symbols that is about 3 bytes a position, besides 12 bytes a different symbol.
 
 Searches run for many patterns at a time, a step of all of them by a few array operations.
 """
@@ -18,7 +20,7 @@ class Bits:
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view("<u8").astype(np.uint64)
         counts = np.bitwise_count(self.words).astype(np.int64)
-        self.before = (np.cumsum(counts) - counts).astype(np.int64)
+        self.before = (np.cumsum(counts) - counts).astype(np.int32)
         self.zeros = len(bits) - int(counts.sum())
 
     def rank(self, at: np.ndarray) -> np.ndarray:
@@ -36,7 +38,7 @@ class WaveletMatrix:
             self.levels.append((shift, Bits(bit.astype(np.uint8))))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
         every = np.arange(n_symbols)
-        self.starts = self._trace(every, np.zeros(n_symbols, np.int64))
+        self.starts = self._trace(every, np.zeros(n_symbols, np.int64)).astype(np.int32)
 
     def _trace(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for shift, bits in self.levels:
@@ -50,39 +52,57 @@ class WaveletMatrix:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of suffixes, sorted by their first symbols, at least depth of them."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    order, known = np.argsort(rank, kind="stable"), 1
-    while known < depth and rank.max(initial=0) < len(text) - 1:
-        ahead = np.zeros(len(text), np.int64)
-        ahead[:-known or None] = rank[known:] + 1 if known < len(text) else 0
-        key = rank * (len(text) + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        own = key[order]
-        rank = np.empty(len(text), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], own[1:] != own[:-1]]))
+    """Starts of suffixes, sorted by their first symbols up to the next 0, at least depth of them.
+
+    Prefix doubling. A suffix has the rank of the first place of its group of so far equal ones; only groups of two or more are
+    sorted on, without suffixes whose 0 has been reached.
+    """
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    ends = np.flatnonzero(text == 0)
+    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) if n else ends  # symbols before the next 0
+    rank = np.empty(n, np.int64)
+    at, known = np.arange(n), 1
+    suffix, key = order, text[order]
+    while True:
+        first = np.ones(len(at), bool)
+        first[1:] = key[1:] != key[:-1]
+        rank[suffix] = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))] if len(at) else at
+        alone = first & np.append(first[1:], True)
+        more = ~alone & (left[suffix] >= known)
+        at, suffix = at[more], suffix[more]
+        if known >= depth or not len(at):
+            return order
+        # `at` may have lost some of a group's places: what is left of a group takes its places in order.
+        key = rank[suffix] * (n + 1) + rank[suffix + known] + 1
+        by = np.argsort(key)
+        suffix, key = suffix[by], key[by]
+        order[at] = suffix
         known *= 2
-    return order
 
 
 class FMIndex:
-    """Index of sequences, each with a weight: an occurrence in a sequence counts by its weight. Patterns may have up to depth
-    symbols; none runs over the end of a sequence."""
+    """Index of sequences, each marked if it occurs more than once. Patterns may have up to depth symbols; none runs over the end
+    of a sequence."""
 
-    def __init__(self, sequences: list[np.ndarray], weights: np.ndarray, depth: int):
+    def __init__(self, sequences: list[np.ndarray], often: np.ndarray, depth: int):
         lengths = np.array([len(x) + 1 for x in sequences], np.int64)
-        self.starts = np.cumsum(lengths) - lengths
+        starts = np.cumsum(lengths) - lengths
         self.values = np.unique(np.concatenate(sequences)) if sequences else np.zeros(0, np.uint64)
-        self.text = np.zeros(int(lengths.sum()), np.int64)  # 0 ends each sequence
-        for start, x in zip(self.starts, sequences, strict=True):
-            self.text[start : start + len(x)] = np.searchsorted(self.values, x) + 1
-        order = suffix_order(self.text, depth + 1)
+        text = np.zeros(int(lengths.sum()), np.int64)  # 0 ends each sequence
+        for start, x in zip(starts, sequences, strict=True):
+            text[start : start + len(x)] = np.searchsorted(self.values, x) + 1
+        order = suffix_order(text, depth + 1)
         n_symbols = len(self.values) + 1
-        self.wavelet = WaveletMatrix(self.text[order - 1], n_symbols)
-        counts = np.bincount(self.text, minlength=n_symbols)
+        self.wavelet = WaveletMatrix(text[order - 1], n_symbols)
+        counts = np.bincount(text, minlength=n_symbols)
         self.smaller = np.cumsum(counts) - counts
-        self.weight_before = np.concatenate([[0], np.cumsum(np.repeat(weights, lengths)[order])])
-        self.size = len(self.text)
+        self.often = Bits(np.repeat(often, lengths)[order].astype(np.uint8))
+        self.size = len(text)
+
+    def bytes_held(self) -> int:
+        bits = [b for _, b in self.wavelet.levels] + [self.often]
+        return sum(b.words.nbytes + b.before.nbytes for b in bits) + self.wavelet.starts.nbytes + self.values.nbytes + self.smaller.nbytes
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward step: the suffix ranges of the patterns with symbol put before them."""
@@ -90,26 +110,32 @@ class FMIndex:
         n = len(symbol)
         return self.smaller[symbol] + both[:n], self.smaller[symbol] + both[n:]
 
-    def weight(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return self.weight_before[high] - self.weight_before[low]
-
-    def repeats(self, which: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics above a threshold, streamed for the sequences `which`: their intervals (number in `which`, from, to), in
-        which every window occurs with a weight of 2 at least.
-
-        A search goes backward from an end while the match repeats. The first starts at the sequence's end; then windows
-        are searched from the left, and where a match breaks off, all windows over the break are skipped.
-        """
-        n, base = len(which), self.starts[which]
+    def again(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether each range holds two occurrences or more."""
+        return (high - low >= 2) | (self.often.rank(high) > self.often.rank(low))
+
+    def repeats(self, patterns: list[np.ndarray], window: int, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics above a threshold, of sequences of the index that are streamed past it, about chunk symbols at a time:
+        their intervals (number of the sequence, from, to), in which every window occurs at least twice."""
+        lengths = np.array([len(x) for x in patterns], np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // chunk)) + 1
+        found = [self._repeats(np.searchsorted(self.values, np.concatenate(patterns[own[0] : own[-1] + 1])) + 1, lengths[own], window, own[0]) for own in np.split(np.arange(len(patterns)), cuts) if len(own)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+    def _repeats(self, text: np.ndarray, lengths: np.ndarray, window: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A search goes backward from an end while the match repeats. The first starts at the sequence's end; then windows
+        are searched from the left, and where a match breaks off, all windows over the break are skipped."""
+        n, base = len(lengths), np.cumsum(lengths) - lengths
         seq, goal = np.arange(n), np.zeros(n, np.int64)  # the window searched for starts at goal
         at, low, high = lengths.astype(np.int64).copy(), np.zeros(n, np.int64), np.full(n, self.size, np.int64)
         limit = np.maximum(lengths - window + 1, 0)  # windows from here on are settled
         first = np.ones(n, bool)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        none = np.zeros(0, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, none)]
         live = np.flatnonzero(limit > 0)
         while len(live):
-            new_low, new_high = self.extend(self.text[base[live] + at[live] - 1], low[live], high[live])
-            more = self.weight(new_low, new_high) >= 2
+            new_low, new_high = self.extend(text[base[live] + at[live] - 1], low[live], high[live])
+            more = self.again(new_low, new_high)
             on = live[more]
             low[on], high[on] = new_low[more], new_high[more]
             at[on] -= 1
@@ -131,6 +157,5 @@ class FMIndex:
                 at[ended] = goal[ended] + window
                 low[ended], high[ended] = 0, self.size
                 live = live[goal[live] < limit[live]]
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        which, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        return which + number, start, end

@@ -3,7 +3,7 @@
 A window is `window` consecutive words. Its minimizer, the least hash of its GRAM-word grams, depends on its words only, so
 equal windows have equal minimizers, wherever they are. Texts are cut into stretches: runs of windows of one minimizer.
 Stretches whose minimizer is found once in all documents, and once in their own text, hold no repeated window. The others are dealt to shards by minimizer,
-equal ones as one with a weight, and each shard builds a compressed FM-index of its stretches and streams them through
+equal ones as one with a mark, and each shard builds a compressed FM-index of its stretches and streams all of them through
 it: backward searches give matching statistics, and intervals of at least a window's length that occur elsewhere are reported.
 So a shard needs no other shard's index, and work grows with the input, not with shards times documents.
 
@@ -133,14 +133,8 @@ def _contents(window: int):
 def _index_shard(window: int):
     def index(group: pd.DataFrame) -> pd.DataFrame:
         pieces = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
-        lengths = np.array([len(x) for x in pieces], np.int64)
-        weights = group["weight"].to_numpy(np.int64)
-        fm = FMIndex(pieces, weights, STRETCH + window)
-        single = np.flatnonzero(weights < 2)
-        which, start, end = fm.repeats(single, lengths[single], window)
-        which = np.concatenate([single[which], np.flatnonzero(weights > 1)])  # a stretch that occurs twice repeats as a whole
-        start = np.concatenate([start, np.zeros(len(which) - len(start), np.int64)])
-        end = np.concatenate([end, lengths[weights > 1]])
+        fm = FMIndex(pieces, group["weight"].to_numpy(np.int64) > 1, STRETCH + window)
+        which, start, end = fm.repeats(pieces, window)
         names = group["piece"].to_numpy()
         order = np.argsort(which, kind="stable")
         cuts = np.flatnonzero(np.diff(which[order])) + 1 if len(order) else np.zeros(0, np.int64)
@@ -166,13 +160,14 @@ def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"]).astype({"id": "Int64"})
 
 
-def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", hot_stretches: int = HOT_STRETCHES) -> DataFrame:
     """(id, n_words, n_removed, kept) for each row of docs: every word that a window covers whose words also start anywhere else
     is removed, and kept has the others, joined by one space, as UTF-8 bytes.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged; null, empty and blank texts have none. Every row is a document, so repeated rows
     repeat each other's windows. Ids may be null, other columns are ignored, and an empty table gives an empty result.
-    Words are compared by 64-bit hashes: another window is taken for equal only if all its words' hashes agree.
+    Words are compared by 64-bit hashes: another window is taken for equal only if all its words' hashes agree. A minimizer of more
+    than hot_stretches different stretches is dealt window by window; results don't depend on it.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -182,7 +177,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     twice = cut.groupBy("m").agg(F.sum("times").alias("c")).where("c > 1").select("m")
     repeated = saved(skew_join(cut, twice, ["m"], "left_semi", "sub"), "sub-repeated")
     kinds = saved(repeated.groupBy("m", "stretch", "n").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("row", "start")).alias("of")), "sub-kinds")
-    hot = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_STRETCHES).select("m", F.lit(True).alias("hot"))
+    hot = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot_stretches).select("m", F.lit(True).alias("hot"))
     kinds = skew_join(kinds, saved(hot, "sub-hot"), ["m"], "left", "sub-kinds")
     part = F.struct("m", "stretch", F.col("of.start").alias("start"), "n", "weight", F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = kinds.groupBy(F.col("of.row").alias("row")).agg(F.collect_list(part).alias("parts"))
