@@ -30,8 +30,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Signature hashes compared before each posterior test, and the odds below which a pair is pruned.
 BATCHES, MISS = (16, 32, 64, 128), 1e-8
-#: Members of a block of a bucket.
-BLOCK = 1024
+#: Members of a block of a bucket, and bytes of their hashed sets, at most (about, as members are dealt by hash).
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Bytes of word hashes that a task remembers.
 REMEMBERED = 16 << 20
 
@@ -154,6 +154,14 @@ def components(edges: DataFrame, label: str = "near") -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame, label: str = "near") -> DataFrame:
+    """labels (node, comp) after further links (a, b): the components that links join, and only those, are labelled anew."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).where("a != b")
+    new = components(between, label).select(F.col("node").alias("comp"), F.col("comp").alias("joined"))
+    return saved(labels.join(new, "comp", "left").select("node", F.coalesce("joined", "comp").alias("comp")), f"{label}-labels")
+
+
 def _verified(edges: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """edges (a, b) with linked: whether their full sets are similar enough."""
 
@@ -207,6 +215,13 @@ def _small_sets(width: int):
     return small
 
 
+def _apart(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Blocks whose pairs are all pairs of p and q but those inside p's largest component."""
+    names, sizes = np.unique(label[p], return_counts=True)
+    main = names[sizes.argmax()] if len(p) else -1
+    return [(p[label[p] == main], q[label[q] != main]), (p[label[p] != main], q)]
+
+
 def _block_forest(least: list[int], percent: int) -> Callable:
     """Of blocks of buckets: links between components, a spanning forest of them. Pairs that survive the posterior tests are tried
     on their small sets, most equal hashes first, with room for chance collisions. A pair that shares several
@@ -219,6 +234,7 @@ def _block_forest(least: list[int], percent: int) -> Callable:
         sets = [np.frombuffer(x, np.uint32) for x in group["small"]]
         failed = [{bytes(y) for y in ys} if ys is not None else () for ys in group["failed"]]
         mine, left, right, bands = (group[c].to_numpy() for c in ("mine", "i", "j", "band"))
+        label = np.unique(np.array(comps, object), return_inverse=True)[1]
         root: dict[bytes, bytes] = {}
 
         def find(x: bytes) -> bytes:
@@ -231,12 +247,15 @@ def _block_forest(least: list[int], percent: int) -> Callable:
         edges = np.flatnonzero((codes[1:] != codes[:-1]) | (bands[1:] != bands[:-1])) + 1
         for own in np.split(np.arange(len(group)), edges):
             p, q = own[mine[own] == left[own]], own[mine[own] == right[own]]
-            i, j, m = pair_matches(sigs[p], sigs[q], least)
-            i, j = p[i], q[j]
-            keep = similar_sizes(sizes[i], sizes[j], percent)
-            if left[own[0]] == right[own[0]]:
-                keep &= i < j
-            i, j, m = i[keep], j[keep], m[keep]
+            found = []
+            for x, y in _apart(label, p, q):
+                i, j, m = pair_matches(sigs[x], sigs[y], least)
+                i, j = x[i], y[j]
+                keep = similar_sizes(sizes[i], sizes[j], percent) & (label[i] != label[j])
+                if left[own[0]] == right[own[0]]:
+                    i, j = np.minimum(i, j), np.maximum(i, j)
+                found.append((i[keep], j[keep], m[keep]))
+            i, j, m = (np.concatenate(x) for x in zip(*found, strict=True))
             for at in np.argsort(-m, kind="stable"):
                 x, y = i[at], j[at]
                 a, b = find(comps[x]), find(comps[y])
@@ -254,19 +273,44 @@ def _block_forest(least: list[int], percent: int) -> Callable:
     return forest
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _compared(placed: DataFrame, block: int) -> DataFrame:
+    """Where members (band, code, node, n, comp) are compared: a row (band, code, node, comp, lot, mine, i, j) for each pair of blocks, i
+    and j, that a member's own block, mine, is part of. Buckets within one component drop out.
+
+    A bucket's members outside its main component are dealt into blocks of their own, which meet each other and the blocks of
+    the main component; those do not meet each other. So the rows of a hot component are copied as often as there are blocks
+    of outsiders, not as there are blocks of its own. Small buckets are one block each, and share lots.
+    """
+    key = ["band", "code"]
+    sizes = placed.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("held"))
+    sizes = sizes.groupBy(*key).agg(F.max(F.struct("size", "comp", "held")).alias("main"), F.sum("size").alias("size"), F.sum("held").alias("held")).where("size > main.size")
+    blocks = lambda rows, sets: F.greatest(F.ceil(rows / block), F.ceil(sets * 4 / BLOCK_BYTES)).cast("int")
+    sizes = sizes.select(*key, F.col("main.comp").alias("main"), blocks(F.col("size"), F.col("held")).alias("all"), blocks(F.col("main.size"), F.col("main.held")).alias("inner"), blocks(F.col("size") - F.col("main.size"), F.col("held") - F.col("main.held")).alias("outer"))
+    part = saved(placed.join(sizes, key), "near-placed")
+    total = part.agg(blocks(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)))).first()[0]
+    name, whole, inside = F.xxhash64(*key), F.col("all") <= 1, F.col("comp") == F.col("main")
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    mine = F.when(whole, 0).when(inside, F.col("outer") + deal(F.col("inner"))).otherwise(deal(F.col("outer")))
+    part = part.withColumns({"lot": F.when(whole, F.pmod(name, F.lit(total + 1))).otherwise(name), "mine": mine})
+    met = F.when(whole, F.array(F.lit(0))).when(inside, F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1))
+    pairs = F.transform(met, lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
+    return part.withColumn("pair", F.explode(pairs)).select(*key, "node", "comp", "lot", "mine", "pair.i", "pair.j")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(row, id, n_shingles, component_id) for each row of docs: documents whose sets of width-word shingles have 100 * |intersection|
     >= percent * |union| are linked, and component_id is the smallest id that links reach, the own one included.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. With fewer words than width the whole sequence is the only shingle; null,
     empty and blank texts have none and are linked with nothing. Rows of equal sets are linked, repeated rows too; null ids
     are never a component's id unless all its ids are null. Other columns are ignored; an empty table gives an empty
-    result. Classes of equal sets are told by 128-bit hashes; links between classes are verified on the words.
+    result. Classes of equal sets are told by 128-bit hashes; links between classes are verified on the words. block bounds the rows of a
+    bucket that one task compares with as many others; results don't depend on it.
     """
-    return _grouped(docs, width, percent, id_col, text_col).drop("comp")
+    return _grouped(docs, width, percent, id_col, text_col, block).drop("comp")
 
 
-def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, block: int) -> DataFrame:
     """near_duplicates with comp, which tells components apart also where all ids are null; NULL for rows without shingles."""
     bounded_batches(docs.sparkSession)
     least = least_matches(percent / 100)
@@ -274,9 +318,9 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     full = signed.where(F.col("node").isNotNull())
     classes = saved(full.groupBy("node").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)).alias("code")) for i in range(BANDS)])
-    cells = classes.select("node", F.explode(bands).alias("cell")).select("node", "cell.band", "cell.code")
+    cells = classes.select("node", "n", F.explode(bands).alias("cell")).select("node", "n", "cell.band", "cell.code")
     buckets = saved(cells.groupBy("band", "code").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
-    members = saved(cells.join(buckets, ["band", "code"]), "near-members")
+    members = saved(cells.join(buckets, ["band", "code"]).drop("size"), "near-members")
     alike = members.select("node").distinct()
     sigs = saved(classes.join(alike, "node").select("node", "n", "sig", "row"), "near-sigs")
     d = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
@@ -288,32 +332,22 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     star = star.select("a", "b", "na", "nb", "sa", "sb").mapInPandas(_star_tester(least, percent), "a binary, b binary, m long")
     best = star.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     tested = saved(_verified(saved(best, "near-star"), texts, width, percent), "near-tested")
-    links, failed = tested.where("linked").select("a", "b"), tested.where("NOT linked").select("a", "b")
+    failed = tested.where("NOT linked").select("a", "b")
+    labels = saved(sigs.select("node").join(components(tested.where("linked")), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "near-labels")
     while True:
-        labels = components(links)
-        own = F.coalesce(F.col("comp"), F.col("node"))
         sided = failed.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(failed.select(F.col("b").alias("node"), F.col("a").alias("other")))
         sided = sided.groupBy("node").agg(F.collect_set("other").alias("failed"))
-        placed = members.select("band", "code", "node").join(labels, "node", "left").select("band", "code", own.alias("comp"))
-        mixed = placed.groupBy("band", "code").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band", "code")
-        part = saved(members.select("band", "code", "node", "size").join(mixed, ["band", "code"]), "near-mixed")
+        part = saved(_compared(members.join(labels, "node"), block), "near-mixed")
         small = texts.join(part.select("node").distinct(), "node", "left_semi").select("node", "text").mapInPandas(_small_sets(width), "node binary, small binary")
-        state = sigs.select("node", "n", "sig").join(small, "node").join(labels, "node", "left").join(sided, "node", "left").select("node", "n", "sig", "small", "failed", own.alias("comp"))
-        lots = math.ceil(part.count() / BLOCK) + 1
-        name, blocks = F.xxhash64("band", "code"), F.ceil(F.col("size") / BLOCK).cast("int")
-        part = part.withColumns({"blocks": blocks, "lot": F.when(F.col("size") <= BLOCK, F.pmod(name, F.lit(lots))).otherwise(name)})
-        part = part.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
-        part = part.withColumn("pair", F.explode(pairs)).select("band", "code", "node", "blocks", "lot", "mine", "pair.i", "pair.j").join(saved(state, "near-state"), "node")
-        forest = part.groupBy("blocks", "lot", "i", "j").applyInPandas(_block_forest(least, percent), "a binary, b binary")
+        state = sigs.select("node", "n", "sig").join(small, "node").join(sided, "node", "left").select("node", "n", "sig", "small", "failed")
+        forest = part.join(saved(state, "near-state"), "node").groupBy("lot", "i", "j").applyInPandas(_block_forest(least, percent), "a binary, b binary")
         fresh = saved(forest.distinct(), "near-forest")
         if fresh.isEmpty():
             break
         tested = saved(_verified(fresh, texts, width, percent), "near-tested")
-        links = links.unionByName(tested.where("linked").select("a", "b"))
+        labels = merged(labels, tested.where("linked"))
         wrong = tested.where("NOT linked").select("a", "b")
         if wrong.isEmpty():  # so every pair that was passed over lies in one component
-            labels = components(links)
             break
         failed = failed.unionByName(wrong)
     named = classes.select("node", "id").join(labels, "node")
@@ -326,10 +360,11 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one of its id, the first of them if unequal rows have that id, or if all its ids are
-    null; rows without shingles all stay, equal ones too."""
+    """docs with one row of each component: the one of its id, the first of them by text if unequal rows have that id, or if all its ids
+    are null; rows without shingles all stay, equal ones too. Rows equal in id and text are one row. docs' columns may have any names."""
     blank = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    found = _grouped(docs, width, percent, id_col, text_col).where(F.col("comp").isNotNull() & F.col("id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("comp").agg(F.min("row").alias("__row")).select("__row")
-    d = docs.where(~blank).withColumn("__row", row_key(F.col(id_col), F.col(text_col)))
-    return d.join(keep, "__row").dropDuplicates(["__row"]).drop("__row").union(docs.where(blank))
+    found = _grouped(docs, width, percent, id_col, text_col, BLOCK).where(F.col("comp").isNotNull() & F.col("id").eqNullSafe(F.col("component_id")))
+    keep = found.groupBy("comp").agg(F.min("row").alias("row")).select("row")
+    d = docs.where(~blank).select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.struct("*").alias("original"))
+    one = d.join(keep, "row").dropDuplicates(["row"]).select("original.*")
+    return one.union(docs.where(blank))
