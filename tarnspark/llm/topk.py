@@ -1,28 +1,35 @@
 """Exact top-k search by block-at-a-time pruning.
 
-Vectors are dealt into blocks of neighbouring ids. A block's summary has the greatest and least value of every dimension
-(term), so the sum of a query's best terms bounds every score in the block. Each query visits blocks in order of that
-bound, a few more in each round, through the blocks' packed forward indexes, until the next bound is below its k-th score.
+Vectors are ordered by the nearest of some centroids and how near it is, and cut into blocks of that order, so that a block's vectors are alike. A
+block's summary has the greatest and least value of every dimension (term), so the sum of a query's best terms bounds every
+score in the block. Each query visits blocks in order of that bound, a few more in each round, through the blocks' packed
+forward indexes, until the next bound is below its k-th score.
+
+The centroids only order the vectors: they are fitted on a bounded sample, and every vector is indexed and every bound is exact whatever they
+are. How much is pruned depends on the vectors: those of tight groups are pruned, for independent random directions of
+many dimensions no block's bound is below the k-th score, and every block is visited.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bounded_batches, saved
 
-#: Vectors of a block, and blocks in all, of which the driver and every task hold the summaries (64 dimensions: 1 kB each).
-BLOCK_ROWS, MAX_BLOCKS = 2048, 8192
+#: Vectors of a block, at most; block summaries of a row of work; queries of a row of work.
+BLOCK_ROWS, SUMMARIES, QUERY_PACK = 1024, 256, 256
+#: Vectors that the centroids are fitted on, centroids at most, one for each so many vectors of the sample, and steps of the fit.
+SAMPLE, CENTROIDS, SAMPLE_SHARE, STEPS = 4096, 256, 16, 6
+#: Steps of the cosine distance from the centroid by which its vectors are told apart.
+BANDS = 4
 #: Blocks that a query visits in the first rounds; the last round takes all that the bounds leave.
 ROUNDS = (1, 6)
-#: Queries that one row of work carries.
-QUERY_PACK = 256
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -50,93 +57,166 @@ def _matrix(rows, dim: int) -> np.ndarray:
     return np.stack([np.asarray(r, np.int64) for r in rows]) if len(rows) else np.zeros((0, dim), np.int64)
 
 
-def _packs(rows: int):
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+def _held(columns, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, columns)), np.int64).reshape(-1, dim) if dim else np.zeros((len(columns), 0), np.int64)
 
-        def out(dim: int) -> pd.DataFrame:
-            own = held.pop(dim)
-            m = _matrix([v for _, v in own], dim)
-            return pd.DataFrame({"dim": [dim], "first": [own[0][0]], "n": [len(own)], "ids": [np.array([i for i, _ in own], np.int64).tobytes()], "rows": [m.tobytes()], "top": [m.max(0).tolist()], "low": [m.min(0).tolist()]})
 
-        for batch in batches:
-            for i, dim, v in zip(batch["id"], batch["dim"], batch["v"], strict=True):
-                held.setdefault(dim, []).append((i, v))
-                if len(held[dim]) >= rows:
-                    yield out(dim)
-        for dim in list(held):
-            yield out(dim)
-
-    return pack
-
-
-PACK = "dim int, first long, n int, ids binary, rows binary, top array<long>, low array<long>"
+def centroids(sample: np.ndarray) -> np.ndarray:
+    """Spherical k-means of a few vectors; unit rows."""
+    x = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
+    c = x[:: max(1, len(x) // max(1, min(CENTROIDS, len(x) // SAMPLE_SHARE)))][:CENTROIDS]
+    for _ in range(STEPS):
+        near = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        c = np.where(np.bincount(near, minlength=len(c))[:, None] > 0, sums, c)
+        c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    return c
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Each query's k highest inner products of quantised vectors with the other rows' (query_id, rank, vec_id, score), all if
-    there are fewer; ties go to the smaller id.
-
-    A query's own row is the one of its id, so rows of one id are not each other's candidates; repeated rows of another id
-    are candidates each; repeated queries count once. Vectors of another length are no candidates; empty ones score 0. Rows with a null id, or a vector
-    that is null or has null or non-finite components, take no part. Other columns are ignored. Empty tables give an empty result.
-    """
-    spark = vectors.sparkSession
-    d = quantised(vectors, id_col, vector_col)
-    rows = max(BLOCK_ROWS, math.ceil(vectors.count() / MAX_BLOCKS))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = d.repartitionByRange(parts, "dim", "id").sortWithinPartitions("dim", "id").mapInPandas(_packs(rows), PACK)
-    blocks = saved(blocks.withColumn("block", F.monotonically_increasing_id()), "topk-blocks")
-    summaries: dict[int, tuple] = {}
-    found = blocks.select("block", "dim", "top", "low").toPandas()
-    for dim, own in found.groupby("dim"):
-        summaries[int(dim)] = (own["block"].to_numpy(np.int64), _matrix(own["top"], dim), _matrix(own["low"], dim))
-    shared = spark.sparkContext.broadcast(summaries)
-    q = saved(quantised(queries, id_col, vector_col).distinct(), "topk-queries").withColumnsRenamed({"id": "query_id"})
-
-    def visits(skip: int, take: int | None):
-        def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for dim, own in batch.groupby("dim"):
-                    ids, top, low = shared.value.get(int(dim), (np.zeros(0, np.int64), np.zeros((0, dim)), np.zeros((0, dim))))
-                    m = _matrix(list(own["v"]), dim)
-                    bounds = block_bounds(m, top, low)
-                    order = np.argsort(-bounds, axis=1, kind="stable")[:, skip : None if take is None else skip + take]
-                    floor = own["kth"].to_numpy(float) if "kth" in own else np.full(len(own), -np.inf)
-                    open_ = np.take_along_axis(bounds, order, 1) >= np.nan_to_num(floor, nan=-np.inf)[:, None]
-                    at, nth = np.nonzero(open_)
-                    if len(at):
-                        yield pd.DataFrame({"block": ids[order[at, nth]], "query_id": own["query_id"].to_numpy()[at], "v": [m[i].tolist() for i in at]})
-
-        return choose
+def _ordered(d: DataFrame, parts: int) -> DataFrame:
+    """(id, dim, v, cell), partitioned and sorted by dim, cell and id, so equal rows follow each other. The driver gets SAMPLE vectors, those
+    whose ids have the least hashes."""
+    sample = d.select("dim", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    fitted = {int(dim): centroids(_matrix(list(own["v"]), dim).astype(np.float64)) for dim, own in sample.groupby("dim") if dim}
 
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cell = np.zeros(len(batch), np.int64)
+            dims = batch["dim"].to_numpy()
+            for dim, c in fitted.items():
+                at = np.flatnonzero(dims == dim)
+                if len(at):
+                    x = _matrix(list(batch["v"].iloc[at]), dim)
+                    like = x @ c.T
+                    far = 1 - like.max(1) / np.maximum(np.linalg.norm(x, axis=1), 1e-12)
+                    cell[at] = like.argmax(1) * BANDS + np.minimum(far * BANDS, BANDS - 1).astype(np.int64)
+            yield batch.assign(cell=cell)
+
+    placed = d.mapInPandas(place, "id long, dim int, v array<long>, cell long")
+    return placed.repartitionByRange(parts, "dim", "cell", "id").sortWithinPartitions("dim", "cell", "id", "v")
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, key, last = [], None, None
+
+    def out() -> pd.DataFrame:
+        m = _matrix([v for _, v, _ in held], key[0])
+        return pd.DataFrame({"dim": [key[0]], "n": [len(held)], "ids": [np.array([i for i, _, _ in held], np.int64).tobytes()], "firsts": [np.array([f for *_, f in held], np.uint8).tobytes()], "rows": [m.tobytes()], "top": [m.max(0).tobytes()], "low": [m.min(0).tobytes()]})
+
+    for batch in batches:
+        for i, dim, v, cell in zip(batch["id"], batch["dim"], batch["v"], batch["cell"], strict=True):
+            if held and (key != (dim, cell) or len(held) >= BLOCK_ROWS):
+                yield out()
+                held = []
+            own = (i, np.asarray(v, np.int64).tobytes())
+            held.append((i, v, own != last))
+            key, last = (dim, cell), own
+    if held:
+        yield out()
+
+
+def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for dim, own in batch.groupby("dim"):
+            for at in range(0, len(own), SUMMARIES):
+                part = own.iloc[at : at + SUMMARIES]
+                yield pd.DataFrame({"dim": [dim], "blocks": [part["block"].to_numpy(np.int64).tobytes()], "tops": [b"".join(map(bytes, part["top"]))], "lows": [b"".join(map(bytes, part["low"]))]})
+
+
+def _query_packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for dim, own in batch.groupby("dim"):
+            for at in range(0, len(own), QUERY_PACK):
+                part = own.iloc[at : at + QUERY_PACK]
+                yield pd.DataFrame({"dim": [dim], "numbers": [part["number"].to_numpy(np.int64).tobytes()], "vs": [_matrix(list(part["v"]), dim).tobytes()], "kths": [part["kth"].to_numpy(np.float64).tobytes()]})
+
+
+def _chooser(most: int | None) -> Callable:
+    """Blocks whose bound reaches a query's k-th score; of each row of work, the `most` best of them."""
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, numbers, vs, kths, blocks, tops, lows in batch[["dim", "numbers", "vs", "kths", "blocks", "tops", "lows"]].itertuples(index=False):
+                numbers, blocks = np.frombuffer(numbers, np.int64), np.frombuffer(blocks, np.int64)
+                q, top, low = (np.frombuffer(x, np.int64).reshape(-1, dim) if dim else np.zeros((n, 0), np.int64) for x, n in ((vs, len(numbers)), (tops, len(blocks)), (lows, len(blocks))))
+                bounds = block_bounds(q, top, low)
+                keep = bounds >= np.nan_to_num(np.frombuffer(kths), nan=-np.inf)[:, None]
+                if most is not None and most < bounds.shape[1]:
+                    best = np.zeros_like(keep)
+                    np.put_along_axis(best, np.argpartition(-bounds, most - 1, axis=1)[:, :most], True, 1)
+                    keep &= best
+                i, j = np.nonzero(keep)
+                yield pd.DataFrame({"number": numbers[i], "block": blocks[j], "bound": bounds[i, j]})
+
+    return choose
+
+
+def _scorer(k: int) -> Callable:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dim, ids, raw, query_ids, vs in zip(batch["dim"], batch["ids"], batch["rows"], batch["query_ids"], batch["vs"], strict=True):
-                ids = np.frombuffer(ids, np.int64)
-                scores = product(_matrix(list(vs), dim), np.frombuffer(raw, np.int64).reshape(len(ids), dim))
-                out = []
-                for query, own in zip(query_ids, scores, strict=True):
-                    keep = np.flatnonzero(ids != query)
+            for dim, ids, firsts, raw, numbers, query_ids, vs in zip(*(batch[c] for c in ("dim", "ids", "firsts", "rows", "numbers", "query_ids", "vs")), strict=True):
+                ids, firsts = np.frombuffer(ids, np.int64), np.frombuffer(firsts, np.uint8) == 1
+                x = np.frombuffer(raw, np.int64).reshape(len(ids), dim)
+                out, q = [], _matrix(list(vs), dim)
+                for number, query, v, own in zip(numbers, query_ids, q, product(q, x), strict=True):
+                    keep = np.flatnonzero((ids != query) | ~firsts | (x != v).any(1))
                     if len(keep) > k:  # everything that reaches the k-th score, then ties to smaller ids
                         keep = keep[own[keep] >= np.partition(own[keep], len(keep) - k)[len(keep) - k]]
                     keep = keep[np.lexsort((ids[keep], -own[keep]))][:k]
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[keep], "score": own[keep]}))
+                    out.append(pd.DataFrame({"number": number, "vec_id": ids[keep], "score": own[keep]}))
                 if out:
                     yield pd.concat(out)
 
-    results, skip = None, 0
-    for take in (*ROUNDS, None):
-        state = q
+    return score
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(top_k's rows, blocks visited by each query (number, block), all blocks (block, dim, n))."""
+    spark = vectors.sparkSession
+    bounded_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = quantised(vectors, id_col, vector_col)
+    blocks = _ordered(d, parts).mapInPandas(_blocks, "dim int, n int, ids binary, firsts binary, rows binary, top binary, low binary")
+    blocks = saved(blocks.withColumn("block", F.monotonically_increasing_id()), "topk-blocks")
+    summaries = blocks.select("block", "dim", "top", "low").mapInPandas(_summaries, "dim int, blocks binary, tops binary, lows binary")
+    # Every pack of queries meets every pack of summaries: summaries are dealt to as many lots as there are partitions, queries to each.
+    summaries = saved(summaries.withColumn("lot", F.pmod(F.xxhash64("blocks"), F.lit(parts))), "topk-summaries")
+    q = quantised(queries, id_col, vector_col).groupBy("id", "dim", "v").agg(F.count(F.lit(1)).alias("times"))
+    q = saved(q.withColumn("number", F.monotonically_increasing_id()).withColumnRenamed("id", "query_id"), "topk-queries")
+    packs = math.ceil(max(1, q.count()) / QUERY_PACK)
+    results = visited = None
+    for rank, take in ((sum(ROUNDS[:i]), n) for i, n in enumerate((*ROUNDS, None))):
+        state = q.withColumn("kth", F.lit(None).cast("double"))
         if results is not None:
-            kth = results.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
-            state = q.join(kth.select("query_id", F.when(F.size("s") >= k, F.get("s", F.lit(k - 1))).cast("double").alias("kth")), "query_id", "left")
-        work = state.mapInPandas(visits(skip, take), "block long, query_id long, v array<long>")
-        work = work.groupBy("block", F.pmod(F.xxhash64("query_id"), F.lit(math.ceil(max(1, q.count()) / QUERY_PACK))).alias("pack")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("v").alias("vs"))
-        scored = work.join(blocks.select("block", "dim", "ids", "rows"), "block").select("dim", "ids", "rows", "query_ids", "vs").mapInPandas(score, "query_id long, vec_id long, score long")
-        every = scored if results is None else results.select("query_id", "vec_id", "score").unionByName(scored)
-        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("loss"), "vec_id"))), 1, k)
-        best = every.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "hit"))
-        results = saved(best.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit")["vec_id"].alias("vec_id"), (-F.col("hit")["loss"]).alias("score")), "topk-best")
-        skip += take or 0
-    return results
+            kth = results.groupBy("number").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+            state = q.join(kth.select("number", F.when(F.size("s") >= k, F.get("s", F.lit(k - 1))).cast("double").alias("kth")), "number", "left")
+        asked = state.select("number", "dim", "v", "kth").mapInPandas(_query_packs, "dim int, numbers binary, vs binary, kths binary")
+        asked = asked.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        chosen = asked.join(summaries, ["dim", "lot"]).mapInPandas(_chooser(None if take is None else rank + take), "number long, block long, bound long")
+        if take is not None:
+            nth = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("bound"), "block"))
+            chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= rank + take)
+        if visited is not None:
+            chosen = chosen.join(visited, ["number", "block"], "left_anti")
+        chosen = saved(chosen.select("number", "block"), "topk-visits")
+        visited = chosen if visited is None else visited.unionByName(chosen)
+        work = chosen.join(q.select("number", "query_id", "v"), "number")
+        work = work.groupBy("block", F.pmod(F.xxhash64("number"), F.lit(packs)).alias("pack")).agg(*[F.collect_list(c).alias(a) for c, a in (("number", "numbers"), ("query_id", "query_ids"), ("v", "vs"))])
+        scored = work.join(blocks.select("block", "dim", "ids", "firsts", "rows"), "block").select("dim", "ids", "firsts", "rows", "numbers", "query_ids", "vs").mapInPandas(_scorer(k), "number long, vec_id long, score long")
+        every = scored if results is None else results.select("number", "vec_id", "score").unionByName(scored)
+        nth = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "vec_id"))
+        results = saved(every.withColumn("rank", nth).where(F.col("rank") <= k), "topk-best")
+    found = results.join(q.select("number", "query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("use")), "number")
+    return found.select("query_id", "rank", "vec_id", "score"), visited, blocks.select("block", "dim", "n")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Each query's k highest inner products of quantised vectors with the other rows' (query_id, rank, vec_id, score), all if
+    there are fewer; ties go to the smaller id.
+
+    A query's own row is one of its id and vector; further rows of that id, equal ones too, are candidates, and each repeated query
+    has its own results. Vectors of another length are no candidates; empty ones score 0. Rows with a null id, or a vector
+    that is null or has null or non-finite components, take no part. Other columns are ignored. Empty tables give an empty result.
+    """
+    return search(vectors, queries, k, id_col, vector_col)[0]
