@@ -9,6 +9,7 @@ and whole blocks are taken until the budget is met; the last block is taken docu
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import BLANKS, row_key, saved
 
 STEPS = 60
+#: Entropies as close as this are equal; no larger exponent is tried; weights below the least one count as it in a default budget.
+CLOSE, MAX_EXPONENT, TINY = 1e-9, 1024.0, 1e-9
 #: Documents of a block, about; the cumulated sizes of a source are of blocks, not of documents.
 BLOCK_DOCS = 1024
 
@@ -46,9 +49,19 @@ def entropy(weights: dict) -> float:
     return -math.fsum(w * math.log(w) for w in weights.values() if w > 0)
 
 
+def _bisect(low: float, high: float, meets: Callable[[float], bool]) -> tuple[float, float]:
+    """An exponent that does not meet the goal and a higher one that does, as close as STEPS halvings bring them."""
+    for _ in range(STEPS):
+        mid = (low + high) / 2
+        low, high = (low, mid) if meets(mid) else (mid, high)
+    return low, high
+
+
 def solve_mix(tokens: dict, *, target_entropy: float | None = None, max_repeat: float | None = None, budget: int | None = None) -> Mix:
-    """The exponent in [0, 1], bisected: with max_repeat, the least (most level) for which no source is used over
-    max_repeat times; with target_entropy (nats), the greatest whose entropy reaches it, or 0 if none does.
+    """The exponent, bisected: with max_repeat, the least (most level) in [0, 1] for which no source is used over max_repeat times;
+    with target_entropy (nats), the one, over 1 if need be, whose entropy is it. Raises if no exponent meets the goal: entropy
+    lies between that of the largest sources alone and that of equal weights, and a budget over max_repeat times all tokens
+    breaks the limit whatever the weights.
 
     budget: tokens in all; by default so many that the source with the least weight against its share is used exactly
     once, so that no document is left out.
@@ -64,22 +77,23 @@ def solve_mix(tokens: dict, *, target_entropy: float | None = None, max_repeat:
     def total_of(w: dict) -> float:
         return budget if budget is not None else max(n / w[k] for k, n in have.items())
 
-    def meets(x: float) -> bool:
+    def level_enough(x: float) -> bool:
         w = tempered(have, x)
-        if target_entropy is not None:
-            return entropy(w) < target_entropy
         return max(w[k] * total_of(w) / n for k, n in have.items()) <= max_repeat * (1 + 1e-12)
 
-    low, high = 0.0, 1.0
-    if meets(low):
-        high = low
+    if max_repeat is not None:
+        if not level_enough(1.0):
+            raise ValueError(f"a budget of {budget} tokens uses some source over {max_repeat} times whatever the weights")
+        x = 0.0 if level_enough(0.0) else _bisect(0.0, 1.0, level_enough)[1]
     else:
-        for _ in range(STEPS):
-            mid = (low + high) / 2
-            low, high = (low, mid) if meets(mid) else (mid, high)
-    x = low if target_entropy is not None else high
+        top = 1.0
+        while top < MAX_EXPONENT and entropy(tempered(have, top)) > target_entropy + CLOSE:
+            top *= 2
+        if entropy(tempered(have, 0.0)) < target_entropy - CLOSE or entropy(tempered(have, top)) > target_entropy + CLOSE:
+            raise ValueError(f"no exponent gives an entropy of {target_entropy}")
+        x = _bisect(0.0, top, lambda y: entropy(tempered(have, y)) < target_entropy)[0]
     w = tempered(tokens, x)
-    total = total_of(w)
+    total = total_of({k: max(v, TINY) for k, v in w.items()})
     return Mix(x, math.floor(total + 0.5), {k: math.floor(w[k] * total + 0.5) for k in tokens})
 
 
@@ -88,20 +102,23 @@ def _hash(seed: int, *parts: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(row, kind, original struct<all columns>): the row's key and its source's name."""
     kind = F.coalesce(F.concat(F.lit("+"), F.col(source_col)), F.lit("-"))
-    return docs.withColumns({"__kind": kind, "__row": row_key(F.concat_ws("/", kind, F.col(id_col).cast("string")), F.col(text_col))})
+    d = docs.select(kind.alias("kind"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("original"))
+    return d.select(row_key(F.concat_ws("/", "kind", F.col("id").cast("string")), F.col("text")).alias("row"), "kind", "original")
 
 
-def mix_sources(docs: DataFrame, *, target_entropy: float | None = None, max_repeat: float | None = None, budget: int | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, *, target_entropy: float | None = None, max_repeat: float | None = None, budget: int | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens: Callable[[Column], Column] = word_count) -> DataFrame:
     """A row for each epoch's use of a document: row (its key), id, source, copies, n_tokens, epoch (from 0), block (its place
     among the epoch's blocks, from 0) and place (in the block, from 1).
 
-    Tokens are words. Rows equal in id, source and text are one unit, used together; copies tells their number and n_tokens
+    tokens counts a text's tokens: words, unless another function of the text is given. Rows equal in id, source and text are one unit, used together; copies tells their number and n_tokens
     is of one of them. A null source is a source of its own. A source without tokens has no budget: its documents are
     used once, in epoch 0, so empty texts are not lost. Null ids are kept, other columns are ignored. An empty table
     gives an empty result. The driver gets a row a source.
     """
-    d = _keyed(docs, id_col, text_col, source_col).select(F.col("__row").alias("row"), F.col("__kind").alias("kind"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("n_tokens"))
+    of = lambda c: F.col(f"original.`{c}`")
+    d = _keyed(docs, id_col, text_col, source_col).select("row", "kind", of(id_col).alias("id"), of(source_col).alias("source"), tokens(of(text_col)).alias("n_tokens"))
     units = d.groupBy("row", "kind", "n_tokens").agg(F.min("id").alias("id"), F.first("source").alias("source"), F.count(F.lit(1)).alias("copies"))
     units = saved(units.withColumn("mass", F.col("n_tokens") * F.col("copies")), "mix-units")
     have = {r["kind"]: (r["n"], r["units"]) for r in units.groupBy("kind").agg(F.sum("mass").alias("n"), F.count(F.lit(1)).alias("units")).collect()}
@@ -131,6 +148,6 @@ def mix_sources(docs: DataFrame, *, target_entropy: float | None = None, max_rep
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs, each as often as mix_sources() uses it, with the columns of docs."""
     uses = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    times = uses.groupBy(F.col("row").alias("__row")).agg(F.count(F.lit(1)).cast("int").alias("__times"))
-    out = _keyed(docs, id_col, text_col, source_col).join(times, "__row").withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = uses.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    out = _keyed(docs, id_col, text_col, source_col).join(times, "row")
+    return out.select("original", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("use")).select("original.*")
