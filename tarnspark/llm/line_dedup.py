@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from .common import BLANKS, ascii_lower, row_key, saved, skew_join, work_path
 
 
+#: Rows for which a batch is added, and different dropped keys from which on a document is cut by a join.
+BATCH_ROWS, MANY_KEYS = 100_000_000, 256
+
+
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
@@ -86,14 +90,19 @@ class LineRuns:
         self._drop(self.names())
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drops every line whose key (stripped, A-Z lower-cased) is in at least min_docs documents.
 
     Returns (original struct<all input columns>, n_lines, n_dropped, kept_text). Null or empty text is one empty line,
     kept. Every row is a document of its own, repeated rows too. A null id is allowed. Extra columns, whatever their names,
-    stay inside `original`. An empty table gives an empty result.
+    stay inside `original`. An empty table gives an empty result. batches: runs that are added one after another, by default four
+    and one more for each BATCH_ROWS rows.
+
+    A document that loses more than MANY_KEYS different keys is cut line by line in an anti-join, not by looking each line up in a
+    list of them, so that very long texts cost no more a line than short ones.
     """
     spark = docs.sparkSession
+    batches = batches or 4 + docs.count() // BATCH_ROWS
     d = docs.select(F.struct("*").alias("original"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", row_key(F.col("id"), F.col("text")))
     keys = F.array_distinct(F.transform(lines_of(F.col("text")), line_key))
     pairs = d.select("row", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int").alias("batch"), F.explode(keys).alias("line"))
@@ -104,8 +113,21 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     frequent = saved(runs.frequent(), "line-frequent")
     runs.close()
     hits = skew_join(pairs.select("row", "key"), frequent, ["key"], "left_semi", "line")
-    drops = hits.groupBy("row").agg(F.collect_set("key").alias("drops"))
+    drops = saved(hits.groupBy("row").agg(F.collect_set("key").alias("drops")), "line-drops")
     lines = lines_of(F.col("text"))
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("drops"), key_hash(line_key(x))))
-    joined = d.join(drops, "row", "left").withColumn("kept", F.when(F.col("drops").isNull(), lines).otherwise(kept))
+    joined = d.join(drops, "row", "left")
+    long_ones = drops.where(F.size("drops") > MANY_KEYS)
+    if long_ones.isEmpty():
+        joined = joined.withColumn("kept", F.when(F.col("drops").isNull(), lines).otherwise(kept))
+    else:
+        joined = joined.join(_cut_long(d, long_ones), "row", "left").withColumn("kept", F.when(F.col("drops").isNull(), lines).when(F.size("drops") > MANY_KEYS, F.coalesce("left", F.array().cast("array<string>"))).otherwise(kept))
     return joined.select("original", F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
+
+
+def _cut_long(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    """(row, left): the lines that stay of documents whose dropped keys are many."""
+    own = docs.select("row", "text").join(drops.select("row"), "row").dropDuplicates(["row"]).select("row", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
+    gone = drops.select("row", F.explode("drops").alias("key"))
+    stays = own.withColumn("key", key_hash(line_key(F.col("line")))).join(gone, ["row", "key"], "left_anti")
+    return stays.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("left")).select("row", F.transform("left", lambda x: x["line"]).alias("left"))
