@@ -32,6 +32,8 @@ _VERSION_LINE = re.compile(rb"(?<=\n)WARC/1\.")
 _BAD, _DIGEST = "bad gzip member", re.compile(rb"(?i)\r\nWARC-Block-Digest:\s*sha256:")
 _PAGE = "urn:page:"
 _STEP = 1 << 16
+#: Bytes of a record's head, and of a member's decompressed content, at most; longer ones count as damaged from there on.
+MAX_HEAD, MAX_CONTENT = 1 << 20, 256 << 20
 
 
 def record(page_id: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None, level: int = 6) -> bytes:
@@ -56,7 +58,7 @@ class Damaged(ValueError):
 
 def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record whose version line starts at data[at], and where it ends. Damaged if a check fails."""
-    end = data.find(b"\r\n\r\n", at)
+    end = data.find(b"\r\n\r\n", at, at + MAX_HEAD)
     if not data.startswith(_VERSION, at) or end < 0:
         raise Damaged("no record head")
     try:
@@ -87,13 +89,16 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
 def read_member(data: bytes, at: int) -> tuple[bytes, int, str]:
     """The content of the gzip member at data[at], where it ends, and "" or what is wrong with it: then the content is what came
     out before the damage, and the end is not known (at)."""
-    z, parts, start = zlib.decompressobj(31), [], at
+    z, parts, start, size = zlib.decompressobj(31), [], at, 0
     try:
         while not z.eof and at < len(data):
             step = data[at : at + _STEP]
             at += _STEP
             before = z.copy()
             parts.append(z.decompress(step))
+            size += len(parts[-1])
+            if size > MAX_CONTENT:
+                return b"".join(parts), start, "gzip member over the limit of its content"
     except zlib.error:
         parts.append(_until_damage(before, step))
         return b"".join(parts), start, _BAD
@@ -221,7 +226,8 @@ RECORDS = "kind string, path string, start long, end long, reason string, record
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """What salvage() finds in the files below path: a row a record (kind `record`) and a row a quarantined gap (kind `gap`)."""
+    """What salvage() finds in the files below path: a row a record (kind `record`) and a row a quarantined gap (kind `gap`). A task holds
+    one file (at most 2 GB, as Spark reads it) and MAX_CONTENT bytes of a member of it."""
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

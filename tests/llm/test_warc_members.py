@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 
+from tarnspark.llm import warc
 from tarnspark.llm.warc import read_archives, record, salvage
 
 
@@ -43,3 +44,52 @@ def test_a_member_with_a_wrong_checksum_keeps_its_records():
     whole = gzip.compress(b"".join(map(_plain, range(3))))
     found = list(salvage(whole[:-8] + b"\0\0\0\0" + whole[-4:]))
     assert len(_ids(found)) == 3 and [x["kind"] for x in found].count("gap") == 1
+
+
+def test_random_damage():
+    """Archives of members of one or several records, damaged at random: exactly the records of undamaged bytes come back, and
+    records and gaps cover the archive."""
+    rng = random.Random(8)
+    for _ in range(60):
+        members, safe, number = [], set(), 0
+        for _ in range(rng.randrange(2, 8)):
+            inner = []
+            for _ in range(rng.choice([1, 1, 3])):
+                payload = bytes(rng.choices(b"abc \n", k=rng.randrange(1, 400)))
+                inner.append((number, gzip.decompress(record(number, "u", payload, hashlib.sha256(payload).hexdigest(), None))))
+                number += 1
+            how = rng.randrange(4)
+            if how == 0 and len(inner) > 1:  # the content of one record is damaged before compression
+                n, raw = inner[1]
+                at = raw.rindex(b"\r\n\r\n", 0, len(raw) - 4) + 4
+                inner[1] = (n, raw[:at] + b"\x00" + raw[at + 1 :] if len(raw) - 4 > at else raw)
+                safe |= {i for i, x in inner if i != n or x == raw}
+                members.append(gzip.compress(b"".join(x for _, x in inner)))
+            elif how == 1:  # the compressed member is damaged in its checksum: what has a digest is still taken
+                data = gzip.compress(b"".join(x for _, x in inner))
+                members.append(data[:-8] + bytes(4) + data[-4:])
+                safe |= {i for i, _ in inner}
+            elif how == 2:  # bytes that are no member
+                members.append(bytes(rng.choices(range(1, 30), k=rng.randrange(1, 50))))
+            else:
+                members.append(gzip.compress(b"".join(x for _, x in inner)))
+                safe |= {i for i, _ in inner}
+        data = b"".join(members)
+        found = list(salvage(data))
+        got = [int(x["record_id"].split(":")[-1].rstrip(">")) for x in found if x["kind"] == "record"]
+        assert len(got) == len(set(got)) and set(got) == safe
+        reached = 0
+        for start, end in sorted((x["start"], x["end"]) for x in found):
+            assert start <= reached  # no byte between is left out
+            reached = max(reached, end)
+        assert reached == len(data)
+
+
+def test_limits(monkeypatch):
+    """A member over the limit gives the records before it, and the next member is read."""
+    monkeypatch.setattr(warc, "MAX_CONTENT", 200_000)
+    big = [gzip.decompress(record(i, "u", b"x" * 90_000, hashlib.sha256(b"x" * 90_000).hexdigest(), None)) for i in range(5)]
+    data = gzip.compress(b"".join(big)) + record(9, "u", b"end", hashlib.sha256(b"end").hexdigest(), None)
+    found = list(salvage(data))
+    got = [x["record_id"] for x in found if x["kind"] == "record"]
+    assert got[-1] == "<urn:page:9>" and got[0] == "<urn:page:0>" and any("limit" in x["reason"] for x in found if x["kind"] == "gap")
