@@ -20,12 +20,19 @@ from .common import bounded_batches
 SENTENCE_MARKS = ".!?…;:。！？"
 NAVIGATION_MARKS = "|»›•·"
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "log in", "sign in", "sign up", "subscribe to", "click here", "read more", "share this", "skip to content", "back to top")
+# Phrases of boilerplate lines in English, French, German and Spanish, all beginning and ending with an ASCII letter.
+BOILERPLATE = (
+    "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "log in", "sign in", "sign up", "subscribe to", "click here", "read more", "share this", "skip to content", "back to top",
+    "gestion des cookies", "accepter les cookies", "mentions légales", "conditions d'utilisation", "tous droits réservés", "se connecter", "abonnez-vous", "cliquez ici", "lire la suite", "en savoir plus", "partager cet article", "haut de page",
+    "cookies akzeptieren", "datenschutzerklärung", "impressum", "nutzungsbedingungen", "alle rechte vorbehalten", "jetzt anmelden", "newsletter abonnieren", "hier klicken", "weiterlesen", "artikel teilen", "zum inhalt springen", "zum seitenanfang",
+    "política de cookies", "aceptar cookies", "política de privacidad", "aviso legal", "condiciones de uso", "todos los derechos reservados", "iniciar sesión", "haz clic", "leer más", "compartir este artículo", "ir al contenido", "volver arriba",
+)
 
 #: A line is navigation if it has so many navigation marks, and one for each MARK_WORDS words at least.
 MIN_MARKS, MARK_WORDS = 2, 4
-#: A line fails the punctuation rule if it has no sentence mark, or one symbol for each SYMBOL_CHARS characters of its words.
-SYMBOL_CHARS = 10
+#: A line fails the punctuation rule if it has no sentence mark and fewer than FRAGMENT_WORDS words (a longer one may be a line of a wrapped
+#: paragraph), or one symbol for each SYMBOL_CHARS characters of its words.
+SYMBOL_CHARS, FRAGMENT_WORDS = 10, 8
 #: A document is rejected if failing lines hold more than LOST_PERCENT of the characters of its words.
 LOST_PERCENT = 50
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -33,7 +40,7 @@ MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 _MARK = re.compile(f"[{re.escape(SENTENCE_MARKS)}]")
 _NAVIGATION = re.compile(f"[{re.escape(NAVIGATION_MARKS)}]")
 _SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]")
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
+_BOILERPLATE = re.compile(rf"\b(?:{'|'.join(map(re.escape, BOILERPLATE))})\b", re.ASCII)
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 VERDICT = T.StructType(
@@ -42,14 +49,20 @@ VERDICT = T.StructType(
 )
 
 
+def boilerplate(line: str, n_words: int) -> bool:
+    """Whether phrases, between edges of ASCII words, make up half of the line's words or more."""
+    rest, found = _BOILERPLATE.subn(" ", line.translate(_LOWER))
+    return found > 0 and 2 * len(rest.encode().split()) <= n_words
+
+
 def line_passes(line: str, n_words: int, n_chars: int) -> bool:
     """n_chars: characters of the line's words."""
     marks = len(_NAVIGATION.findall(line))
     if marks >= MIN_MARKS and marks * MARK_WORDS >= n_words:
         return False
-    if not _MARK.search(line) or len(_SYMBOL.findall(line)) * SYMBOL_CHARS >= n_chars:
+    if (n_words < FRAGMENT_WORDS and not _MARK.search(line)) or len(_SYMBOL.findall(line)) * SYMBOL_CHARS >= n_chars:
         return False
-    return not _BOILERPLATE.search(line.translate(_LOWER))
+    return not boilerplate(line, n_words)
 
 
 def repeated_words(words: list[bytes]) -> int:

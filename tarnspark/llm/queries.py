@@ -13,7 +13,7 @@ from .common import table
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
-from .quality import judge_documents
+from .quality import BOILERPLATE, judge_documents
 from .substring_dedup import dedup_substrings
 from .topk import top_k
 
@@ -149,12 +149,14 @@ WITH d AS (
   SELECT row_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d
 ), measured AS (
   SELECT *, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\b(PHRASES)\b', ' ', 'g') AS rest,
     len(regexp_extract_all(line, '[|»›•·]')) AS marks, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
     row_number() OVER (PARTITION BY row_id, line ORDER BY pos) > 1 AS again
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), judged AS (
-  SELECT *, NOT (marks >= 2 AND marks * 4 >= n) AND regexp_matches(line, '[.!?…;:。！？]') AND symbols * 10 < chars
-    AND NOT regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'cookie policy|privacy policy|terms of use|terms of service|all rights reserved|enable javascript|log in|sign in|sign up|subscribe to|click here|read more|share this|skip to content|back to top') AS passes
+  SELECT *, NOT (marks >= 2 AND marks * 4 >= n) AND (n >= 8 OR regexp_matches(line, '[.!?…;:。！？]')) AND symbols * 10 < chars
+    AND NOT (rest <> low AND 2 * len(regexp_extract_all(rest, '[^\x20\x09-\x0D]+')) <= n) AS passes
   FROM measured
 ), sums AS (
   SELECT row_id, sum(again::INT) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE NOT passes), 0) AS lost_chars,
@@ -170,7 +172,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept, lost_chars, sha256(clean_text) AS clean_sha256
-FROM failed""",
+FROM failed""".replace("PHRASES", "|".join(BOILERPLATE).replace("'", "''")),
     "op7_warc_salvage": """
 WITH d AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -183,28 +185,28 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
   CASE WHEN again THEN first_id END AS refers_to FROM r""",
     "op9_block_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  SELECT a.row_id, a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.row_id <> b.row_id AND len(a.q) = len(b.q)
 )
-SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s) WHERE rank <= 5""",
+SELECT query_id, rank, vec_id, score FROM (SELECT query_id, (row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s) WHERE rank <= 5""",
     "op10_chat_snapshots": r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, role, text FROM conversations
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
 ), o AS (
-  SELECT *, list(row(role, text)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix,
-    count(*) OVER (PARTITION BY conv_id) AS n_turns
+  SELECT *, list(row(role, text)) OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix,
+    count(*) OVER (PARTITION BY conv_id, alone) AS n_turns
   FROM t
 ), whole AS (
-  SELECT prefix, n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM o WHERE len(prefix) = n_turns GROUP BY prefix, n_turns
+  SELECT prefix, n_turns, min(conv_id) AS conv_id, min(alone) AS alone, count(*) AS n_copies FROM o WHERE len(prefix) = n_turns GROUP BY prefix, n_turns
 ), kept AS (
   SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.prefix = whole.prefix AND o.n_turns > whole.n_turns)
 ), lines AS (
-  SELECT o.conv_id, floor(coalesce(turn, 0) / 4096)::BIGINT AS segment, k.n_turns, k.n_copies, len(o.prefix) AS pos,
+  SELECT o.conv_id, o.alone, k.n_turns, k.n_copies, len(o.prefix) AS pos,
     '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS line
-  FROM o JOIN kept k ON o.conv_id IS NOT DISTINCT FROM k.conv_id
+  FROM o JOIN kept k ON o.conv_id = k.conv_id OR (k.conv_id IS NULL AND o.alone = k.alone)
 )
-SELECT conv_id, segment, n_turns, n_copies, string_agg(line, '' ORDER BY pos) AS text FROM lines GROUP BY conv_id, segment, n_turns, n_copies""",
+SELECT conv_id, n_turns, n_copies, string_agg(line, '' ORDER BY pos) AS text FROM lines GROUP BY conv_id, alone, n_turns, n_copies""",
 }

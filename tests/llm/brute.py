@@ -13,6 +13,8 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
+from tarnspark.llm.quality import BOILERPLATE
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -44,15 +46,17 @@ def quality(text):
     repeated = {j for i in range(len(ws) - 4) if fives[tuple(ws[i : i + 5])] > 1 for j in range(i, i + 5)}
     if len(ws) < 10 or 100 * len(repeated) > 20 * len(ws):
         return None
-    phrases = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "log in", "sign in", "sign up", "subscribe to", "click here", "read more", "share this", "skip to content", "back to top")
     kept, lost = [], 0
     for line in (text or "").split("\n"):
         own = words(line)
         if not own:
             continue
         n, marks = sum(map(len, own)), sum(line.count(c) for c in "|»›•·")
-        bad = marks >= 2 and marks * 4 >= len(own) or not any(c in line for c in ".!?…;:。！？") or 10 * sum(line.count(c) for c in "#*$%&|<>") >= n
-        if bad or any(p in line.translate(LOWER) for p in phrases):
+        bad = marks >= 2 and marks * 4 >= len(own) or len(own) < 8 and not any(c in line for c in ".!?…;:。！？") or 10 * sum(line.count(c) for c in "#*$%&|<>") >= n
+        low = line.translate(LOWER)
+        for p in BOILERPLATE:  # no phrase overlaps another
+            low = re.sub(rf"(?<![a-z0-9_]){re.escape(p)}(?![a-z0-9_])", "\0", low)
+        if bad or "\0" in low and 2 * len(words(low.replace("\0", " "))) <= len(own):
             lost += n
         else:
             kept.append(line)

@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from tarnspark.llm.byte_bpe import decode_documents, encode_documents
 from tarnspark.llm.chat import render_chats
 from tarnspark.llm.line_dedup import dedup_lines
-from tarnspark.llm.mixing import mix_sources, mixed_documents, solve_mix
+from tarnspark.llm.mixing import entropy, mix_sources, mixed_documents, solve_mix
 from tarnspark.llm.near_dedup import near_duplicates, without_near_duplicates
-from tarnspark.llm.quality import judge_documents
+from tarnspark.llm.quality import judge_documents, line_passes
 from tarnspark.llm.substring_dedup import dedup_substrings
 from tarnspark.llm.token_files import round_trip as token_round_trip
 from tarnspark.llm.topk import top_k
 from tarnspark.llm.warc import pages_of, read_archives, record, round_trip, salvage, write_archives
 
 LONG = " ".join(f"w{i}" for i in range(60))
-SCHEMA = "doc_id long, text string, source string, row string, id string, original string, key string, n_tokens string, __row2 string"
+SCHEMA = "doc_id long, text string, source string, row string, id string, original string, key string, n_tokens string, __row string, __kind string, __times string, kind string"
 ROWS = [
     (1, LONG, "a"), (2, LONG + " tail", "a"), (2, LONG + " tail", "a"), (3, None, "b"), (4, "", None), (None, "one two", None),
     (None, None, None), (5, " \t\n\x0b ", "b"), (6, "Same\n same \nother.", "b"), (7, "é " * 50_000, "c"),
@@ -30,7 +30,7 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(*r, *"vwxyz", "q") for r in ROWS], SCHEMA)
+    return spark.createDataFrame([(*r, *"vwxyzqabc") for r in ROWS], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -48,14 +48,31 @@ def test_line_dedup(docs, no_docs):
     assert dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_of_a_document_that_loses_many_lines(spark):
+    shared = [f"line {i}" for i in range(400)]
+    rows = [(1, "\n".join(x for i in range(400) for x in (shared[i], f"own {i}"))), (2, "\n".join(shared)), (2, "\n".join(shared)), (3, None)]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3, batches=2).select("original.doc_id", "n_lines", "n_dropped", "kept_text").collect()
+    assert sorted(map(tuple, out)) == [(1, 800, 400, "\n".join(f"own {i}" for i in range(400))), (2, 400, 400, ""), (2, 400, 400, ""), (3, 1, 0, "")]
+
+
 def test_quality(docs, no_docs):
     out = {r["doc_id"]: r for r in judge_documents(docs).select("original.doc_id", "verdict.*").collect()}
     assert out[3]["base_failed"] and not out[3]["kept"] and out[3]["n_words"] == 0
     assert out[7]["n_words"] == 50_000 and out[7]["n_repeat_words"] == 50_000
-    assert not out[1]["base_failed"] and not out[1]["kept"]  # no line has a sentence mark
+    assert not out[1]["base_failed"] and out[1]["kept"]  # no sentence mark, but too long for a fragment
     assert judge_documents(no_docs).count() == 0
 
 
+def test_clean_lines_pass(spark):
+    """Sentences that hold a phrase, or parts of one, and lines of a wrapped paragraph stay; lines that are mostly boilerplate go."""
+    clean = ["She moved from design in Paris to a new firm.", "The blog in question was long gone.", "He read more books than anyone.", "Die Firma nennt im Impressum eine Adresse in Berlin, die es nicht gibt.", "these words of a wrapped paragraph run on to the"]
+    junk = ["Read more", "Log in | Sign up", "Alle Rechte vorbehalten.", "Cliquez ici !", "Política de cookies.", "a heading without end"]
+    for line in clean:
+        assert line_passes(line, len(line.split()), len(line.replace(" ", ""))), line
+    for line in junk:
+        assert not line_passes(line, len(line.split()), len(line.replace(" ", ""))), line
+
+
 def test_near_duplicates(docs, no_docs):
     out = near_duplicates(docs, width=2).collect()
     assert len(out) == len(ROWS)
@@ -63,6 +80,7 @@ def test_near_duplicates(docs, no_docs):
     assert {(r["id"], r["n_shingles"], r["component_id"]) for r in out if r["id"] in (3, 4, 5)} == {(3, 0, 3), (4, 0, 4), (5, 0, 5)}
     kept = without_near_duplicates(docs, width=2)
     assert kept.columns == docs.columns
+    assert [tuple(r) for r in kept.select("row", "__row").distinct().collect()] == [("v", "q")]
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 3, 4, 5, 6, 7]
     assert near_duplicates(no_docs).count() == 0 and without_near_duplicates(no_docs).count() == 0
 
@@ -84,9 +102,15 @@ def test_mixing(docs, no_docs):
     assert {r["copies"] for r in uses if r["id"] == 2} == {2}
     mixed = mixed_documents(docs, max_repeat=1.0)
     assert mixed.columns == docs.columns and mixed.count() == len(ROWS)
+    assert [tuple(r) for r in mixed.select("row", "__row", "__kind", "__times", "kind").distinct().collect()] == [("v", "q", "a", "b", "c")]
     assert mix_sources(no_docs, max_repeat=2.0).count() == 0
     level = solve_mix({"a": 900, "b": 100}, target_entropy=0.5)
     weights = {k: v / level.total for k, v in level.budgets.items()}
+    sharp = solve_mix({"a": 900, "b": 100}, target_entropy=0.1)
+    assert sharp.exponent > 1 and abs(entropy({k: v / sharp.total for k, v in sharp.budgets.items()}) - 0.1) < 1e-2
+    for impossible in ({"target_entropy": 0.8}, {"max_repeat": 2, "budget": 10_000}):
+        with pytest.raises(ValueError):
+            solve_mix({"a": 900, "b": 100}, **impossible)
     assert 0 < level.exponent < 1 and abs(-sum(w * __import__("math").log(w) for w in weights.values()) - 0.5) < 1e-2
 
 
@@ -115,14 +139,21 @@ def test_top_k(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit("x"), "block": F.lit(1)})
     got = top_k(vectors, vectors.where("vec_id = 0"), k=5).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(1, 32768), (2, 32768), (2, 32768)]
+    got = top_k(vectors, vectors.where("vec_id = 2"), k=2).orderBy("query_id", "rank", "vec_id").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(2, 1, 0), (2, 1, 0), (2, 2, 1), (2, 2, 1)]  # two rows of one id, each the other's candidate
+    got = top_k(vectors, vectors.where("vec_id = 2"), k=9).where("vec_id = 2").collect()
+    assert len(got) == 2
     assert top_k(vectors.where("vec_id < 0"), vectors.where("vec_id < 0"), k=5).count() == 0
 
 
 def test_chats(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "bot", "yes"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "bot", "yes"), (None, 0, None, None), (4, None, "user", "x"), (4, None, "user", "x")]
+    rows = [(1, 0, "user", "hi"), (1, 1, "bot", "yes"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "bot", "yes"), (None, 0, None, None), (4, None, "user", "x"), (4, None, "user", "x"), (None, 7, "user", "hi")]
+    rows += [(5, i, "user", str(i)) for i in range(9000)] + [(6, i, "user", str(i)) for i in range(8500)] + [(7, 3, "user", "b"), (7, 3, "user", "a"), (7, 3, None, "c")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"conv": F.lit("x"), "pos": F.lit(1)})
     got = {r["conv_id"]: r for r in render_chats(turns).collect()}
-    assert set(got) == {1, None, 4}
+    assert set(got) == {1, None, 4, 5, 7}  # 6 is a prefix of 5, and the null row "hi" one of 1
+    assert got[5]["n_turns"] == 9000 and got[5]["text"].endswith("8999<|end|>\n")
+    assert got[7]["text"] == "<|unknown|>\nc<|end|>\n<|user|>\na<|end|>\n<|user|>\nb<|end|>\n"
     assert (got[1]["n_copies"], got[1]["n_turns"], got[1]["text"]) == (2, 2, "<|user|>\nhi<|end|>\n<|bot|>\nyes<|end|>\n")
     assert got[None]["text"] == "<|unknown|>\n<|end|>\n" and got[4]["n_turns"] == 1
     assert render_chats(turns.where("conv_id = 99")).count() == 0

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tarnspark.llm import topk
 from tarnspark.llm.common import Remembered
 from tarnspark.llm.fm_index import FMIndex
 from tarnspark.llm.near_dedup import near_duplicates
@@ -86,3 +87,24 @@ def test_buckets_of_many_blocks_and_recall(spark):
     got = {r["id"]: r["component_id"] for r in near_duplicates(docs, width=2, block=4).collect()}
     want, _ = brute.near_components(sorted(rows), 2, 80)
     assert [got[i] for i, _ in sorted(rows)] == want
+
+
+def test_blocks_are_pruned(spark):
+    """Vectors of 40 tight groups and 1,000 loose, shorter ones: results equal brute force, and most blocks are never visited."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((40, 32))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = np.concatenate([np.repeat(centres, 60, 0) + 0.005 * rng.standard_normal((2400, 32)), 0.05 * rng.standard_normal((1000, 32))])
+    rng.shuffle(x)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found, visited, blocks = topk.search(vectors, vectors.where("vec_id % 25 = 0"), 5)
+    v = np.floor(256 * x).astype(np.int64)
+    want = []
+    for i in range(0, len(x), 25):
+        scores = v @ v[i]
+        order = [j for j in np.lexsort((np.arange(len(x)), -scores)) if j != i][:5]
+        want += [(i, n, int(j), int(scores[j])) for n, j in enumerate(order, 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    n_blocks, n_queries = blocks.count(), len(want) // 5
+    assert n_blocks >= 20 and visited.distinct().count() == visited.count()
+    assert visited.count() < 0.5 * n_blocks * n_queries
