@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnspark.functions.stats import wilson
+from tarnspark.functions.stats import kendall_tau, wilson
+
+from . import bootstrap
 
 #: Bounds of comfort (m/s2, m/s2, m/s3, rad/s) that the breakdown takes, by channel.
 COMFORT = {"max_abs_a_lon": 2.40, "max_abs_a_lat": 4.89, "max_abs_jerk": 8.37, "max_abs_yaw_rate": 0.95}
@@ -54,7 +56,7 @@ def comfort_consistency(metrics: DataFrame, run_id: str, bounds: dict[str, float
 
 
 def latency_aggregates(metrics: DataFrame, runs: DataFrame, run_ids: list[str]) -> DataFrame:
-    """Planning latency by hardware: medians, the 90th percentile, the mean weighted by cycles, the maximum. Raises if runs of
+    """Planning latency of ok scenarios by hardware: medians, the 90th percentile, the mean weighted by cycles, the maximum. Raises if runs of
     more than one hardware would be blended."""
     chosen = runs.where(F.col("run_id").isin(run_ids))
     labels = [r[0] for r in chosen.select("hardware").distinct().limit(2).collect()]
@@ -81,6 +83,24 @@ def mode_comparison(paired: DataFrame, modes: tuple[str, str] = ("log_replay", "
     return paired.groupBy("config_name").agg(F.count(F.lit(1)).alias("n_paired"), F.avg(a).alias("mean_first"), F.avg(b).alias("mean_second"), F.avg(b - a).alias("delta"))
 
 
+def mode_effect(paired: DataFrame, modes: tuple[str, str] = ("log_replay", "reactive"), *, seed: int, n_boot: int = 10_000, alpha: float = 0.05) -> DataFrame:
+    """The effect of the agent mode on each configuration's paired scenarios (paired_by_mode): means, delta and ratio of the second
+    to the first, both with paired bootstrap intervals over scenarios, and each mode's Wilson bounds where all values are 0 or 1. The
+    ratio's interval is that of the difference of logs. Raises if there is no pair."""
+    if paired.isEmpty():
+        raise ValueError("no scenario ran under both agent modes")
+    options = {"seed": seed, "n_boot": n_boot, "alpha": alpha}
+    delta = bootstrap.paired_cluster_bootstrap(paired, ["config_name"], "scenario_id", *modes, **options)
+    logs = bootstrap.paired_cluster_bootstrap(paired, ["config_name"], "scenario_id", *modes, statistic=bootstrap.log_mean, **options)
+    logs = logs.select("config_name", F.exp("delta").alias("ratio"), F.exp("delta_lo").alias("ratio_lo"), F.exp("delta_hi").alias("ratio_hi"))
+    binary = F.min((F.col(modes[0]).isin(0, 1) & F.col(modes[1]).isin(0, 1)).cast("int")) == 1
+    sums = paired.groupBy("config_name").agg(binary.alias("binary"), F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in modes])
+    bounds = {f"{m}_{side}": F.when(F.col("binary"), c) for m in modes for side, c in zip(("lo", "hi"), wilson(F.col(m), F.col("n"), alpha, contain=True), strict=True)}
+    sums = sums.select("config_name", *[c.alias(k) for k, c in bounds.items()])
+    out = delta.select("config_name", "n_paired", F.col("first").alias(modes[0]), F.col("second").alias(modes[1]), "delta", "delta_lo", "delta_hi")
+    return out.join(logs, "config_name").join(sums, "config_name")
+
+
 def metric_disagreement(metrics: DataFrame, runs: DataFrame, agent_mode: str = "reactive", *, dataset: str) -> DataFrame:
     """Ranks of one dataset's configurations by similarity to the log (ade) and by safety, and the rank of their safety ranks' mean. Ranking a few
     configurations is one task."""
@@ -92,9 +112,21 @@ def metric_disagreement(metrics: DataFrame, runs: DataFrame, agent_mode: str = "
     return ranked.withColumn("rank_safety", rank("safety_rank_mean"))
 
 
-def config_table(metrics: DataFrame, runs: DataFrame) -> DataFrame:
+def rank_agreement(disagreement: DataFrame) -> dict:
+    """Kendall's tau-b between the similarity and the safety ranking of metric_disagreement()'s configurations, its p-value and both
+    winners. Raises for fewer than two configurations; they are few, one row each."""
+    rows = disagreement.select("config_name", "rank_ade", "rank_safety").orderBy("config_name").collect()
+    if len(rows) < 2:
+        raise ValueError("two rankings need at least two configurations")
+    tau, p = kendall_tau([r["rank_ade"] for r in rows], [r["rank_safety"] for r in rows])
+    first = lambda c: min(rows, key=lambda r: r[c])["config_name"]
+    return {"n_configs": len(rows), "kendall_tau": tau, "kendall_p": p, "ade_winner": first("rank_ade"), "safety_winner": first("rank_safety")}
+
+
+def config_table(metrics: DataFrame, runs: DataFrame, flags: tuple[str, ...] = ("collision", "at_fault_collision", "drivable_area_violation", "wrong_direction")) -> DataFrame:
+    """Scenarios and rates of the flags by configuration and agent mode; a flag that was never measured, or that metrics lacks, is NULL."""
     d = _ok(metrics).join(F.broadcast(runs.select("run_id", "config_name", "agent_mode")), "run_id")
-    return d.groupBy("config_name", "agent_mode").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("collision", "at_fault_collision", "comfort_violation")])
+    return d.groupBy("config_name", "agent_mode").agg(F.count(F.lit(1)).alias("n"), *[(F.avg(c) if c in metrics.columns else F.lit(None).cast("double")).alias(c) for c in flags])
 
 
 def not_at_fault_rate(metrics: DataFrame, runs: DataFrame) -> DataFrame:
@@ -108,3 +140,9 @@ def pair_coverage(baseline: DataFrame, candidate: DataFrame, key: str = "scenari
     a, b = (d.select(key).distinct().withColumn(n, F.lit(1)) for d, n in ((baseline, "a"), (candidate, "b")))
     d = a.join(b, key, "full_outer")
     return d.agg(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("n_paired"), F.count(F.when(F.col("b").isNull(), 1)).alias("n_only_baseline"), F.count(F.when(F.col("a").isNull(), 1)).alias("n_only_candidate"))
+
+
+def only_in_one(baseline: DataFrame, candidate: DataFrame, key: str = "scenario_id") -> tuple[int, DataFrame, DataFrame]:
+    """The number of keys that both have, and the keys that only one of them has."""
+    a, b = (d.select(key).distinct() for d in (baseline, candidate))
+    return a.join(b, key).count(), a.join(b, key, "left_anti"), b.join(a, key, "left_anti")

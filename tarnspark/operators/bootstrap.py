@@ -4,7 +4,7 @@ which tasks add up in part and no task needs a cell's rows together."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,14 +65,54 @@ def drawn(c: Column) -> Column:
     return F.when((F.col("replicate") > 0) & (F.col("n_units") > 0), c)
 
 
-def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, value: str, *, seed: int, n_boot: int = 10_000, alpha: float = 0.05) -> DataFrame:
-    """The mean of value in each cell of keys, with a percentile interval over draws of clusters. NULL values don't count; fewer
-    than two clusters give NaN bounds. Clusters are summed up first, then weighted by Poisson draws."""
+def mean(total: Column, n: Column) -> Column:
+    return F.try_divide(total, n)
+
+
+def log_mean(total: Column, n: Column) -> Column:
+    """NULL where the mean is not positive, so such draws drop out."""
+    return F.when(total > 0, F.log(F.try_divide(total, n)))
+
+
+#: A statistic is a function of a cell's sum and number of rows.
+Statistic = Callable[[Column, Column], Column]
+
+
+def _bounds(c: Column, alpha: float) -> Column:
+    return F.percentile(c, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+
+
+def _alone(c: Column, n: str, least: int = 2) -> Column:
+    """c, or NaN where there are too few units for a bound."""
+    return F.when(F.col(n) >= least, c).otherwise(float("nan"))
+
+
+def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, value: str, *, seed: int, n_boot: int = 10_000, alpha: float = 0.05, statistic: Statistic = mean) -> DataFrame:
+    """A statistic of value in each cell of keys (by default the mean), with a percentile interval over draws of clusters. NULL values don't
+    count; fewer than two clusters give NaN bounds. Clusters are summed up first, then weighted by Poisson draws."""
     d = df.where(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(F.col(value).cast("double")).alias("__sum"), F.count(F.lit(1)).alias("__n"))
-    mean = F.try_divide("__sum", "__n")
+    of = statistic(F.col("__sum"), F.col("__n"))
     out = resampled(d, keys, F.xxhash64(F.lit(seed), F.col(cluster).cast("string")), ["__sum", "__n"], n_boot).groupBy(*keys).agg(
-        whole(F.col("n_units")).cast("long").alias("n_clusters"), whole(F.col("__n")).cast("long").alias("n_rows"), whole(mean).alias("point"),
-        F.percentile(drawn(mean), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("__ci"),
+        whole(F.col("n_units")).cast("long").alias("n_clusters"), whole(F.col("__n")).cast("long").alias("n_rows"), whole(of).alias("point"), _bounds(drawn(of), alpha).alias("__ci"),
     )
-    bound = lambda i: F.when(F.col("n_clusters") > 1, F.col("__ci")[i]).otherwise(float("nan"))
+    bound = lambda i: _alone(F.col("__ci")[i], "n_clusters")
     return out.select(*keys, "n_clusters", "n_rows", "point", bound(0).alias("ci_lo"), bound(1).alias("ci_hi"))
+
+
+def paired_cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, a: str, b: str, *, seed: int | Column, n_boot: int = 10_000, alpha: float = 0.05, statistic: Statistic = mean) -> DataFrame:
+    """The difference of a statistic, of b less of a, in each cell: *keys, n_clusters, n_paired, first, second, delta, delta_lo, delta_hi and
+    p_value. Both arms are drawn together; pairs with a NULL don't count. p_value is twice the smaller share of draws on one side of 0,
+    1/n at least. Fewer than two clusters give NaN. seed may be a column of the cells."""
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    d = d.withColumn("__seed", seed if isinstance(seed, Column) else F.lit(seed))
+    d = d.groupBy(*keys, cluster, "__seed").agg(F.sum(F.col(a).cast("double")).alias("__a"), F.sum(F.col(b).cast("double")).alias("__b"), F.count(F.lit(1)).alias("__n"))
+    first, second = statistic(F.col("__a"), F.col("__n")), statistic(F.col("__b"), F.col("__n"))
+    of = drawn(second - first)
+    n = F.count(of)
+    p = F.least(F.lit(1.0), F.greatest(2 * F.least(F.try_divide(F.count_if(of <= 0), n), F.try_divide(F.count_if(of >= 0), n)), F.lit(1 / n_boot)))
+    out = resampled(d, keys, F.xxhash64("__seed", F.col(cluster).cast("string")), ["__a", "__b", "__n"], n_boot).groupBy(*keys).agg(
+        whole(F.col("n_units")).cast("long").alias("n_clusters"), whole(F.col("__n")).cast("long").alias("n_paired"), whole(first).alias("first"), whole(second).alias("second"),
+        whole(second - first).alias("delta"), _bounds(of, alpha).alias("__ci"), F.when(n > 0, p).alias("p_value"),
+    )
+    bound = lambda c: _alone(c, "n_clusters")
+    return out.select(*keys, "n_clusters", "n_paired", "first", "second", "delta", bound(F.col("__ci")[0]).alias("delta_lo"), bound(F.col("__ci")[1]).alias("delta_hi"), bound(F.col("p_value")).alias("p_value"))

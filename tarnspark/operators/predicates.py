@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The operators of a predicate.
 OPERATORS = (">=", "<", "=", "IS NULL", "IS NOT NULL")
 
 
+def number_text(x: float) -> str:
+    """A threshold as rules show it: whole numbers without decimals, others with one."""
+    return str(int(x)) if float(x).is_integer() else f"{x:.1f}"
+
+
 @dataclass(frozen=True, order=True)
 class Predicate:
     column: str
@@ -20,6 +27,8 @@ class Predicate:
     def __post_init__(self):
         if self.op not in OPERATORS:
             raise ValueError(f"unknown operator {self.op}")
+        if self.op.startswith("IS") and self.value is not None:
+            raise ValueError(f"{self.op} takes no value")
 
     def on(self, df: DataFrame) -> Column:
         if self.column not in df.columns:
@@ -36,7 +45,9 @@ class Predicate:
         return F.coalesce(held & ~F.isnan(number), F.lit(False))
 
     def __str__(self) -> str:
-        return f"{self.column} {self.op}" if self.value is None else f"{self.column} {self.op} {self.value}"
+        if self.value is None:
+            return f"{self.column} {self.op}"
+        return f"{self.column} {self.op} {self.value if self.op == '=' else number_text(self.value)}"
 
 
 def conjunction(df: DataFrame, rule: tuple[Predicate, ...]) -> Column:
@@ -47,6 +58,23 @@ def rule_text(rule: tuple[Predicate, ...]) -> str:
     return " AND ".join(sorted(map(str, rule)))
 
 
+def rule_json(rule: tuple[Predicate, ...]) -> str:
+    """The rule as JSON, a list of its predicates in the order of their texts."""
+    return json.dumps([{"column": p.column, "op": p.op, "value": p.value} for p in sorted(rule, key=str)])
+
+
+def rule_from_json(text: str) -> tuple[Predicate, ...]:
+    return tuple(Predicate(**p) for p in json.loads(text))
+
+
+def scopes_from_rules(features: DataFrame, rules: list[tuple[Predicate, ...]], prefix: str = "", limit: int | None = None) -> DataFrame:
+    """(scope, scope_index, scenario_id): the scenarios of both halves that each rule holds for; a scope has the name of its rule."""
+    held = [F.when(conjunction(features, r), F.struct(F.lit(prefix + rule_text(r)).alias("scope"), F.lit(i + 1).alias("scope_index"))) for i, r in enumerate(rules[:limit])]
+    if not held:
+        return features.select(F.lit("").alias("scope"), F.lit(0).alias("scope_index"), "scenario_id").limit(0)
+    return features.select("scenario_id", F.explode(F.array_compact(F.array(*held))).alias("s")).select("s.scope", "s.scope_index", "scenario_id")
+
+
 def rule_counts(df: DataFrame, rules: list[tuple[Predicate, ...]], target: str) -> DataFrame:
     """Coverage, failures, rate and weighted relative accuracy of every rule, in one pass; rows of NULL target don't count."""
     d = df.where(F.col(target).isNotNull())

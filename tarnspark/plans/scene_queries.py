@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnspark.operators import bootstrap, cycles, miner, scene
 from tarnspark.plans import adapters
+from tarnspark.plans.queries import touch_sql
 from tarnspark.sources import ingest, store
 
 KINDS = ("vehicle", "pedestrian", "cyclist", "bus", "motorcyclist")
@@ -123,7 +124,7 @@ def t1_cluster_bootstrap(s: SparkSession, d: str) -> DataFrame:
 def t12_failure_classes(s: SparkSession, d: str) -> DataFrame:
     x = adapters.metrics(s, d).where("run_id = 'A_F'").select("scenario_id", "at_fault_collision", "n_cycles").join(adapters.features(s, d), "scenario_id")
     x = x.withColumn("split", store.split_of(F.concat(F.lit("scn-"), F.col("scenario_id").cast("string"))))
-    return miner.mine(x, ["n_cycles", "ego_maneuver", "city", "route_len_m", "ego_speed_t0"], "at_fault_collision", beam=10, depth=2)
+    return miner.mine(x, ["n_cycles", "ego_maneuver", "city", "route_len_m", "ego_speed_t0"], "at_fault_collision", n_boot=2000, seed=11)
 
 
 QUERIES = {
@@ -140,12 +141,7 @@ _DIST = "sqrt((o.x - e.x) ** 2 + (o.y - e.y) ** 2)"
 _BOXES = """b AS (SELECT user_id // 2 AS scenario_id, user_id % 2 AS odd, step, x, y, heading, cos(heading) * 12 AS vx, sin(heading) * 12 AS vy FROM s)"""
 
 
-def _apart(ux: str, uy: str) -> str:
-    reach = " + ".join(f"abs(cos({h}) * ({ux}) + sin({h}) * ({uy})) * 2.4 + abs(cos({h}) * ({uy}) - sin({h}) * ({ux}))" for h in ("e.heading", "o.heading"))
-    return f"abs(dx * ({ux}) + dy * ({uy})) > {reach}"
-
-
-_TOUCH = " AND ".join(f"NOT ({_apart(x, y)})" for h in ("e.heading", "o.heading") for x, y in ((f"cos({h})", f"sin({h})"), (f"-sin({h})", f"cos({h})")))
+_TOUCH = touch_sql(2.4, 1.0)
 _EDGES = ", ".join(f"({ax}, {ay}, {bx}, {by})" for (ax, ay), (bx, by) in zip([RING[-1], *RING[:-1]], RING, strict=True))
 _TRACKS = """r AS (
   SELECT user_id % 20 AS scenario_id, CASE WHEN event_type = 'click' THEN 'AV' ELSE event_type END AS track_id, extract(minute FROM ts)::INT AS timestep, event_id,
