@@ -45,3 +45,34 @@ def box_overlap(x1, y1, h1, l1, w1, x2, y2, h2, l2, w2) -> Column:  # noqa: PLR0
     for ux, uy in axes:
         separated = separated | apart(ux, uy)
     return F.when(near, ~separated).otherwise(F.lit(False))
+
+
+def lerp_angle(a: Column, b: Column, t: Column) -> Column:
+    """The angle a share t of the shorter way from a to b, in (-pi, pi]."""
+    return wrap_angle(a + t * angle_difference(b, a))
+
+
+def box_corners(x: Column, y: Column, heading: Column, length: Column, width: Column) -> list[tuple[Column, Column]]:
+    """Front left, rear left, rear right, front right."""
+    cos, sin = F.cos(heading), F.sin(heading)
+    return [(x + cos * a * length / 2 - sin * b * width / 2, y + sin * a * length / 2 + cos * b * width / 2) for a, b in ((1, 1), (-1, 1), (-1, -1), (1, -1))]
+
+
+def segments_meet(ax, ay, bx, by, cx, cy, dx, dy) -> Column:  # noqa: PLR0913
+    """Whether the segments a-b and c-d have a point in common, ends included."""
+
+    def side(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column) -> Column:
+        return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
+
+    def within(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column) -> Column:
+        return rx.between(F.least(px, qx), F.greatest(px, qx)) & ry.between(F.least(py, qy), F.greatest(py, qy))
+
+    c, d, a, b = side(ax, ay, bx, by, cx, cy), side(ax, ay, bx, by, dx, dy), side(cx, cy, dx, dy, ax, ay), side(cx, cy, dx, dy, bx, by)
+    touches = ((c == 0) & within(ax, ay, bx, by, cx, cy)) | ((d == 0) & within(ax, ay, bx, by, dx, dy)) | ((a == 0) & within(cx, cy, dx, dy, ax, ay)) | ((b == 0) & within(cx, cy, dx, dy, bx, by))
+    return ((c * d < 0) & (a * b < 0)) | touches
+
+
+def curvature(ax, ay, bx, by, cx, cy) -> Column:  # noqa: PLR0913
+    """Signed curvature of the circle through three points; 0 where two of them coincide."""
+    area = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    return F.coalesce(F.try_divide(2 * area, distance(ax, ay, bx, by) * distance(bx, by, cx, cy) * distance(ax, ay, cx, cy)), F.lit(0.0))

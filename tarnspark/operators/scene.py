@@ -6,15 +6,22 @@ All joins are on the scenario (and step), so a scene's rows meet only each other
 from __future__ import annotations
 
 import math
+import struct
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnspark.functions.geometry import box_overlap, distance, segment_distance, wrap_angle
+from tarnspark.functions.geometry import box_corners, box_overlap, distance, segment_distance, segments_meet, wrap_angle
 
+# Bits of what a data set can supply; city names in the order of their codes; kinds that nobody can hit.
+CAPABILITIES = {"lights": 1, "speed_limits": 2, "stop_signs": 4, "drivable_area": 8, "lane_connectivity": 16}
+CITIES = ("austin", "miami", "pittsburgh", "dearborn", "washington-dc", "palo-alto")
+UNCOLLIDABLE = ("static", "background", "construction")
+BOX = ("x", "y", "heading", "length", "width")
 # Vehicle classes by the count they belong to.
 CLASSES = {"n_vehicles": ("vehicle", "bus"), "n_peds": ("pedestrian",), "n_cyclists": ("cyclist", "motorcyclist")}
-# Fixed value: from the ego's rear axle to its centre (m).
+# 32-bit 0.1, the step of stored scenes (s); from the ego's rear axle to its centre (m).
+STEP = struct.unpack("f", struct.pack("f", 0.1))[0]
 AXLE_TO_CENTRE = 1.45
 
 
@@ -45,11 +52,12 @@ def area_distances(points: DataFrame, polygons: DataFrame) -> DataFrame:
     return d.select("scenario_id", "point_id", "inside", "distance")
 
 
-def time_to_collision(ego: DataFrame, agents: DataFrame, *, dt: float = 0.1, horizon: float = 3.0, radius: float = 60.0) -> DataFrame:
+def time_to_collision(ego: DataFrame, agents: DataFrame, *, dt: float = STEP, horizon: float = 3.0, radius: float = 60.0) -> DataFrame:
     """(scenario_id, step, min_ttc) of each ego state: the first multiple of dt at which its box and an agent's, both at constant
     velocity, touch; NULL if none does. Both: scenario_id, step, x, y, heading, vx, vy, length, width.
 
-    The steps are tried inside an array expression, so a pair stays one row.
+    The last step tried is the horizon over dt, cut to a whole number: 29 steps of the 32-bit 0.1 that scenes are stored with, which is
+    a little more than 0.1, and 30 of the exact one. The steps are tried inside an array expression, so a pair stays one row.
     """
     a = agents.select("scenario_id", "step", *[F.col(c).alias(f"o_{c}") for c in ("x", "y", "heading", "vx", "vy", "length", "width")])
     c = F.col
@@ -81,23 +89,132 @@ def speed_regime(mean_speed: Column) -> Column:
 
 
 def first_step_features(ego: DataFrame, agents: DataFrame) -> DataFrame:
-    """Counts and distances of a scenario's other agents at its first step. ego: scenario_id, x, y, heading; agents: scenario_id, x, y, heading, kind.
-    A scenario without agents has counts of 0 and NULL distances."""
-    a = agents.select("scenario_id", *[F.col(c).alias(f"o_{c}") for c in ("x", "y", "heading", "kind")])
+    """Counts and distances of a scenario's other agents. ego: scenario_id, x, y, heading at step 0; agents: the others' states, scenario_id,
+    agent_idx, step, valid, kind, x, y, heading. An agent counts if it is valid at any step; distances, headings and
+    the gap are of agents valid at step 0. A scenario without agents has counts of 0 and NULL distances."""
     c = F.col
+    at0 = (c("step") == 0) & c("valid")
+    first = F.max(F.when(at0, F.struct(*[c(x).alias(f"o_{x}") for x in ("x", "y", "heading")])))
+    a = agents.groupBy("scenario_id", "agent_idx").agg(F.max("valid").alias("ever"), F.first("kind").alias("kind"), first.alias("o")).where("ever").select("scenario_id", "agent_idx", "kind", "o.*")
     dx, dy = c("o_x") - c("x"), c("o_y") - c("y")
     away = distance(c("x"), c("y"), c("o_x"), c("o_y"))
-    turn = F.abs(wrap_angle(c("o_heading") - c("heading"))) * 180 / math.pi
+    turn = F.abs(wrap_angle(c("o_heading") - c("heading")))
     along, aside = dx * F.cos("heading") + dy * F.sin("heading"), dy * F.cos("heading") - dx * F.sin("heading")
     count = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))
-    return ego.join(a, "scenario_id", "left").groupBy("scenario_id").agg(
-        F.count("o_x").alias("n_agents"), *[count(c("o_kind").isin(*kinds)).alias(name) for name, kinds in CLASSES.items()],
+    return ego.select("scenario_id", "x", "y", "heading").join(a, "scenario_id", "left").groupBy("scenario_id").agg(
+        F.count("agent_idx").alias("n_agents"), *[count(c("kind").isin(*kinds)).alias(name) for name, kinds in CLASSES.items()],
         count(away <= 30).alias("n_agents_within_30m"), F.min(away).alias("min_agent_dist_t0"),
-        count((away <= 40) & (turn > 120)).alias("n_oncoming_within_40m"), count((away <= 40) & (turn > 60) & (turn <= 120)).alias("n_crossing_within_40m"),
+        count((away <= 40) & (turn > 2 * math.pi / 3)).alias("n_oncoming_within_40m"), count((away <= 40) & (turn > math.pi / 3) & (turn <= 2 * math.pi / 3)).alias("n_crossing_within_40m"),
         F.min(F.when((along > 0) & (along <= 60) & (F.abs(aside) <= 2), along)).alias("lead_agent_gap"),
     )
 
 
+def agent_density(within_30m: Column, route_len_m: Column) -> Column:
+    """Agents within 30 m for each 100 m of the route; 0 for routes of up to 1 m."""
+    return F.when(route_len_m > 1, within_30m * 100.0 / route_len_m).otherwise(0.0)
+
+
+def leaders(states: DataFrame, max_along: float = 60.0, max_aside: float = 2.2) -> DataFrame:
+    """Each state's leader: scenario_id, step, agent_idx, leader_idx, gap. states: scenario_id, step, agent_idx, x, y, heading. The leader is the nearest
+    agent ahead along the heading and close to it sideways, of equally near ones that of the smaller index; without one both are NULL."""
+    o = states.select("scenario_id", "step", *[F.col(c).alias(f"o_{c}") for c in ("agent_idx", "x", "y")])
+    c = F.col
+    dx, dy = c("o_x") - c("x"), c("o_y") - c("y")
+    d = states.join(o, ["scenario_id", "step"]).where("agent_idx <> o_agent_idx").withColumns({"along": dx * F.cos("heading") + dy * F.sin("heading"), "aside": dy * F.cos("heading") - dx * F.sin("heading")})
+    d = d.where((c("along") > 0) & (c("along") <= max_along) & (F.abs("aside") <= max_aside)).groupBy("scenario_id", "step", "agent_idx").agg(F.min(F.struct("along", "o_agent_idx")).alias("m"))
+    key = ["scenario_id", "step", "agent_idx"]
+    return states.select(*key).join(d.select(*key, c("m.o_agent_idx").alias("leader_idx"), c("m.along").alias("gap")), key, "left")
+
+
+def closest_agents(ego: DataFrame, agents: DataFrame, k: int = 1, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """The k agents that come closest to the ego over the steps both are valid at: scenario_id, agent_idx, min_distance, rank. Valid states only:
+    ego (scenario_id, step, x, y), agents (scenario_id, step, agent_idx, x, y, kind)."""
+    a = agents if kinds is None else agents.where(F.col("kind").isin(*kinds))
+    a = a.select("scenario_id", "step", "agent_idx", F.col("x").alias("o_x"), F.col("y").alias("o_y"))
+    c = F.col
+    d = ego.select("scenario_id", "step", "x", "y").join(a, ["scenario_id", "step"]).groupBy("scenario_id", "agent_idx").agg(F.min(distance(c("x"), c("y"), c("o_x"), c("o_y"))).alias("min_distance"))
+    return d.withColumn("rank", F.row_number().over(Window.partitionBy("scenario_id").orderBy("min_distance", "agent_idx"))).where(c("rank") <= k)
+
+
+def overlapping_agents(ego: DataFrame, agents: DataFrame) -> DataFrame:
+    """(scenario_id, step, agent_idx): the first agent, by index, whose box touches the ego's; steps without one are left out. Both:
+    scenario_id, step, x, y, heading, length, width; agents also agent_idx. Kinds that nobody can hit are the caller's to leave out (collidable())."""
+    a = agents.select("scenario_id", "step", "agent_idx", *[F.col(c).alias(f"o_{c}") for c in BOX])
+    c = F.col
+    hit = box_overlap(*[c(x) for x in BOX], *[c(f"o_{x}") for x in BOX])
+    return ego.select("scenario_id", "step", *BOX).join(a, ["scenario_id", "step"]).where(hit).groupBy("scenario_id", "step").agg(F.min("agent_idx").alias("agent_idx"))
+
+
+def collidable(kind: Column) -> Column:
+    return ~kind.isin(*UNCOLLIDABLE)
+
+
+def occlusion(ego: DataFrame, agents: DataFrame, radius: float = 50.0) -> DataFrame:
+    """(scenario_id, n_considered, n_occluded, occluded_agent_frac) at one step: the share of agents within radius whose line of sight from the ego meets
+    an edge of a nearer agent's box; 0 without any. ego: scenario_id, x, y; agents: scenario_id, agent_idx, x, y, heading, length, width."""
+    c = F.col
+    far = distance(c("ex"), c("ey"), c("x"), c("y"))
+    e = ego.select("scenario_id", F.col("x").alias("ex"), F.col("y").alias("ey"))
+    a = e.join(agents, "scenario_id").withColumn("far", far)
+    b = a.select("scenario_id", F.col("agent_idx").alias("j"), F.col("far").alias("j_far"), *[F.col(x).alias(f"j_{x}") for x in BOX])
+    corners = box_corners(*[c(f"j_{x}") for x in BOX])
+    meets = F.lit(False)
+    for (px, py), (qx, qy) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        meets = meets | segments_meet(c("ex"), c("ey"), c("x"), c("y"), px, py, qx, qy)
+    seen = a.where(c("far") <= radius)
+    hidden = seen.join(b, "scenario_id").where((c("j") != c("agent_idx")) & (c("j_far") < c("far"))).where(meets).select("scenario_id", "agent_idx").distinct().withColumn("hidden", F.lit(1))
+    d = ego.select("scenario_id").join(seen.select("scenario_id", "agent_idx").join(hidden, ["scenario_id", "agent_idx"], "left"), "scenario_id", "left")
+    d = d.groupBy("scenario_id").agg(F.count("agent_idx").alias("n_considered"), F.count("hidden").alias("n_occluded"))
+    return d.withColumn("occluded_agent_frac", F.coalesce(F.try_divide("n_occluded", "n_considered"), F.lit(0.0)))
+
+
+def crosswalk_on_route(paths: DataFrame, crosswalks: DataFrame, reach: float = 6.0, every: int = 8) -> DataFrame:
+    """(scenario_id, has_crosswalk_on_route): 1 if a vertex of a crosswalk lies within reach of every eighth point of the path, else 0, never NULL.
+    paths: scenario_id, points array; crosswalks: scenario_id, ring array."""
+    c = F.col
+    p = paths.select("scenario_id", F.posexplode("points").alias("i", "p")).where(c("i") % every == 0).select("scenario_id", c("p.x").alias("x"), c("p.y").alias("y"), F.floor(c("p.x") / reach).alias("cx"), F.floor(c("p.y") / reach).alias("cy"))
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    v = crosswalks.select("scenario_id", F.explode("ring").alias("v")).select("scenario_id", c("v.x").alias("vx"), c("v.y").alias("vy")).withColumn("i", near).withColumn("j", near)
+    v = v.withColumns({"cx": F.floor(c("vx") / reach) + c("i"), "cy": F.floor(c("vy") / reach) + c("j")})
+    close = (c("x") - c("vx")) * (c("x") - c("vx")) + (c("y") - c("vy")) * (c("y") - c("vy")) < reach * reach
+    found = p.join(v, ["scenario_id", "cx", "cy"]).where(close).select("scenario_id").distinct().withColumn("has_crosswalk_on_route", F.lit(1))
+    return paths.select("scenario_id").join(found, "scenario_id", "left").select("scenario_id", F.coalesce("has_crosswalk_on_route", F.lit(0)).alias("has_crosswalk_on_route"))
+
+
+def gated(capabilities: Column, name: str, value: Column) -> Column:
+    """value where the data set can supply it, by its capability bits, else NULL, whatever the column holds."""
+    return F.when(capabilities.bitwiseAND(F.lit(CAPABILITIES[name])) != 0, value)
+
+
+def signal_features(capabilities: Column, n_lights: Column, stop_sign_on_route: Column) -> dict[str, Column]:
+    return {
+        "has_traffic_light": gated(capabilities, "lights", (n_lights > 0).cast("int")), "light_state_t0": gated(capabilities, "lights", F.lit("unknown")),
+        "has_stop_sign": gated(capabilities, "stop_signs", stop_sign_on_route.cast("int")),
+    }
+
+
+def city_name(code: Column) -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, CITIES)), code), F.lit("unknown"))
+
+
+def outcome_margins(outcomes: DataFrame, nominal: float = 0.0) -> DataFrame:
+    """How far from nominal an outcome flips: per scenario n, n_failed, kind (never, always, flips) and margin, the least distance from nominal of a value whose
+    outcome differs from the nominal one's; NULL if none does. outcomes: scenario_id, value, failed (0 or 1)."""
+    away = F.abs(F.col("value") - nominal)
+    base = outcomes.where(F.col("value") == nominal).groupBy("scenario_id").agg(F.max("failed").alias("base"))
+    d = outcomes.join(base, "scenario_id", "left").groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n"), F.sum("failed").cast("long").alias("n_failed"), F.min(F.when(F.col("failed") != F.col("base"), away)).alias("margin"))
+    kind = F.when(F.col("n_failed") == 0, "never").when(F.col("n_failed") == F.col("n"), "always").otherwise("flips")
+    return d.select("scenario_id", "n", "n_failed", kind.alias("kind"), "margin")
+
+
+def status_percentiles(routes: DataFrame, value: str, quantiles: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Per status: n and the values at the floor of q (n - 1) of the sorted ones (no interpolation)."""
+    n = F.count(value).over(Window.partitionBy("status"))
+    at = F.row_number().over(Window.partitionBy("status").orderBy(value)) - 1
+    d = routes.where(F.col(value).isNotNull()).select("status", value, n.alias("n"), at.alias("at"))
+    return d.groupBy("status").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("at") == F.floor(q * (F.col("n") - 1)), F.col(value))).alias(f"p{round(q * 100)}") for q in quantiles])
+
+
 def ego_speed_features(states: DataFrame) -> DataFrame:
     """states: scenario_id, step, v of valid ego samples."""
     d = states.groupBy("scenario_id").agg(F.min_by("v", "step").alias("ego_speed_t0"), F.avg("v").alias("ego_mean_speed"), F.max("v").alias("ego_max_speed"), F.sum((F.col("v") < 0.5).cast("long")).alias("ego_stops"))

@@ -63,7 +63,7 @@ def _pairs_of_tracks(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def m3_time_to_collision(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(scene.time_to_collision(*_pairs_of_tracks(s, d), dt=0.1), 4)
+    return _rounded(scene.time_to_collision(*_pairs_of_tracks(s, d)), 4)
 
 
 def m2_struck_from_behind(s: SparkSession, d: str) -> DataFrame:
@@ -74,10 +74,16 @@ def m2_struck_from_behind(s: SparkSession, d: str) -> DataFrame:
     return ego.join(other, ["scenario_id", "step"]).groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(hit, 1)).alias("n_struck"))
 
 
+def scene_agents(s: SparkSession, d: str, size: int = 6) -> DataFrame:
+    """Tracks as agents, so many a scenario; agent 0 is the ego. A state in four is not valid, but for the ego's."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("user_id") % 7 % len(KINDS) + 1).cast("int"))
+    e = _states(s, d).withColumns({"scenario_id": F.floor(F.col("user_id") / size), "agent_idx": (F.col("user_id") % size).cast("int"), "kind": kind})
+    return e.withColumn("valid", (F.col("agent_idx") == 0) | (F.col("k") % 4 != 0))
+
+
 def f3_first_step_features(s: SparkSession, d: str) -> DataFrame:
-    e = _states(s, d).withColumnRenamed("user_id", "scenario_id")
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") % len(KINDS) + 1)
-    return _rounded(scene.first_step_features(e.where("step = 0"), e.where("step > 0").withColumn("kind", kind)), 5)
+    a = scene_agents(s, d)
+    return _rounded(scene.first_step_features(a.where("agent_idx = 0 AND step = 0"), a.where("agent_idx > 0")), 5)
 
 
 def f8_ego_speeds(s: SparkSession, d: str) -> DataFrame:
@@ -111,10 +117,22 @@ def i20_recentred(s: SparkSession, d: str) -> DataFrame:
 
 
 def i19_reject_reasons(s: SparkSession, d: str) -> DataFrame:
-    """Two scenarios a user, by the day of the month, so that their number grows with the table."""
+    """Two scenarios a user, by the day of the month, so that their number grows with the table, judged by their tracks alone."""
     rows = _track_rows(s, d, F.col("user_id") * 2 + (F.dayofmonth("ts") > SPLIT_DAY).cast("int"))
     last = ingest.last_states(rows, "event_id").select("scenario_id", "track_id", "timestep", "state.*")
-    return ingest.reject_reasons(last, n_steps=30, min_travel=5.0).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.reason_counts(ingest.reject_reasons(last, n_steps=30))
+
+
+def i19_all_reasons(s: SparkSession, d: str) -> DataFrame:
+    """The same scenarios by all rules. Some have a file that is missing, can't be read or is empty, and some
+    have too few lanes."""
+    sid = F.col("user_id") * 2 + (F.dayofmonth("ts") > SPLIT_DAY).cast("int")
+    rows = _track_rows(s, d, sid)
+    last = ingest.last_states(rows, "event_id").select("scenario_id", "track_id", "timestep", "state.*").where("scenario_id % 29 <> 3")
+    every = rows.select("scenario_id").distinct()
+    files = every.select("scenario_id", F.when(F.col("scenario_id") % 31 == 1, "missing_input_files").when(F.col("scenario_id") % 31 == 2, "parse_error:ArrowInvalid").alias("reason"))
+    lanes = every.select("scenario_id", F.explode(F.sequence(F.lit(1), (F.col("scenario_id") % 5).cast("int") + 1))).select("scenario_id", F.lit("VEHICLE").alias("lane_type"))
+    return ingest.reason_counts(ingest.reject_reasons(last, lanes, files, n_steps=30, min_travel=40.0))
 
 
 def t1_cluster_bootstrap(s: SparkSession, d: str) -> DataFrame:
@@ -129,13 +147,16 @@ def t12_failure_classes(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (a11_scenario_metrics, m9_kinematics, m3_time_to_collision, m2_struck_from_behind, f3_first_step_features, f8_ego_speeds, f1_maneuvers, j15_area_distances, i21_dense_tracks, i20_recentred, i19_reject_reasons, t1_cluster_bootstrap, t12_failure_classes)
+    for f in (a11_scenario_metrics, m9_kinematics, m3_time_to_collision, m2_struck_from_behind, f3_first_step_features, f8_ego_speeds, f1_maneuvers, j15_area_distances, i21_dense_tracks, i20_recentred, i19_reject_reasons, i19_all_reasons, t1_cluster_bootstrap, t12_failure_classes)
 }
 
 _STATES = """s AS (
   SELECT event_id, user_id, ts, event_type, value AS x, json_extract_string(props, '$.k')::INT AS k, json_extract_string(props, '$.k')::DOUBLE AS y,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, json_extract_string(props, '$.k')::INT * pi() / 50 AS heading FROM events
 )"""
+AGENTS = """g AS (
+  SELECT *, user_id // 6 AS scenario_id, user_id % 6 AS agent_idx, user_id % 6 = 0 OR k % 4 <> 0 AS valid, ['vehicle', 'pedestrian', 'cyclist', 'bus', 'motorcyclist'][(user_id % 7 % 5 + 1)::INT] AS kind FROM s
+)"""
 _WRAP = lambda a: f"atan2(sin({a}), cos({a}))"
 _DIST = "sqrt((o.x - e.x) ** 2 + (o.y - e.y) ** 2)"
 _BOXES = """b AS (SELECT user_id // 2 AS scenario_id, user_id % 2 AS odd, step, x, y, heading, cos(heading) * 12 AS vx, sin(heading) * 12 AS vy FROM s)"""
@@ -150,6 +171,13 @@ _TRACKS = """r AS (
   SELECT scenario_id, track_id, timestep, max_by(position_x, event_id) AS position_x, max_by(position_y, event_id) AS position_y, count(*) - 1 AS n_repeats FROM r GROUP BY ALL
 )"""
 
+_SCENES = f"""r AS (
+  SELECT user_id * 2 + (extract(day FROM ts) > {SPLIT_DAY})::INT AS scenario_id, CASE WHEN event_type = 'click' THEN 'AV' ELSE event_type END AS track_id, extract(minute FROM ts)::INT AS timestep, event_id,
+    value AS x, json_extract_string(props, '$.k')::DOUBLE AS y FROM events
+), l AS (
+  SELECT scenario_id, track_id, timestep, max_by(x, event_id) AS x, max_by(y, event_id) AS y FROM r GROUP BY ALL
+)"""
+_STEP = "0.1::FLOAT::DOUBLE"
 ORACLE_SQL = {
     "a11_scenario_metrics": f"""WITH {_STATES}, c AS (
   SELECT user_id AS scenario_id, step, step * 0.1::DOUBLE AS t, x, y, k, y / 5 AS v, CASE WHEN k % 7 <> 0 THEN (x - 50) / 20 END AS a_lon, y / 25 AS a_lat, (y - 50) / 6 AS jerk, (y - 50) / 60 AS yaw_rate,
@@ -177,21 +205,23 @@ ORACLE_SQL = {
   SELECT *, coalesce((lead(a_lon) OVER w - lag(a_lon) OVER w) / 0.2, (lead(a_lon) OVER w - a_lon) / 0.1, (a_lon - lag(a_lon) OVER w) / 0.1) AS jerk FROM a WINDOW w AS (PARTITION BY scenario_id ORDER BY step)
 ) SELECT scenario_id, round(max(abs(a_lon)), 4) AS max_a_lon, round(max(abs(yaw_rate)), 4) AS max_yaw_rate, round(max(abs(v * yaw_rate)), 4) AS max_a_lat, round(max(abs(jerk)), 4) AS max_jerk FROM j GROUP BY scenario_id""",
     "m3_time_to_collision": f"""WITH {_STATES}, {_BOXES}, p AS (
-  SELECT e.scenario_id, e.step, i * 0.1::DOUBLE AS t, o.x + i * 0.1::DOUBLE * o.vx - e.x - i * 0.1::DOUBLE * e.vx AS dx, o.y + i * 0.1::DOUBLE * o.vy - e.y - i * 0.1::DOUBLE * e.vy AS dy, e, o
-  FROM b e JOIN b o ON e.scenario_id = o.scenario_id AND e.step = o.step AND e.odd = 0 AND o.odd = 1 AND {_DIST} <= 60 CROSS JOIN range(1, 31) k(i)
+  SELECT e.scenario_id, e.step, i * {_STEP} AS t, o.x + i * {_STEP} * o.vx - e.x - i * {_STEP} * e.vx AS dx, o.y + i * {_STEP} * o.vy - e.y - i * {_STEP} * e.vy AS dy, e, o
+  FROM b e JOIN b o ON e.scenario_id = o.scenario_id AND e.step = o.step AND e.odd = 0 AND o.odd = 1 AND {_DIST} <= 60 CROSS JOIN range(1, 30) k(i)
 ), m AS (
   SELECT scenario_id, step, min(t) AS min_ttc FROM p WHERE dx * dx + dy * dy <= 4.8 * 4.8 + 2.0 * 2.0 AND {_TOUCH} GROUP BY ALL
 ) SELECT b.scenario_id, b.step, round(min_ttc, 4) AS min_ttc FROM b LEFT JOIN m USING (scenario_id, step) WHERE odd = 0""",
     "m2_struck_from_behind": f"""WITH {_STATES}, {_BOXES}
 SELECT e.scenario_id, count(*) AS n, count(*) FILTER (WHERE (o.x - e.x) * cos(e.heading) + (o.y - e.y) * sin(e.heading) <= -0.725 AND o.vx * cos(e.heading) + o.vy * sin(e.heading) > 8.5) AS n_struck
 FROM b e JOIN b o ON e.scenario_id = o.scenario_id AND e.step = o.step AND e.odd = 0 AND o.odd = 1 GROUP BY e.scenario_id""",
-    "f3_first_step_features": f"""WITH {_STATES}, p AS (
-  SELECT e.user_id AS scenario_id, o.user_id AS other, o.k % 5 AS kind, {_DIST} AS away, abs({_WRAP("o.heading - e.heading")}) * 180 / pi() AS turn,
-    (o.x - e.x) * cos(e.heading) + (o.y - e.y) * sin(e.heading) AS along, (o.y - e.y) * cos(e.heading) - (o.x - e.x) * sin(e.heading) AS aside
-  FROM s e LEFT JOIN s o ON o.user_id = e.user_id AND o.step > 0 WHERE e.step = 0
-) SELECT scenario_id, count(other) AS n_agents, count(*) FILTER (WHERE kind IN (0, 3)) AS n_vehicles, count(*) FILTER (WHERE kind = 1) AS n_peds, count(*) FILTER (WHERE kind IN (2, 4)) AS n_cyclists,
-  count(*) FILTER (WHERE away <= 30) AS n_agents_within_30m, round(min(away), 5) AS min_agent_dist_t0, count(*) FILTER (WHERE away <= 40 AND turn > 120.00001) AS n_oncoming_within_40m,
-  count(*) FILTER (WHERE away <= 40 AND turn > 60.00001 AND turn <= 120.00001) AS n_crossing_within_40m, round(min(along) FILTER (WHERE along > 0 AND along <= 60 AND abs(aside) <= 2), 5) AS lead_agent_gap FROM p GROUP BY scenario_id""",
+    "f3_first_step_features": f"""WITH {_STATES}, {AGENTS}, t AS (
+  SELECT scenario_id, agent_idx, kind, bool_or(valid) AS ever, min(step) FILTER (WHERE step = 0 AND valid) AS at0 FROM g WHERE agent_idx > 0 GROUP BY ALL
+), p AS (
+  SELECT e.scenario_id, t.agent_idx AS other, t.kind, CASE WHEN at0 = 0 THEN {_DIST} END AS away, CASE WHEN at0 = 0 THEN abs({_WRAP("o.heading - e.heading")}) END AS turn,
+    CASE WHEN at0 = 0 THEN (o.x - e.x) * cos(e.heading) + (o.y - e.y) * sin(e.heading) END AS along, (o.y - e.y) * cos(e.heading) - (o.x - e.x) * sin(e.heading) AS aside
+  FROM g e LEFT JOIN t ON t.scenario_id = e.scenario_id AND ever LEFT JOIN g o ON o.scenario_id = e.scenario_id AND o.agent_idx = t.agent_idx AND o.step = 0 WHERE e.step = 0 AND e.agent_idx = 0
+) SELECT scenario_id, count(other) AS n_agents, count(*) FILTER (WHERE kind IN ('vehicle', 'bus')) AS n_vehicles, count(*) FILTER (WHERE kind = 'pedestrian') AS n_peds, count(*) FILTER (WHERE kind IN ('cyclist', 'motorcyclist')) AS n_cyclists,
+  count(*) FILTER (WHERE away <= 30) AS n_agents_within_30m, round(min(away), 5) AS min_agent_dist_t0, count(*) FILTER (WHERE away <= 40 AND turn > 2 * pi() / 3) AS n_oncoming_within_40m,
+  count(*) FILTER (WHERE away <= 40 AND turn > pi() / 3 AND turn <= 2 * pi() / 3) AS n_crossing_within_40m, round(min(along) FILTER (WHERE along > 0 AND along <= 60 AND abs(aside) <= 2), 5) AS lead_agent_gap FROM p GROUP BY scenario_id""",
     "f8_ego_speeds": f"""WITH {_STATES}, g AS (
   SELECT user_id AS scenario_id, min_by(y / 8, step) AS a, avg(y / 8) AS m, max(y / 8) AS b, count(*) FILTER (WHERE y / 8 < 0.5) AS ego_stops FROM s GROUP BY user_id
 ) SELECT scenario_id, round(a, 6) AS ego_speed_t0, round(m, 6) AS ego_mean_speed, round(b, 6) AS ego_max_speed, ego_stops, CASE WHEN m < 1 THEN 'stopped' WHEN m < 5 THEN 'low' WHEN m < 11 THEN 'mid' ELSE 'high' END AS speed_regime FROM g""",
@@ -211,14 +241,17 @@ SELECT a.scenario_id, a.track_id, g.i::INT AS timestep, agent_idx, l.timestep IS
 FROM a CROSS JOIN range(60) g(i) LEFT JOIN l ON l.scenario_id = a.scenario_id AND l.track_id = a.track_id AND l.timestep = g.i""",
     "i20_recentred": f"""WITH {_TRACKS}, z AS (SELECT scenario_id, position_x AS ox, position_y AS oy FROM l WHERE track_id = 'AV' AND timestep = 0)
 SELECT scenario_id, count(*) AS n, round(min(position_x - ox), 6) AS low, round(max(position_y - oy), 6) AS high FROM l JOIN z USING (scenario_id) GROUP BY scenario_id""",
-    "i19_reject_reasons": f"""WITH r AS (
-  SELECT user_id * 2 + (extract(day FROM ts) > {SPLIT_DAY})::INT AS scenario_id, CASE WHEN event_type = 'click' THEN 'AV' ELSE event_type END AS track_id, extract(minute FROM ts)::INT AS timestep, event_id,
-    value AS x, json_extract_string(props, '$.k')::DOUBLE AS y FROM events
-), l AS (
-  SELECT scenario_id, track_id, timestep, max_by(x, event_id) AS x, max_by(y, event_id) AS y FROM r GROUP BY ALL
-), d AS (
+    "i19_reject_reasons": f"""WITH {_SCENES}, d AS (
   SELECT *, track_id = 'AV' AS ego, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step FROM l WINDOW w AS (PARTITION BY scenario_id, track_id ORDER BY timestep)
 ), g AS (
   SELECT scenario_id, count(DISTINCT timestep) AS steps, count(*) FILTER (WHERE ego) AS n, min(timestep) FILTER (WHERE ego) AS first, coalesce(sum(step) FILTER (WHERE ego), 0.0) AS travel FROM d GROUP BY scenario_id
-) SELECT CASE WHEN steps <> 30 THEN 'steps' WHEN n = 0 THEN 'no_ego' WHEN first <> 0 THEN 'ego_not_at_start' WHEN travel < 5.0 THEN 'travel' END AS reason, count(*) AS n FROM g GROUP BY 1""",
+) SELECT CASE WHEN steps <> 30 THEN 'unexpected_num_timestamps' WHEN n = 0 THEN 'no_av_track' WHEN first <> 0 THEN 'av_not_valid_at_t0' WHEN travel < 5.0 THEN 'ego_travel_below_5m' END AS reason, count(*) AS n FROM g GROUP BY 1""",
+    "i19_all_reasons": f"""WITH {_SCENES}, d AS (
+  SELECT *, track_id = 'AV' AS ego, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step FROM l WHERE scenario_id % 29 <> 3 WINDOW w AS (PARTITION BY scenario_id, track_id ORDER BY timestep)
+), g AS (
+  SELECT scenario_id, count(DISTINCT timestep) AS steps, count(*) FILTER (WHERE ego) AS n, min(timestep) FILTER (WHERE ego) AS first, coalesce(sum(step) FILTER (WHERE ego), 0.0) AS travel FROM d GROUP BY scenario_id
+), e AS (SELECT DISTINCT scenario_id FROM r)
+SELECT CASE WHEN e.scenario_id % 31 = 1 THEN 'missing_input_files' WHEN e.scenario_id % 31 = 2 THEN 'parse_error' WHEN steps IS NULL THEN 'empty_parquet' WHEN steps <> 30 THEN 'unexpected_num_timestamps'
+  WHEN n = 0 THEN 'no_av_track' WHEN first <> 0 THEN 'av_not_valid_at_t0' WHEN travel < 40.0 THEN 'ego_travel_below_5m' WHEN e.scenario_id % 5 = 0 THEN 'fewer_than_2_vehicle_lanes' END AS reason, count(*) AS n
+FROM e LEFT JOIN g USING (scenario_id) GROUP BY 1""",
 }
