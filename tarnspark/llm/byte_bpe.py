@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import Remembered, bounded_batches
 
-#: Bytes of words and their ids that a worker remembers while a task runs.
-REMEMBERED = 24 << 20
+#: Bytes of words and their ids that a worker remembers.
+REMEMBERED = 56 << 20
 
 
 def byte_characters() -> list[str]:
@@ -127,16 +127,14 @@ def _codec(path: str, pattern: str) -> ByteBPE:
 
 
 def _by_batch(ranks_path: str, pattern: str, kind: T.DataType, convert: Callable) -> Callable[[Column], Column]:
-    """A pandas UDF of convert(codec, value). Each worker loads the vocabulary once; what it remembers goes with the task."""
+    """A pandas UDF of convert(codec, values). Each worker loads the vocabulary once, and remembers words from task to task, as a task that
+    begins with none spends most of its time on them; their bytes are bounded."""
 
     @F.pandas_udf(kind)
     def run(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(ranks_path, pattern)
-        try:
-            for batch in values:
-                yield convert(codec, batch)
-        finally:
-            codec.later.forget()
+        for batch in values:
+            yield convert(codec, batch)
 
     return run
 

@@ -46,10 +46,6 @@ class Remembered(dict):
             self[key] = value
         return value
 
-    def forget(self) -> None:
-        self.elder, self.size = {}, 0
-        self.clear()
-
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one if the master is

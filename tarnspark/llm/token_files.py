@@ -200,8 +200,8 @@ class WordEncoder:
     """The tokenizer's ids of whole texts: word by word ([^\\x20\\x09-\\x0D]+) where splits_at_blanks() allows it. There a word of Latin-1 letters
     followed by ASCII marks other than the apostrophe is two pre-tokens, the letters lower-cased and the marks."""
 
-    #: Bytes of words, and of runs of letters, that a worker remembers while a task runs.
-    REMEMBERED = 12 << 20
+    #: Bytes of words, and of runs of letters, that a worker remembers.
+    WORDS, RUNS = 40 << 20, 16 << 20
     _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
     def __init__(self, path: str, width: int, end_id: int | None):
@@ -209,7 +209,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.packers = _Packers("H" if width == 2 else "I")
-        self.known, self.runs = Remembered(self._word, self.REMEMBERED), Remembered(self._run, self.REMEMBERED)
+        self.known, self.runs = Remembered(self._word, self.WORDS), Remembered(self._run, self.RUNS)
         self.end = b"" if end_id is None else self._pack([end_id])
         chars = byte_characters()
         self.bytewise = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
@@ -233,10 +233,6 @@ class WordEncoder:
     def encode(self, text: bytes) -> bytes:
         return (b"".join(map(self.known.__getitem__, text.split())) if self.by_word else self._whole(text.decode())) + self.end
 
-    def forget(self) -> None:
-        self.known.forget()
-        self.runs.forget()
-
 
 @lru_cache(maxsize=1)
 def _encoder(path: str, width: int, end_id: int | None) -> WordEncoder:
@@ -265,23 +261,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             name = "_".join("null" if x is None else str(x) for x in (partition, before, held, keys[0], keys[-1]))
             return pd.DataFrame({"blob": [pack_shard(keys, copies, ids, width, partition, before)], "shard": [name]})
 
-        try:
-            for batch in batches:
-                for key, text in zip(batch["id"], batch["text"], strict=True):
-                    key, own = None if pd.isna(key) else int(key), codec.encode(bytes(text))
-                    last = (last[0] + 1, key) if last[1] == key and (keys or before or held) else (0, key)
-                    keys.append(key)
-                    copies.append(last[0])
-                    ids.append(own)
-                    held += len(own) // width
-                    if held >= SHARD_IDS or len(keys) >= SHARD_DOCS:
-                        yield shard()
-                        before, held = before + held, 0
-                        keys, copies, ids = [], [], []
-            if keys:
-                yield shard()
-        finally:
-            codec.forget()
+        for batch in batches:
+            for key, text in zip(batch["id"], batch["text"], strict=True):
+                key, own = None if pd.isna(key) else int(key), codec.encode(bytes(text))
+                last = (last[0] + 1, key) if last[1] == key and (keys or before or held) else (0, key)
+                keys.append(key)
+                copies.append(last[0])
+                ids.append(own)
+                held += len(own) // width
+                if held >= SHARD_IDS or len(keys) >= SHARD_DOCS:
+                    yield shard()
+                    before, held = before + held, 0
+                    keys, copies, ids = [], [], []
+        if keys:
+            yield shard()
 
     write_blobs(d.mapInPandas(pack, "blob binary, shard string"), "blob", path, TRAILER, "shard")
 
