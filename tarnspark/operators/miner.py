@@ -276,6 +276,23 @@ def _reported(shown: DataFrame, disc_n: int, disc_k: int, conf_n: int, conf_k: i
     return d.withColumns({f"rank_{name}": rank(*by) for name, by in orders.items()})
 
 
+def joined(features: DataFrame, metrics: DataFrame, target: str) -> DataFrame:
+    """features with the target of their scenarios, one to one. Raises if a scenario is twice on either side, metrics are of more than one run, or
+    nothing is in both."""
+    if "run_id" in metrics.columns:
+        runs = [r[0] for r in metrics.where(F.col("run_id").isNotNull()).select("run_id").distinct().limit(5).collect()]
+        if len(runs) > 1:
+            raise ValueError(f"metrics of several runs can't be mined together: {sorted(map(str, runs))}")
+    for name, d in (("features", features), ("metrics", metrics)):
+        bad = d.groupBy("scenario_id").count().where("count > 1").limit(3).collect()
+        if bad:
+            raise ValueError(f"scenarios are twice in {name}: {[r[0] for r in bad]}")
+    out = features.join(metrics.select("scenario_id", target), "scenario_id")
+    if out.isEmpty():
+        raise ValueError("features and metrics share no scenario")
+    return out
+
+
 def mine(df: DataFrame, columns: list[str], target: str, **options) -> DataFrame:
     """search()'s classes."""
     return search(df, columns, target, **options).classes

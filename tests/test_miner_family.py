@@ -87,6 +87,15 @@ def test_refusals(planted):
         miner.mine(planted, **options, min_support=10**6)
 
 
+def test_features_and_metrics_are_joined_one_to_one(spark):
+    features = spark.createDataFrame([("a", 1), ("b", 2)], "scenario_id string, n int")
+    metrics = spark.createDataFrame([("r", "a", 1), ("r", "c", 0)], "run_id string, scenario_id string, y int")
+    assert [tuple(r) for r in miner.joined(features, metrics, "y").collect()] == [("a", 1, 1)]
+    for f, m in ((features.union(features), metrics), (features, metrics.union(metrics)), (features, metrics.replace("c", "d").replace("r", "q").union(metrics)), (features.where("n = 2"), metrics)):
+        with pytest.raises(ValueError):
+            miner.joined(f, m, "y")
+
+
 def test_correction_leaves_out_what_is_no_p_value(spark):
     d = spark.createDataFrame([("a", 0.01), ("b", 0.03), ("c", None), ("d", float("nan")), ("e", 1.5)], "name string, p_value double")
     got = {r["name"]: (r["q_value"], r["rejected"]) for r in stats.benjamini_hochberg(d).collect()}
