@@ -72,6 +72,12 @@ def saved(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Deletes the work tables of this application. Results are read from them lazily, so only after all results have been written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/tarnspark/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
     """Rows travel to Python workers in Arrow batches of about `limit` bytes (a longer text is a batch of its own), so that a worker's
     memory is bounded whatever the texts' lengths. Spark reads this from the session when a lazy result is run, so it stays
@@ -93,11 +99,11 @@ def ascii_lower(c: Column) -> Column:
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, label: str) -> DataFrame:
-    """left joined to right, which has one row a key. Rows of left's heavy keys (fewer than HEAVY keys) meet a broadcast
-    of as many rows of right at most; all the others are shuffled, no key of them holding over 1/HEAVY of the rows."""
+    """left joined to right, which has one row a key. Rows of left's heavy keys (fewer than HEAVY keys, or than there are partitions if they
+    are more) meet a broadcast of as many rows of right at most; all the others are shuffled, no key of them holding over such a share of the rows."""
     keys = list(keys)
-    total = left.count()
-    heavy = saved(left.groupBy(*keys).count().where(F.col("count") * HEAVY > total).select(*keys), f"{label}-heavy")
+    total, share = left.count(), max(HEAVY, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    heavy = saved(left.groupBy(*keys).count().where(F.col("count") * share > total).select(*keys), f"{label}-heavy")
     hot = left.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(heavy), keys, "left_semi")), keys, how)
     rest = left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys, how)
     return hot.unionByName(rest)
