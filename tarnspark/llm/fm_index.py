@@ -1,6 +1,6 @@
 """A compressed FM-index over sequences of integers: the Burrows-Wheeler transform in a wavelet matrix of packed bits, a bit for
 each suffix of a sequence that occurs more than once, and the sorted symbols. The text is not kept: what is searched is streamed past
-the index. With 2^16 symbols that is about 3 bytes a position, besides 12 bytes a different symbol.
+the index. With 2^16 symbols that is about 3 bytes a position, besides 28 bytes a different symbol.
 
 Searches run for many patterns at a time, a step of all of them by a few array operations.
 """
@@ -95,14 +95,14 @@ class FMIndex:
         order = suffix_order(text, depth + 1)
         n_symbols = len(self.values) + 1
         self.wavelet = WaveletMatrix(text[order - 1], n_symbols)
-        counts = np.bincount(text, minlength=n_symbols)
-        self.smaller = np.cumsum(counts) - counts
+        self.counts = np.bincount(text, minlength=n_symbols)
+        self.smaller = np.cumsum(self.counts) - self.counts
         self.often = Bits(np.repeat(often, lengths)[order].astype(np.uint8))
         self.size = len(text)
 
     def bytes_held(self) -> int:
         bits = [b for _, b in self.wavelet.levels] + [self.often]
-        return sum(b.words.nbytes + b.before.nbytes for b in bits) + self.wavelet.starts.nbytes + self.values.nbytes + self.smaller.nbytes
+        return sum(b.words.nbytes + b.before.nbytes for b in bits) + self.wavelet.starts.nbytes + self.values.nbytes + self.smaller.nbytes + self.counts.nbytes
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward step: the suffix ranges of the patterns with symbol put before them."""
@@ -114,7 +114,7 @@ class FMIndex:
         """Whether each range holds two occurrences or more."""
         return (high - low >= 2) | (self.often.rank(high) > self.often.rank(low))
 
-    def repeats(self, patterns: list[np.ndarray], window: int, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def repeats(self, patterns: list[np.ndarray], window: int, chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics above a threshold, of sequences of the index that are streamed past it, about chunk symbols at a time:
         their intervals (number of the sequence, from, to), in which every window occurs at least twice."""
         lengths = np.array([len(x) for x in patterns], np.int64)
@@ -122,40 +122,31 @@ class FMIndex:
         found = [self._repeats(np.searchsorted(self.values, np.concatenate(patterns[own[0] : own[-1] + 1])) + 1, lengths[own], window, own[0]) for own in np.split(np.arange(len(patterns)), cuts) if len(own)]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
-    def _repeats(self, text: np.ndarray, lengths: np.ndarray, window: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A search goes backward from an end while the match repeats. The first starts at the sequence's end; then windows
-        are searched from the left, and where a match breaks off, all windows over the break are skipped."""
-        n, base = len(lengths), np.cumsum(lengths) - lengths
-        seq, goal = np.arange(n), np.zeros(n, np.int64)  # the window searched for starts at goal
-        at, low, high = lengths.astype(np.int64).copy(), np.zeros(n, np.int64), np.full(n, self.size, np.int64)
-        limit = np.maximum(lengths - window + 1, 0)  # windows from here on are settled
-        first = np.ones(n, bool)
-        none = np.zeros(0, np.int64)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, none)]
-        live = np.flatnonzero(limit > 0)
+    def _backward(self, text: np.ndarray, ends: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """From each end in text, the number of symbols, steps at most, that a search goes back while what it matches occurs again."""
+        done = np.zeros(len(ends), np.int64)
+        live = np.flatnonzero(steps > 0)
+        symbol = text[ends[live] - 1]
+        low, high = self.smaller[symbol], self.smaller[symbol] + self.counts[symbol]
         while len(live):
-            new_low, new_high = self.extend(text[base[live] + at[live] - 1], low[live], high[live])
-            more = self.again(new_low, new_high)
-            on = live[more]
-            low[on], high[on] = new_low[more], new_high[more]
-            at[on] -= 1
-            hit = on[at[on] == goal[on]]
-            broken = live[~more]
-            ended = np.concatenate([hit, broken])
-            if len(ended):
-                one = ended[first[ended]]
-                if len(one):  # the search from the end: what lies right of the break is settled
-                    wide = one[lengths[one] - at[one] >= window]
-                    found.append((seq[wide], at[wide].copy(), lengths[wide].astype(np.int64)))
-                    limit[one] = np.minimum(limit[one], at[one])
-                    goal[one] = 0
-                rest_hit, rest_broken = hit[~first[hit]], broken[~first[broken]]
-                found.append((seq[rest_hit], goal[rest_hit].copy(), goal[rest_hit] + window))
-                goal[rest_hit] += 1
-                goal[rest_broken] = at[rest_broken]
-                first[one] = False
-                at[ended] = goal[ended] + window
-                low[ended], high[ended] = 0, self.size
-                live = live[goal[live] < limit[live]]
-        which, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
-        return which + number, start, end
+            more = self.again(low, high)
+            live, low, high = live[more], low[more], high[more]
+            done[live] += 1
+            more = done[live] < steps[live]
+            live, low, high = live[more], low[more], high[more]
+            if len(live):
+                low, high = self.extend(text[ends[live] - done[live] - 1], low, high)
+        return done
+
+    def _repeats(self, text: np.ndarray, lengths: np.ndarray, window: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One search goes back from each sequence's end; what it matches is settled. The windows that begin before are searched for from
+        their own ends, all at once."""
+        base, seq = np.cumsum(lengths) - lengths, np.arange(len(lengths))
+        reached = lengths - self._backward(text, base + lengths, lengths)
+        wide = seq[lengths - reached >= window]
+        left = np.minimum(reached, np.maximum(lengths - window + 1, 0))
+        which = np.repeat(seq, left)
+        start = np.arange(len(which)) - np.repeat(np.cumsum(left) - left, left)
+        whole = self._backward(text, base[which] + start + window, np.full(len(which), window)) == window
+        which, start = which[whole], start[whole]
+        return np.concatenate([wide, which]) + number, np.concatenate([reached[wide], start]), np.concatenate([lengths[wide], start + window])
