@@ -160,7 +160,8 @@ def _scorer(k: int) -> Callable:
                 x = np.frombuffer(raw, np.int64).reshape(len(ids), dim)
                 out, q = [], _matrix(list(vs), dim)
                 for number, query, v, own in zip(numbers, query_ids, q, product(q, x), strict=True):
-                    keep = np.flatnonzero((ids != query) | ~firsts | (x != v).any(1))
+                    mine = np.flatnonzero((ids == query) & firsts)
+                    keep = np.delete(np.arange(len(ids)), mine[(x[mine] == v).all(1)])
                     if len(keep) > k:  # everything that reaches the k-th score, then ties to smaller ids
                         keep = keep[own[keep] >= np.partition(own[keep], len(keep) - k)[len(keep) - k]]
                     keep = keep[np.lexsort((ids[keep], -own[keep]))][:k]
@@ -191,7 +192,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
         if results is not None:
             kth = results.groupBy("number").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
             state = q.join(kth.select("number", F.when(F.size("s") >= k, F.get("s", F.lit(k - 1))).cast("double").alias("kth")), "number", "left")
-        asked = state.select("number", "dim", "v", "kth").mapInPandas(_query_packs, "dim int, numbers binary, vs binary, kths binary")
+        asked = state.select("number", "dim", "v", "kth").repartition(packs).mapInPandas(_query_packs, "dim int, numbers binary, vs binary, kths binary")
         asked = asked.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
         chosen = asked.join(summaries, ["dim", "lot"]).mapInPandas(_chooser(None if take is None else rank + take), "number long, block long, bound long")
         if take is not None:
