@@ -142,7 +142,7 @@ def pair_coverage(baseline: DataFrame, candidate: DataFrame, key: str = "scenari
     return d.agg(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("n_paired"), F.count(F.when(F.col("b").isNull(), 1)).alias("n_only_baseline"), F.count(F.when(F.col("a").isNull(), 1)).alias("n_only_candidate"))
 
 
-def only_in_one(baseline: DataFrame, candidate: DataFrame, key: str = "scenario_id") -> tuple[int, DataFrame, DataFrame]:
-    """The number of keys that both have, and the keys that only one of them has."""
+def only_in_one(baseline: DataFrame, candidate: DataFrame, key: str = "scenario_id") -> tuple[DataFrame, DataFrame]:
+    """The keys that only the baseline has, and those that only the candidate has."""
     a, b = (d.select(key).distinct() for d in (baseline, candidate))
-    return a.join(b, key).count(), a.join(b, key, "left_anti"), b.join(a, key, "left_anti")
+    return a.join(b, key, "left_anti"), b.join(a, key, "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnspark.functions.stats import benjamini_hochberg, excludes
 
-from .analysis import only_in_one
+from .analysis import only_in_one, pair_coverage
 from .bootstrap import Statistic, mean, paired_cluster_bootstrap
 
 # 1 if more is better, -1 if less is. ade and fde have no direction on purpose.
@@ -60,10 +60,10 @@ def run_gate(
     lacking = [m for m in metrics if m not in baseline.columns or m not in candidate.columns]
     if lacking:
         raise ValueError(f"a run lacks {', '.join(lacking)}")
-    n_paired, only_a, only_b = only_in_one(baseline, candidate)
+    n_paired, n_a, n_b = pair_coverage(baseline, candidate).first()
     if not n_paired:
         raise ValueError("the runs share no scenario")
-    n_a, n_b = only_a.count(), only_b.count()
+    only_a, only_b = only_in_one(baseline, candidate)
     if n_a or n_b:
         warnings.warn(f"{n_a} scenarios are in the baseline only and {n_b} in the candidate only; the {n_paired} paired ones are compared", stacklevel=2)
 

@@ -183,7 +183,14 @@ def search(df: DataFrame, columns: list[str], target: str, *, beam: int = 50, de
     """
     if quality not in QUALITIES or not 0 < alpha < 1 or min_support < 1 or depth < 1:
         raise ValueError("need a known quality, alpha within (0, 1), min_support and depth of at least 1")
-    d = df.select("scenario_id", "split", F.col(target).cast("double").alias(target), *[c for c in columns if c != target])
+    d = df.select("scenario_id", "split", F.col(target).cast("double").alias(target), *[c for c in columns if c != target]).persist()
+    try:
+        return _search(d, columns, target, beam, depth, min_support, alpha, n_boot, seed, quality, redundancy, max_pruned, max_classes)
+    finally:
+        d.unpersist()
+
+
+def _search(d: DataFrame, columns: list[str], target: str, beam: int, depth: int, min_support: int, alpha: float, n_boot: int, seed: int, quality: str, redundancy: float, max_pruned: int, max_classes: int) -> Mined:  # noqa: PLR0913
     odd = d.where(F.col(target).isNotNull() & ~F.col(target).isin(0.0, 1.0)).select(target).limit(5).collect()
     if odd:
         raise ValueError(f"{target} has values other than 0 and 1: {[r[0] for r in odd]}")
@@ -198,6 +205,7 @@ def search(df: DataFrame, columns: list[str], target: str, *, beam: int = 50, de
     if not predicates:
         raise ValueError("no predicate can be made of the columns")
     held = patterns(d, predicates, target).persist()
+    held.count()  # the patterns outlive the rows they are of
     discovery, confirmation = (held.where(F.col("split") == h) for h in HALVES)
 
     seen, front, found, thin, repeated = set(), [()], [], 0, 0
@@ -226,7 +234,7 @@ def search(df: DataFrame, columns: list[str], target: str, *, beam: int = 50, de
 
     rows = [(i, rule_text(names[r]), rule_json(names[r]), len(r), q, n, k, cn, ck, conf_n - cn, conf_k - ck) for i, ((r, n, k, q), cn, ck) in enumerate(tested)]
     schema = "number int, rule string, rule_json string, depth int, quality double, disc_n long, disc_failures long, conf_n long, conf_failures long, rest_n long, rest_failures long"
-    spark = df.sparkSession
+    spark = d.sparkSession
     family = benjamini_hochberg(with_fisher(spark.createDataFrame(rows, schema), "conf_failures", "conf_n", "rest_failures", "rest_n"), alpha=alpha).drop("rejected").toPandas().sort_values("number")
     n, k = family["conf_n"].to_numpy(), family["conf_failures"].to_numpy()
     gain, lift = _wracc(n, k, conf_n, conf_k), _lift(n, k, conf_n, conf_k)
