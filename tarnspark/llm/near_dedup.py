@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, bounded_batches, row_key, saved, skew_join
+from .common import bounded_batches, row_key, saved, skew_join
 
 #: Bands of ROWS hashes: a pair of similarity 0.8 shares no band with odds of (1 - 0.8 ** 4) ** 32, below 1e-7.
 BANDS, ROWS = 32, 4
@@ -32,8 +32,6 @@ HASHES = BANDS * ROWS
 BATCHES, MISS = (16, 32, 64, 128), 1e-8
 #: Members of a block of a bucket, and bytes of their hashed sets, at most (about, as members are dealt by hash).
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
-#: Bytes of word hashes that a task remembers.
-REMEMBERED = 16 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -60,13 +58,13 @@ class Signer:
 
     def __init__(self, width: int, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.width, self.known = width, Remembered(xxhash.xxh64_intdigest, REMEMBERED)
+        self.width = width
         self.factor = rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * _U(2) + _U(1)
         self.offset = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the shingles."""
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         n = len(h) - self.width + 1
         if n < 1:
             return np.fromiter([xxhash.xxh64_intdigest(b"\x00".join([b"short", *words]))] if words else [], np.uint64)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, bounded_batches, row_key, saved, skew_join
+from .common import bounded_batches, row_key, saved, skew_join
 from .fm_index import FMIndex
 
 GRAM = 8
@@ -31,19 +31,13 @@ STRETCH = 64
 HOT_STRETCHES = 512
 #: Words of a shard, about.
 SHARD_WORDS = 300_000
-#: Bytes of word hashes that a task remembers.
-REMEMBERED = 16 << 20
 _U = np.uint64
 
 
-class WordHasher:
-    def __init__(self):
-        self.known = Remembered(xxhash.xxh64_intdigest, REMEMBERED)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """64-bit hashes of the words [^\\x20\\x09-\\x0D]+."""
-        words = (text or "").encode().split()
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+."""
+    words = (text or "").encode().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,11 +80,10 @@ def _digest(part: np.ndarray) -> bytes:
 
 def _cut(window: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
         for batch in batches:
             out: list[tuple] = []
             for row, text in zip(batch["row"], batch["text"], strict=True):
-                h = hasher(text)
+                h = word_hashes(text)
                 m, again = minimizers(h, window)
                 starts, sizes = stretches(m)
                 own = m[starts]
@@ -108,11 +101,11 @@ def _contents(window: int):
     """Word hashes of the stretches that a row stands for; of a hot minimizer's stretch, of each of its windows."""
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, names = WordHasher(), ["key", "stretch", "at", "piece", "weight", "hashes"]
+        names = ["key", "stretch", "at", "piece", "weight", "hashes"]
         for batch in batches:
             out: list[tuple] = []
             for text, parts in zip(batch["text"], batch["parts"], strict=True):
-                h = hasher(text)
+                h = word_hashes(text)
                 for p in parts:
                     s, n = p["start"], p["n"]
                     if not p["hot"]:
