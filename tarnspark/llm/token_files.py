@@ -201,7 +201,7 @@ class WordEncoder:
     followed by ASCII marks other than the apostrophe is two pre-tokens, the letters lower-cased and the marks."""
 
     #: Bytes of words, and of runs of letters, that a worker remembers.
-    WORDS, RUNS = 40 << 20, 16 << 20
+    WORDS, RUNS = 72 << 20, 24 << 20
     _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
     def __init__(self, path: str, width: int, end_id: int | None):
