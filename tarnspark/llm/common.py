@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What counts as white space between words and around lines: [\x20\x09-\x0D].
@@ -109,6 +109,19 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
     return hot.unionByName(rest)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], label: str) -> DataFrame:
+    """df with `at`, each row's place from 0 in the total order, by a distributed sort: places within the partitions of a range
+    partitioning plus the sizes of the partitions before. Give a last column to `order` that differs between equal rows where these may be many."""
+    places = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    places = saved(places, label)
+    part = F.shiftright("__place", 33)
+    sizes = places.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))  # a row a partition
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__part", before.alias("__before"))
+    out = places.withColumn("__part", part).join(F.broadcast(sizes), "__part")
+    return out.withColumn("at", F.col("__before") + F.col("__place") - F.shiftleft("__part", 33)).drop("__part", "__place", "__before")
+
+
 def write_blobs(df: DataFrame, column: str, path: str, trailer: bytes, folder: str | None = None) -> None:
     """Writes each row's bytes as a file of its own, followed by trailer, through Spark's committed file output; with folder, a
     column, into folders <folder>=<value>.

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_files, warc
+from . import pii, token_files, trie, warc
 from .byte_bpe import round_trip_documents
 from .chat import render_chats
 from .common import table
+from .importance import draw, importance
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -68,6 +69,26 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda names: F.filter("spans", lambda s: s["kind"].isin(*names))
+    base = [k.name for k in pii.KINDS[: pii.BASE]]
+    joined = lambda spans, *more: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", *[s[x].cast("string") for x in ("kind", "start", "end", *more)])), ",")
+    counts = [F.size(of([k.name])).cast("long").alias(f"n_{k.name}") for k in pii.KINDS]
+    return out.select("original.doc_id", *counts, F.sha2(joined(of(base)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), joined(F.col("spans"), "score").alias("scores"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    out = draw(importance(docs, target, seed=42, keep=["doc_id"]), percent=5)
+    return out.select("original.doc_id", "n_words", "n_features", "weight", "score", "rank")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = trie.with_shared_heads(*trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(trie.saved(turns, "trie-rebuilt"), convs)
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_line_dedup": op2_line_dedup,
@@ -79,8 +100,46 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_block_topk": op9_block_topk,
     "op10_chat_snapshots": op10_chat_snapshots,
+    "op11_pii": op11_pii,
+    "op12_importance": op12_importance,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
+
+def _sql_spans(number: int, pattern: str, valid: str) -> str:
+    """Spans of a pattern's matches m for which valid holds: row_id, kind, start_at, end_at."""
+    return f"""SELECT row_id, {number} AS kind, start_at, start_at + size AS end_at FROM (
+    SELECT row_id, m, size, (coalesce(list_sum(list_transform(parts[:i + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[:i], lambda x: length(x))), 0))::BIGINT AS start_at FROM (
+      SELECT row_id, parts, ms, i, m, {"length(m)" if number != 4 else _SQL_IBAN_SIZE} AS size FROM (
+        SELECT row_id, parts, ms, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM (
+          SELECT row_id, string_split_regex(text, '{pattern}') AS parts, regexp_extract_all(text, '{pattern}') AS ms FROM d)))
+    WHERE {valid})"""
+
+
+#: The length at which an IBAN of its country's length ends in m, null if m has fewer characters.
+_SQL_IBAN_SIZE = "list_filter(range(1, length(m) + 1), lambda e: length(replace(m[:e], ' ', '')) = MAP {" + ", ".join(f"'{k}': {n}" for k, n in pii.IBAN_LENGTHS.items()) + "}[m[:2]])[1]"
+_SQL_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_SQL_LUHN = f"list_sum(list_transform(string_split(reverse({_SQL_DIGITS}), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN x::INT WHEN x::INT > 4 THEN 2 * x::INT - 9 ELSE 2 * x::INT END)) % 10 = 0"
+_SQL_MOD_97 = """list_reduce(list_concat([0], list_transform(string_split(replace(m[5:size], ' ', '') || m[:4], ''), lambda x: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', x) - 1)),
+      lambda a, v: (CASE WHEN v > 9 THEN 100 * a ELSE 10 * a END + v) % 97) = 1"""
+_SQL_PERSONAL = " UNION ALL ".join(
+    _sql_spans(*x)
+    for x in (
+        (0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        (1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0"),
+        (2, r"[0-9](?:[\x20-]?[0-9])+", f"length({_SQL_DIGITS}) BETWEEN 16 AND 19 AND {_SQL_LUHN}"),
+        (3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_SQL_DIGITS}) BETWEEN 8 AND 15"),
+        (4, r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", f"size IS NOT NULL AND m[size + 1] IN ('', ' ') AND {_SQL_MOD_97}"),
+        (5, r"[0-9](?:[\x20-]?[0-9])+", f"length({_SQL_DIGITS}) BETWEEN 12 AND 15 AND {_SQL_LUHN}"),
+        (6, r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "m[:3] NOT IN ('000', '666') AND m[1] <> '9' AND m[5:6] <> '00' AND m[8:] <> '0000'"),
+        (7, r"\b0[0-9](?:[ ./-]?[0-9]){6,11}\b", "true"),
+    )
+)
+_SQL_CONTEXT = " ".join(f"WHEN {i} THEN '\\b(?:{'|'.join(k.context)})'" for i, k in enumerate(pii.KINDS))
+#: CRC-32 of a list of bytes b, by a table of 256 steps made by its rule.
+_SQL_CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS steps"
+_SQL_CRC = "xor(list_reduce(list_concat([4294967295], b), lambda x, y: xor(steps[(xor(x, y) & 255) + 1], x >> 8)), 4294967295)"
+
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL = {
@@ -209,4 +268,82 @@ WITH t AS (
   FROM o JOIN kept k ON o.conv_id = k.conv_id OR (k.conv_id IS NULL AND o.alone = k.alone)
 )
 SELECT conv_id, n_turns, n_copies, string_agg(line, '' ORDER BY pos) AS text FROM lines GROUP BY conv_id, alone, n_turns, n_copies""",
+    "op11_pii": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents
+), s AS ({_SQL_PERSONAL}
+), near AS (
+  SELECT s.*, translate(substring(text, greatest(start_at - {pii.NEAR}, 0) + 1, least(start_at, {pii.NEAR})), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS before,
+    translate(substring(text, end_at + 1, {pii.NEAR}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS after
+  FROM s JOIN d USING (row_id)
+), told AS (
+  SELECT *, CASE kind {_SQL_CONTEXT} END AS words, '\\b(?:{"|".join(pii.AGAINST)})' AS against FROM near
+), scored AS (
+  SELECT row_id, kind, start_at, end_at, {[k.score for k in pii.KINDS]}[kind + 1] + CASE WHEN regexp_matches(before, words) OR regexp_matches(after, words) THEN {pii.RAISE} ELSE 0 END
+    - CASE WHEN regexp_matches(before, against) OR regexp_matches(after, against) THEN {pii.LOWER} ELSE 0 END AS score FROM told
+), kept AS (
+  SELECT *, {[k.name for k in pii.KINDS]}[kind + 1] || ':' || start_at || ':' || end_at AS span FROM scored a
+  WHERE kind < {pii.BASE} OR score >= {pii.THRESHOLD} AND NOT EXISTS (SELECT 1 FROM s b WHERE b.row_id = a.row_id AND b.kind < {pii.BASE} AND b.start_at < a.end_at AND a.start_at < b.end_at)
+), sums AS (
+  SELECT row_id, {", ".join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k.name}" for i, k in enumerate(pii.KINDS))}, string_agg(span, ',' ORDER BY kind, start_at) FILTER (WHERE kind < {pii.BASE}) AS base,
+    string_agg(span, ',' ORDER BY kind, start_at) AS spans, string_agg(span || ':' || greatest(0, least(100, score)), ',' ORDER BY kind, start_at) AS scores FROM kept GROUP BY row_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0)::BIGINT AS n_{k.name}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN sums USING (row_id)""",
+    "op12_importance": rf"""
+WITH tab AS ({_SQL_CRC_TABLE}), texts AS (
+  SELECT 'd' || row_number() OVER () AS row_id, doc_id, text FROM documents UNION ALL SELECT 'b' || row_number() OVER (), NULL, text FROM benchmark
+), w AS (
+  SELECT row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts
+), f AS (
+  SELECT row_id, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT row_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), range(1, 4) t(k) WHERE i + k - 1 <= len(ws)
+), x AS (
+  SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM f)
+), y AS (
+  SELECT g, list_transform(range(1, length(h), 2), lambda i: 16 * (instr('0123456789ABCDEF', h[i]) - 1) + instr('0123456789ABCDEF', h[i + 1]) - 1) AS b FROM x
+), z AS (
+  SELECT g, {_SQL_CRC} % 10000 AS bucket FROM y, tab
+), c AS (
+  SELECT row_id, bucket, count(*) AS n FROM f JOIN z USING (g) GROUP BY ALL
+), n AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE row_id LIKE 'd%'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE row_id LIKE 'b%'), 0)::DOUBLE AS t FROM c GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + 10000) / ((s + 1) * ((SELECT sum(t) FROM n) + 10000))))::BIGINT AS gain FROM n
+), v AS (
+  SELECT row_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM c JOIN g USING (bucket) GROUP BY row_id
+), o AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    ('0x' || substring(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM w LEFT JOIN v USING (row_id) WHERE row_id LIKE 'd%'
+), p AS (
+  SELECT doc_id, n_words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM o
+), q AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place, count(*) FILTER (WHERE n_words >= 20) OVER () AS most FROM p
+)
+SELECT doc_id, n_words, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * most // 100 THEN place END AS rank FROM q""",
+    "op13_prefix_trie": f"""
+WITH tab AS ({_SQL_CRC_TABLE}), t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT c, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS ts FROM t GROUP BY c
+), y AS (
+  SELECT c, ts, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS b FROM o
+), h AS (
+  SELECT c, ts, {_SQL_CRC} % 6 AS h FROM y, tab
+), r AS (
+  SELECT h.c, list_concat(coalesce(o.ts[1:h], []), h.ts[h + 1:]) AS ts FROM h LEFT JOIN o ON o.c = h.c - h.c % 100
+), p AS (
+  SELECT c, d, ts[1:d] AS k, len(ts) = d AS ends FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM r)
+), n AS (
+  SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, coalesce(length(k[d].text), 0) AS chars, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY d, k
+), e AS (
+  SELECT n.*, a.conv_id AS parent_conv_id FROM n LEFT JOIN n a ON a.d = n.d - 1 AND a.k = n.k[1:n.d - 1]
+), m AS (
+  SELECT d, parent_conv_id AS conv_id, count(*) AS n_children FROM (SELECT d - 1 AS d, parent_conv_id FROM e WHERE d > 0) GROUP BY ALL
+), f AS (
+  SELECT e.*, coalesce(n_children, 0) AS n_children FROM e LEFT JOIN m USING (d, conv_id)
+), s AS (
+  SELECT a.d, a.conv_id, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.chars)::BIGINT AS saved_tokens FROM f a JOIN f b ON b.d >= a.d AND b.k[1:a.d] = a.k GROUP BY a.d, a.conv_id
+)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM f JOIN s USING (d, conv_id)""",
 }
