@@ -130,18 +130,33 @@ def fisher_greater(k1: int, n1: int, k0: int, n0: int) -> float:
     if n1 <= 0 or n0 <= 0:
         return 1.0
     k = k1 + k0
+    low, high = max(0, k - n0), min(n1, k)
+    if k1 <= low:
+        return 1.0
     choose = lambda n, r: lgamma(n + 1) - lgamma(r + 1) - lgamma(n - r + 1)
-    whole = choose(n1 + n0, k)
-    tail = sum(exp(choose(n1, x) + choose(n0, k - x) - whole) for x in range(max(k1, k - n0), min(n1, k) + 1))
-    return min(1.0, tail)
+    odds = lambda x: exp(choose(n1, x) + choose(n0, k - x) - choose(n1 + n0, k))
+    # The side of k1 that lies away from the mode is summed, until terms no longer count.
+    upward = k1 > (k + 1) * (n1 + 1) / (n1 + n0 + 2)
+    x = k1 if upward else k1 - 1
+    term = tail = odds(x)
+    while term > 1e-17 * tail and low < x + (not upward) and x < high + (not upward):
+        if upward:
+            term *= (n1 - x) * (k - x) / ((x + 1) * (n0 - k + x + 1))
+        else:
+            term *= x * (n0 - k + x) / ((n1 - x + 1) * (k - x + 1))
+        x += 1 if upward else -1
+        tail += term
+    return min(1.0, tail if upward else 1.0 - tail)
 
 
 def with_fisher(df: DataFrame, k1: str, n1: str, k0: str, n0: str, out: str = "p_value") -> DataFrame:
-    """df with the p-value of each row's counts; each distinct combination is computed once."""
+    """df with the p-value of each row's counts, NULL where one of them is; each distinct combination is computed once."""
 
     @F.pandas_udf(T.DoubleType())
     def test(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([fisher_greater(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d, strict=True)])
 
     keys = [k1, n1, k0, n0]
-    return df.join(df.select(*keys).distinct().withColumn(out, test(*keys)), keys)
+    known = df.select(*[F.col(c).alias(f"__{c}") for c in keys]).distinct().na.drop().withColumn(out, test(*[f"__{c}" for c in keys]))
+    same = [F.col(c) == F.col(f"__{c}") for c in keys]
+    return df.join(known, same, "left").drop(*[f"__{c}" for c in keys])

@@ -16,8 +16,10 @@ from tarnspark.functions.geometry import distance, wrap_angle
 # Lanes nobody drove (m/s), bounds of a prior, least samples, percentile, reach (m) and heading gate of a sample.
 ROAD_SPEED, JUNCTION_SPEED, SLOWEST, FASTEST, MIN_SAMPLES, PERCENTILE = 13.4, 8.9, 2.0, 22.0, 5, 0.85
 REACH, TURNED, NEAREST, SPACING = 3.0, math.radians(45.0), 12, 0.5
-#: Distances (m) within which the heading decides between two lanes.
-CLOSE = 0.25
+# The lane type that the ego may drive; distance (m) from the nearest lane within which the heading decides.
+DRIVABLE, CLOSE = "VEHICLE", 0.25
+#: Headings that differ by less are the same (rad).
+SAME = 9
 
 
 def segments(lanes: DataFrame, *keep: str) -> DataFrame:
@@ -36,12 +38,13 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
 
 
-def lane_matches(points: DataFrame, lanes: DataFrame, max_lateral: float, max_heading_error: float | None = None, cell: float = 16.0) -> DataFrame:
+def lane_matches(points: DataFrame, lanes: DataFrame, max_lateral: float, max_heading_error: float | None = None, cell: float = 16.0, drivable: bool = False) -> DataFrame:
     """Lanes that points (scenario_id, point_id, x, y, and heading where max_heading_error is given) lie near: lane_idx, s, lateral (left is
-    positive), distance, heading_error (0 without a heading) and rank, 1 for the best. Lanes are ranked by distance in steps of CLOSE, within a step by heading error,
-    then by distance and lane. A lane's nearest segment counts, the first of equally near ones."""
+    positive), distance, heading_error (0 without a heading) and rank, 1 for the best. Lanes within CLOSE of the nearest match come first, by heading error,
+    then the others, by distance; ties go to the nearer lane, then to the smaller index. A lane's nearest segment counts, the first of equally near ones.
+    drivable: only lanes whose lane_type the ego may drive."""
     c, posed = F.col, max_heading_error is not None
-    s = segments(lanes)
+    s = segments(lanes.where(c("lane_type") == DRIVABLE) if drivable else lanes)
     s = s.withColumn("cx", _cells(F.least("ax", "bx") - max_lateral, F.greatest("ax", "bx") + max_lateral, cell)).withColumn("cy", _cells(F.least("ay", "by") - max_lateral, F.greatest("ay", "by") + max_lateral, cell))
     p = points.select("scenario_id", "point_id", "x", "y", *(["heading"] if posed else [])).withColumns({"cx": F.floor(c("x") / cell), "cy": F.floor(c("y") / cell)})
     t = ((c("x") - c("ax")) * (c("bx") - c("ax")) + (c("y") - c("ay")) * (c("by") - c("ay"))) / (c("length") * c("length"))
@@ -54,14 +57,17 @@ def lane_matches(points: DataFrame, lanes: DataFrame, max_lateral: float, max_he
     d = d.select("scenario_id", "point_id", "lane_idx", "m.s", "m.lateral", "m.distance", "m.heading_error")
     if posed:
         d = d.where(F.abs("heading_error") <= max_heading_error)
-    order = Window.partitionBy("scenario_id", "point_id").orderBy(F.floor(c("distance") / CLOSE), F.abs("heading_error"), "distance", "lane_idx")
-    return d.withColumn("rank", F.row_number().over(order))
+    nearest = F.min("distance").over(Window.partitionBy("scenario_id", "point_id"))
+    turned = F.when(c("distance") - nearest <= CLOSE, F.round(F.abs("heading_error"), SAME))
+    d = d.withColumn("turned", turned)
+    order = Window.partitionBy("scenario_id", "point_id").orderBy(F.asc_nulls_last("turned"), "distance", "lane_idx")
+    return d.withColumn("rank", F.row_number().over(order)).drop("turned")
 
 
 def wrong_direction(poses: DataFrame, lanes: DataFrame, max_lateral: float = 5.0) -> DataFrame:
-    """(scenario_id, point_id, heading_error): the least turn (rad) between a pose and any lane within max_lateral; NULL where there is none. Over
+    """(scenario_id, point_id, heading_error): the least turn (rad) between a pose and any drivable lane (lane_type) within max_lateral; NULL where there is none. Over
     a right angle is the wrong direction."""
-    found = lane_matches(poses, lanes, max_lateral, math.pi).groupBy("scenario_id", "point_id").agg(F.min(F.abs("heading_error")).alias("heading_error"))
+    found = lane_matches(poses, lanes, max_lateral, math.pi, drivable=True).groupBy("scenario_id", "point_id").agg(F.min(F.abs("heading_error")).alias("heading_error"))
     return poses.select("scenario_id", "point_id").join(found, ["scenario_id", "point_id"], "left")
 
 

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnspark.functions.geometry import box_corners, box_overlap, distance, segment_distance, segments_meet, wrap_angle
+from tarnspark.sources.ingest import CITIES
 
-# Bits of what a data set can supply; city names in the order of their codes; kinds that nobody can hit.
+# Bits of what a data set can supply; kinds that nobody can hit.
 CAPABILITIES = {"lights": 1, "speed_limits": 2, "stop_signs": 4, "drivable_area": 8, "lane_connectivity": 16}
-CITIES = ("austin", "miami", "pittsburgh", "dearborn", "washington-dc", "palo-alto")
 UNCOLLIDABLE = ("static", "background", "construction")
 BOX = ("x", "y", "heading", "length", "width")
 # Vehicle classes by the count they belong to.
@@ -216,6 +216,10 @@ def status_percentiles(routes: DataFrame, value: str, quantiles: tuple[float, ..
 
 
 def ego_speed_features(states: DataFrame) -> DataFrame:
-    """states: scenario_id, step, v of valid ego samples."""
-    d = states.groupBy("scenario_id").agg(F.min_by("v", "step").alias("ego_speed_t0"), F.avg("v").alias("ego_mean_speed"), F.max("v").alias("ego_max_speed"), F.sum((F.col("v") < 0.5).cast("long")).alias("ego_stops"))
+    """Of each scenario in states (scenario_id, step, v: the ego's speed, NULL where its sample is not valid): the speed at step 0, 0 if that sample is not
+    valid or not there, and mean, highest speed and number of slow samples of the valid ones, 0 without any."""
+    or_0 = lambda c: F.coalesce(c, F.lit(0.0))
+    d = states.groupBy("scenario_id").agg(
+        or_0(F.max(F.when(F.col("step") == 0, F.col("v")))).alias("ego_speed_t0"), or_0(F.avg("v")).alias("ego_mean_speed"), or_0(F.max("v")).alias("ego_max_speed"), F.count_if(F.col("v") < 0.5).alias("ego_stops")
+    )
     return d.withColumn("speed_regime", speed_regime(F.col("ego_mean_speed")))

@@ -14,8 +14,10 @@ from tarnspark.plans.queries import touch_sql
 from tarnspark.plans.scene_queries import _STATES, AGENTS, _rounded, _states, scene_agents
 from tarnspark.sources import ingest
 
+#: A scene has so many users' tracks and so many lanes; both grow with the tables, and so do the scenes.
+SCENE_USERS, SCENE_LANES = 7, 5
 #: Headings and lanes turn by fiftieths of pi and lie at round distances, so bounds that none of them meets.
-SCENES, LATERAL, TURN = 20, 6.03, 1.5
+LATERAL, TURN = 6.03, 1.5
 CAPABILITIES = {"A_F": 24, "N_F": 16, "N_O": 31, "R_F": 2}
 
 
@@ -24,16 +26,16 @@ def lane_table(s: SparkSession, d: str) -> DataFrame:
     x, y, a = F.abs("s_acctbal") % 100, (c("s_suppkey") * 37 % 100).cast("double"), c("s_nationkey") * F.pi() / 12.5
     p = [(x, y), (x + 40 * F.cos(a), y + 40 * F.sin(a)), (x + 40 * F.cos(a) + 40 * F.cos(a + 0.5), y + 40 * F.sin(a) + 40 * F.sin(a + 0.5))]
     points = F.array(*[F.struct(px.alias("x"), py.alias("y")) for px, py in p])
-    return adapters.load(s, d, "supplier").select((c("s_suppkey") % SCENES).alias("scenario_id"), c("s_suppkey").alias("lane_idx"), points.alias("points"), (c("s_nationkey") % 3 == 0).alias("is_intersection"))
+    return adapters.load(s, d, "supplier").select(F.floor(c("s_suppkey") / SCENE_LANES).alias("scenario_id"), c("s_suppkey").alias("lane_idx"), points.alias("points"), (c("s_nationkey") % 3 == 0).alias("is_intersection"), F.when(c("s_nationkey") % 5 == 4, "BIKE").otherwise("VEHICLE").alias("lane_type"))
 
 
 def poses(s: SparkSession, d: str) -> DataFrame:
-    return _states(s, d).select((F.col("user_id") % SCENES).alias("scenario_id"), F.col("event_id").alias("point_id"), "x", "y", "heading", "k")
+    return _states(s, d).select(F.floor(F.col("user_id") / SCENE_USERS).alias("scenario_id"), F.col("event_id").alias("point_id"), "x", "y", "heading", "k")
 
 
 def j10_lane_matches(s: SparkSession, d: str) -> DataFrame:
-    """Every lane that a pose matches, the best first. Headings that differ by hundredths of a micrometre could swap ranks, so distances are compared rounded."""
-    return _rounded(lanes.lane_matches(poses(s, d), lane_table(s, d), LATERAL, TURN).select("point_id", "lane_idx", "s", "lateral", "distance", "heading_error"), 5)
+    """Every drivable lane that a pose matches, with its rank."""
+    return _rounded(lanes.lane_matches(poses(s, d), lane_table(s, d), LATERAL, TURN, drivable=True).select("point_id", "lane_idx", "s", "lateral", "distance", "heading_error", "rank"), 5)
 
 
 def j11_point_matches(s: SparkSession, d: str) -> DataFrame:
@@ -66,7 +68,7 @@ def w5_smoothed(s: SparkSession, d: str) -> DataFrame:
 def f11_crosswalk_on_route(s: SparkSession, d: str) -> DataFrame:
     """Tracks as paths; the lanes of their scenes as crosswalks."""
     path = _states(s, d).groupBy(F.col("user_id").alias("scenario_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
-    rings = path.select("scenario_id").join(lane_table(s, d).select((F.col("scenario_id")).alias("scene"), F.col("points").alias("ring")), F.col("scenario_id") % SCENES == F.col("scene")).select("scenario_id", "ring")
+    rings = path.select("scenario_id").join(lane_table(s, d).select((F.col("scenario_id")).alias("scene"), F.col("points").alias("ring")), F.floor(F.col("scenario_id") / SCENE_USERS) == F.col("scene")).select("scenario_id", "ring")
     return scene.crosswalk_on_route(path, rings)
 
 
@@ -105,7 +107,7 @@ def a16_status_percentiles(s: SparkSession, d: str) -> DataFrame:
 
 
 def a18_margins(s: SparkSession, d: str) -> DataFrame:
-    e = _states(s, d).where("step < 20").select(F.col("user_id").alias("scenario_id"), (F.col("step") - 10).cast("double").alias("value"), (F.col("k") >= 90).cast("int").alias("failed"))
+    e = _states(s, d).select(F.col("user_id").alias("scenario_id"), (F.col("step") - 10).cast("double").alias("value"), (F.col("k") >= 90).cast("int").alias("failed"))
     return _rounded(scene.outcome_margins(e))
 
 
@@ -126,16 +128,16 @@ QUERIES = {
 }
 
 _LANES = """lane AS (
-  SELECT s_suppkey % 20 AS scenario_id, s_suppkey AS lane_idx, s_nationkey % 3 = 0 AS is_intersection, abs(s_acctbal) % 100 AS x0, (s_suppkey * 37 % 100)::DOUBLE AS y0, s_nationkey * pi() / 12.5 AS a FROM supplier
+  SELECT s_suppkey // 5 AS scenario_id, s_suppkey AS lane_idx, s_nationkey % 3 = 0 AS is_intersection, s_nationkey % 5 <> 4 AS drivable, abs(s_acctbal) % 100 AS x0, (s_suppkey * 37 % 100)::DOUBLE AS y0, s_nationkey * pi() / 12.5 AS a FROM supplier
 ), seg AS (
-  SELECT scenario_id, lane_idx, is_intersection, 0 AS seg, x0 AS ax, y0 AS ay, x0 + 40 * cos(a) AS zx, y0 + 40 * sin(a) AS zy FROM lane
-  UNION ALL SELECT scenario_id, lane_idx, is_intersection, 1, x0 + 40 * cos(a), y0 + 40 * sin(a), x0 + 40 * cos(a) + 40 * cos(a + 0.5), y0 + 40 * sin(a) + 40 * sin(a + 0.5) FROM lane
+  SELECT scenario_id, lane_idx, is_intersection, drivable, 0 AS seg, x0 AS ax, y0 AS ay, x0 + 40 * cos(a) AS zx, y0 + 40 * sin(a) AS zy FROM lane
+  UNION ALL SELECT scenario_id, lane_idx, is_intersection, drivable, 1, x0 + 40 * cos(a), y0 + 40 * sin(a), x0 + 40 * cos(a) + 40 * cos(a + 0.5), y0 + 40 * sin(a) + 40 * sin(a + 0.5) FROM lane
 )"""
 _WRAPPED = "CASE WHEN turn > pi() THEN turn - 2 * pi() WHEN turn <= -pi() THEN turn + 2 * pi() ELSE turn END"
 _NEAR = f"""p AS (
-  SELECT user_id % 20 AS scenario_id, event_id AS point_id, x, y, heading, k FROM s
+  SELECT user_id // 7 AS scenario_id, event_id AS point_id, x, y, heading, k FROM s
 ), u AS (
-  SELECT p.*, lane_idx, seg, ax, ay, zx, zy, heading - atan2(zy - ay, zx - ax) AS turn, greatest(0.0, least(1.0, ((x - ax) * (zx - ax) + (y - ay) * (zy - ay)) / ((zx - ax) ** 2 + (zy - ay) ** 2))) AS t FROM p JOIN seg USING (scenario_id)
+  SELECT p.*, lane_idx, drivable, seg, ax, ay, zx, zy, heading - atan2(zy - ay, zx - ax) AS turn, greatest(0.0, least(1.0, ((x - ax) * (zx - ax) + (y - ay) * (zy - ay)) / ((zx - ax) ** 2 + (zy - ay) ** 2))) AS t FROM p JOIN seg USING (scenario_id)
 ), v AS (
   SELECT *, sqrt((x - ax - t * (zx - ax)) ** 2 + (y - ay - t * (zy - ay)) ** 2) AS distance, {_WRAPPED} AS error FROM u
 ), m AS (
@@ -148,18 +150,19 @@ _Z = 1.9599639845400538
 
 ORACLE_SQL = {
     "j10_lane_matches": f"""WITH {_STATES}, {_LANES}, {_NEAR}
-SELECT point_id, lane_idx, round(seg * 40.0 + t * 40.0, 5) AS s, round(sign((zx - ax) * (y - ay) - (zy - ay) * (x - ax)) * distance, 5) AS lateral, round(distance, 5) AS distance, round(error, 5) AS heading_error
-FROM m WHERE nth = 1 AND distance <= 6.03 AND abs(error) <= 1.5""",
+SELECT point_id, lane_idx, round(seg * 40.0 + t * 40.0, 5) AS s, round(sign((zx - ax) * (y - ay) - (zy - ay) * (x - ax)) * distance, 5) AS lateral, round(distance, 5) AS distance, round(error, 5) AS heading_error,
+  (row_number() OVER (PARTITION BY point_id ORDER BY CASE WHEN distance - nearest <= 0.25 THEN round(abs(error), 9) END NULLS LAST, distance, lane_idx))::INT AS rank
+FROM (SELECT *, min(distance) OVER (PARTITION BY point_id) AS nearest FROM m WHERE nth = 1 AND distance <= 6.03 AND abs(error) <= 1.5 AND drivable)""",
     "j11_point_matches": f"""WITH {_STATES}, {_LANES}, {_NEAR}
 SELECT scenario_id, count(*) AS n, round(sum(distance), 4) AS distance, count(DISTINCT point_id) AS n_points FROM m WHERE nth = 1 AND distance <= 6.03 GROUP BY scenario_id""",
     "m7_wrong_direction": f"""WITH {_STATES}, {_LANES}, {_NEAR}, b AS (
-  SELECT point_id, min(abs(error)) AS e FROM m WHERE nth = 1 AND distance <= 5 GROUP BY point_id
+  SELECT point_id, min(abs(error)) AS e FROM m WHERE nth = 1 AND distance <= 5 AND drivable GROUP BY point_id
 ) SELECT scenario_id, count(*) AS n, count(e) AS n_near, count(*) FILTER (WHERE e > 1.5) AS n_wrong, round(max(e), 5) AS worst FROM p LEFT JOIN b USING (point_id) GROUP BY scenario_id""",
     "a12_speed_priors": f"""WITH {_STATES}, {_LANES}, q AS (
   SELECT scenario_id, lane_idx, seg * 80 + i AS sample, ax + i * 0.5 / 40 * (zx - ax) AS lx, ay + i * 0.5 / 40 * (zy - ay) AS ly, atan2(zy - ay, zx - ax) AS tangent FROM seg CROSS JOIN range(80) r(i)
 ), n AS (
   SELECT event_id, lane_idx, k / 4 AS speed, heading - tangent AS turn, row_number() OVER (PARTITION BY event_id ORDER BY sqrt((x - lx) ** 2 + (y - ly) ** 2), lane_idx, sample) AS nth
-  FROM s JOIN q ON s.user_id % 20 = q.scenario_id AND (x - lx) ** 2 + (y - ly) ** 2 <= 9
+  FROM s JOIN q ON s.user_id // 7 = q.scenario_id AND (x - lx) ** 2 + (y - ly) ** 2 <= 9
 ), f AS (
   SELECT event_id, min_by(lane_idx, nth) AS lane_idx, min_by(speed, nth) AS speed FROM n WHERE nth <= 12 AND abs({_WRAPPED}) <= pi() / 4 GROUP BY event_id
 ), g AS (SELECT lane_idx, count(*) AS n, quantile_cont(speed, 0.85) AS p FROM f GROUP BY lane_idx)
@@ -173,7 +176,7 @@ SELECT scenario_id, lane_idx, coalesce(n, 0) AS n_samples, round(CASE WHEN n >=
 ) SELECT user_id, round(sum(x), 6) AS total, round(max(x), 6) AS highest, round(min(x), 6) AS lowest FROM b GROUP BY user_id""",
     "f11_crosswalk_on_route": f"""WITH {_STATES}, {_LANES}, v AS (
   SELECT scenario_id, ax AS vx, ay AS vy FROM seg UNION ALL SELECT scenario_id, zx, zy FROM seg
-) SELECT user_id AS scenario_id, max((EXISTS (SELECT 1 FROM v WHERE v.scenario_id = s.user_id % 20 AND s.step % 8 = 0 AND (x - vx) ** 2 + (y - vy) ** 2 < 36))::INT) AS has_crosswalk_on_route FROM s GROUP BY user_id""",
+) SELECT user_id AS scenario_id, max((EXISTS (SELECT 1 FROM v WHERE v.scenario_id = s.user_id // 7 AND s.step % 8 = 0 AND (x - vx) ** 2 + (y - vy) ** 2 < 36))::INT) AS has_crosswalk_on_route FROM s GROUP BY user_id""",
     "f12_occlusion": f"""WITH {_STATES}, {AGENTS}, e AS (SELECT scenario_id, x AS ex, y AS ey FROM g WHERE agent_idx = 0 AND step = 0), a AS (
   SELECT g.*, ex, ey, sqrt((x - ex) ** 2 + (y - ey) ** 2) AS far FROM g JOIN e USING (scenario_id) WHERE agent_idx > 0 AND step = 0 AND valid
 ), c AS (
@@ -213,12 +216,12 @@ SELECT scenario_id, lane_idx, coalesce(n, 0) AS n_samples, round(CASE WHEN n >=
     "a16_status_percentiles": """WITH o AS (
   SELECT o_orderstatus AS status, o_totalprice::DOUBLE AS price, count(*) OVER (PARTITION BY o_orderstatus) AS n, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) - 1 AS i FROM orders
 ) SELECT status, max(n) AS n, round(max(price) FILTER (WHERE i = floor(0.5 * (n - 1))), 6) AS p50, round(max(price) FILTER (WHERE i = floor(0.9 * (n - 1))), 6) AS p90, round(max(price) FILTER (WHERE i = floor(0.99 * (n - 1))), 6) AS p99 FROM o GROUP BY status""",
-    "a18_margins": f"""WITH {_STATES}, o AS (SELECT user_id AS scenario_id, (step - 10)::DOUBLE AS value, (k >= 90)::INT AS failed FROM s WHERE step < 20), b AS (SELECT scenario_id, failed AS base FROM o WHERE value = 0)
+    "a18_margins": f"""WITH {_STATES}, o AS (SELECT user_id AS scenario_id, (step - 10)::DOUBLE AS value, (k >= 90)::INT AS failed FROM s), b AS (SELECT scenario_id, failed AS base FROM o WHERE value = 0)
 SELECT scenario_id, count(*) AS n, sum(failed)::BIGINT AS n_failed, CASE WHEN sum(failed) = 0 THEN 'never' WHEN sum(failed) = count(*) THEN 'always' ELSE 'flips' END AS kind, round(min(abs(value)) FILTER (WHERE failed <> base), 6) AS margin
 FROM o LEFT JOIN b USING (scenario_id) GROUP BY scenario_id""",
     "i37_scene_statistics": f"""WITH {_STATES}, {AGENTS}, a AS (
   SELECT scenario_id, count(DISTINCT agent_idx) AS agents, count(DISTINCT step) AS steps, count(*) FILTER (WHERE valid) AS valid, count(*) AS n FROM g GROUP BY scenario_id
-), l AS (SELECT s_suppkey % 20 AS scenario_id, count(*) AS lanes, count(*) FILTER (WHERE s_nationkey % 3 = 0) AS crossing FROM supplier GROUP BY 1)
+), l AS (SELECT s_suppkey // 5 AS scenario_id, count(*) AS lanes, count(*) FILTER (WHERE s_nationkey % 3 = 0) AS crossing FROM supplier GROUP BY 1)
 SELECT count(*) AS n_scenarios, round(avg(agents), 6) AS mean_agents, round(avg(steps), 6) AS mean_steps, round(avg(coalesce(lanes, 0)), 6) AS mean_lanes, round(avg(coalesce(crossing, 0)), 6) AS mean_crossing, sum(valid)::BIGINT AS n_valid, (sum(n) - sum(valid))::BIGINT AS n_invalid
 FROM a LEFT JOIN l USING (scenario_id)""",
     "b6_headlines": f"""WITH {adapters.STORE_SQL} SELECT run_id, CASE WHEN at_fault_collision = 1 THEN 'at-fault collision' WHEN collision = 1 THEN 'collision, not at fault' WHEN drivable_area_violation = 1 THEN 'off drivable area by '

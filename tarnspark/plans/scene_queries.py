@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnspark.operators import bootstrap, cycles, miner, scene
@@ -87,7 +87,7 @@ def f3_first_step_features(s: SparkSession, d: str) -> DataFrame:
 
 
 def f8_ego_speeds(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(scene.ego_speed_features(_states(s, d).select(F.col("user_id").alias("scenario_id"), "step", (F.col("y") / 8).alias("v"))))
+    return _rounded(scene.ego_speed_features(_states(s, d).select(F.col("user_id").alias("scenario_id"), "step", F.when(F.col("k") % 4 != 3, F.col("y") / 8).alias("v"))))
 
 
 def f1_maneuvers(s: SparkSession, d: str) -> DataFrame:
@@ -102,9 +102,10 @@ def j15_area_distances(s: SparkSession, d: str) -> DataFrame:
     return _rounded(scene.area_distances(points, s.range(3).select(F.col("id").alias("scenario_id"), "id").select("scenario_id", shifted.alias("ring"))), 5)
 
 
-def _track_rows(s: SparkSession, d: str, scenario: Column | None = None) -> DataFrame:
+def _track_rows(s: SparkSession, d: str) -> DataFrame:
+    """Two scenarios a user, by the day of the month, so that their number grows with the table."""
     e = adapters.load(s, d, "events")
-    return e.select((F.col("user_id") % 20 if scenario is None else scenario).alias("scenario_id"), F.when(F.col("event_type") == "click", "AV").otherwise(F.col("event_type")).alias("track_id"), F.minute("ts").alias("timestep"), "event_id", F.col("value").alias("position_x"), F.get_json_object("props", "$.k").cast("double").alias("position_y"))
+    return e.select((F.col("user_id") * 2 + (F.dayofmonth("ts") > SPLIT_DAY).cast("int")).alias("scenario_id"), F.when(F.col("event_type") == "click", "AV").otherwise(F.col("event_type")).alias("track_id"), F.minute("ts").alias("timestep"), "event_id", F.col("value").alias("position_x"), F.get_json_object("props", "$.k").cast("double").alias("position_y"))
 
 
 def i21_dense_tracks(s: SparkSession, d: str) -> DataFrame:
@@ -117,8 +118,8 @@ def i20_recentred(s: SparkSession, d: str) -> DataFrame:
 
 
 def i19_reject_reasons(s: SparkSession, d: str) -> DataFrame:
-    """Two scenarios a user, by the day of the month, so that their number grows with the table, judged by their tracks alone."""
-    rows = _track_rows(s, d, F.col("user_id") * 2 + (F.dayofmonth("ts") > SPLIT_DAY).cast("int"))
+    """Scenarios judged by their tracks alone."""
+    rows = _track_rows(s, d)
     last = ingest.last_states(rows, "event_id").select("scenario_id", "track_id", "timestep", "state.*")
     return ingest.reason_counts(ingest.reject_reasons(last, n_steps=30))
 
@@ -126,8 +127,7 @@ def i19_reject_reasons(s: SparkSession, d: str) -> DataFrame:
 def i19_all_reasons(s: SparkSession, d: str) -> DataFrame:
     """The same scenarios by all rules. Some have a file that is missing, can't be read or is empty, and some
     have too few lanes."""
-    sid = F.col("user_id") * 2 + (F.dayofmonth("ts") > SPLIT_DAY).cast("int")
-    rows = _track_rows(s, d, sid)
+    rows = _track_rows(s, d)
     last = ingest.last_states(rows, "event_id").select("scenario_id", "track_id", "timestep", "state.*").where("scenario_id % 29 <> 3")
     every = rows.select("scenario_id").distinct()
     files = every.select("scenario_id", F.when(F.col("scenario_id") % 31 == 1, "missing_input_files").when(F.col("scenario_id") % 31 == 2, "parse_error:ArrowInvalid").alias("reason"))
@@ -165,7 +165,7 @@ _BOXES = """b AS (SELECT user_id // 2 AS scenario_id, user_id % 2 AS odd, step,
 _TOUCH = touch_sql(2.4, 1.0)
 _EDGES = ", ".join(f"({ax}, {ay}, {bx}, {by})" for (ax, ay), (bx, by) in zip([RING[-1], *RING[:-1]], RING, strict=True))
 _TRACKS = """r AS (
-  SELECT user_id % 20 AS scenario_id, CASE WHEN event_type = 'click' THEN 'AV' ELSE event_type END AS track_id, extract(minute FROM ts)::INT AS timestep, event_id,
+  SELECT user_id * 2 + (extract(day FROM ts) > 18)::INT AS scenario_id, CASE WHEN event_type = 'click' THEN 'AV' ELSE event_type END AS track_id, extract(minute FROM ts)::INT AS timestep, event_id,
     value AS position_x, json_extract_string(props, '$.k')::DOUBLE AS position_y FROM events
 ), l AS (
   SELECT scenario_id, track_id, timestep, max_by(position_x, event_id) AS position_x, max_by(position_y, event_id) AS position_y, count(*) - 1 AS n_repeats FROM r GROUP BY ALL
@@ -222,8 +222,8 @@ FROM b e JOIN b o ON e.scenario_id = o.scenario_id AND e.step = o.step AND e.odd
 ) SELECT scenario_id, count(other) AS n_agents, count(*) FILTER (WHERE kind IN ('vehicle', 'bus')) AS n_vehicles, count(*) FILTER (WHERE kind = 'pedestrian') AS n_peds, count(*) FILTER (WHERE kind IN ('cyclist', 'motorcyclist')) AS n_cyclists,
   count(*) FILTER (WHERE away <= 30) AS n_agents_within_30m, round(min(away), 5) AS min_agent_dist_t0, count(*) FILTER (WHERE away <= 40 AND turn > 2 * pi() / 3) AS n_oncoming_within_40m,
   count(*) FILTER (WHERE away <= 40 AND turn > pi() / 3 AND turn <= 2 * pi() / 3) AS n_crossing_within_40m, round(min(along) FILTER (WHERE along > 0 AND along <= 60 AND abs(aside) <= 2), 5) AS lead_agent_gap FROM p GROUP BY scenario_id""",
-    "f8_ego_speeds": f"""WITH {_STATES}, g AS (
-  SELECT user_id AS scenario_id, min_by(y / 8, step) AS a, avg(y / 8) AS m, max(y / 8) AS b, count(*) FILTER (WHERE y / 8 < 0.5) AS ego_stops FROM s GROUP BY user_id
+    "f8_ego_speeds": f"""WITH {_STATES}, v AS (SELECT user_id, step, CASE WHEN k % 4 <> 3 THEN y / 8 END AS v FROM s), g AS (
+  SELECT user_id AS scenario_id, coalesce(max(v) FILTER (WHERE step = 0), 0.0) AS a, coalesce(avg(v), 0.0) AS m, coalesce(max(v), 0.0) AS b, count(*) FILTER (WHERE v < 0.5) AS ego_stops FROM v GROUP BY user_id
 ) SELECT scenario_id, round(a, 6) AS ego_speed_t0, round(m, 6) AS ego_mean_speed, round(b, 6) AS ego_max_speed, ego_stops, CASE WHEN m < 1 THEN 'stopped' WHEN m < 5 THEN 'low' WHEN m < 11 THEN 'mid' ELSE 'high' END AS speed_regime FROM g""",
     "f1_maneuvers": f"""WITH {_STATES}, g AS (
   SELECT user_id, min_by(k, step) AS a, max_by(k, step) AS b, count(*) FILTER (WHERE k > 95) AS changes FROM s GROUP BY user_id

@@ -24,7 +24,8 @@ FOOTPRINTS = {
     "vehicle": (4.5, 2.0), "bus": (12.0, 2.55), "motorcyclist": (2.2, 0.8), "cyclist": (1.8, 0.7), "pedestrian": (0.7, 0.7),
     "construction": (0.6, 0.6), "static": (1.0, 1.0), "background": (1.0, 1.0), "unknown": (1.0, 1.0),
 }
-TRACK_COLUMNS = ("track_id", "object_type", "timestep", "position_x", "position_y", "heading", "velocity_x", "velocity_y", "object_category", "num_timestamps")
+# The columns of track files, in order.
+TRACK_COLUMNS = ("track_id", "object_type", "object_category", "timestep", "position_x", "position_y", "heading", "velocity_x", "velocity_y", "num_timestamps", "city")
 _POINT = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 _LANE = T.StructType([T.StructField("id", T.LongType()), T.StructField("lane_type", T.StringType()), T.StructField("is_intersection", T.BooleanType()), T.StructField("centerline", _POINT), T.StructField("successors", T.ArrayType(T.LongType())), T.StructField("predecessors", T.ArrayType(T.LongType())), T.StructField("left_neighbor_id", T.LongType()), T.StructField("right_neighbor_id", T.LongType())])
 MAP = T.StructType([T.StructField("lane_segments", T.MapType(T.StringType(), _LANE)), T.StructField("drivable_areas", T.MapType(T.StringType(), T.StructType([T.StructField("area_boundary", _POINT)]))), T.StructField("pedestrian_crossings", T.MapType(T.StringType(), T.StructType([T.StructField("edge1", _POINT), T.StructField("edge2", _POINT)])))])
@@ -65,6 +66,13 @@ def lane_rows(maps: DataFrame) -> DataFrame:
     return lanes.select("path", "src", (F.row_number().over(Window.partitionBy("path").orderBy("src")) - 1).alias("lane_idx"), "lane_type", "is_intersection", "points", kinds.alias("refs"))
 
 
+def unknown_lanes(maps: DataFrame) -> DataFrame:
+    """(path, n_unknown): lanes of each map that lane_rows() leaves out, as their type is unknown; maps without any are left out."""
+    kind = F.upper(F.coalesce("v.lane_type", F.lit("")))
+    lanes = maps.select("path", F.explode("map.lane_segments").alias("key", "v")).where(~kind.isin(*LANE_TYPES))
+    return lanes.groupBy("path").agg(F.count(F.lit(1)).alias("n_unknown"))
+
+
 def lane_edges(maps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (path, src, dst, kind) between lanes of a map, kind one of succ, pred, left and right, and the number of dropped references to lanes it
     lacks, by kind. Maps are cut out around a log, so lanes at the border refer to some that are not there."""

@@ -6,7 +6,7 @@ import hashlib
 import warnings
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,10 @@ TABLES = {"runs": RUNS, "metrics": METRICS, "features": FEATURES, "failure_class
 REQUIRED = {"runs": ("run_id", "created_at", "config_name", "agent_mode", "planner", "dataset"), "metrics": ("run_id", "scenario_id", "status"), "features": ("scenario_id", "dataset")}
 # The strings that stand for NULL in CSV files.
 NULLS = ("", "NA", "N/A", "NULL", "null", "nan", "NaN", "None")
+#: CSV files have a header, and quotes in quoted fields are doubled; readers and writers share this.
+DIALECT = {"header": True, "quote": '"', "escape": '"'}
+#: Buckets of features by a hash of the scenario's id: a load writes those anew that it touches.
+FEATURE_BUCKETS = 64
 
 
 def split_name(scenario_id: str) -> str:
@@ -62,10 +66,11 @@ def typed(raw: Column, kind: T.DataType) -> Column:
     return F.when(text.isNull(), F.lit(None)).when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit(f"no {kind.simpleString()}: "), text)))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: tuple[str, ...] = ()) -> DataFrame:
-    """A CSV file with a header in the columns of schema. All fields are read as strings; columns that the file lacks are NULL,
-    or raise if required; unknown columns are left out with a warning."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: tuple[str, ...] = (), line_ends: bool = False) -> DataFrame:
+    """A CSV file in DIALECT in the columns of schema. All fields are read as strings; columns that the file lacks are NULL,
+    or raise if required; unknown columns are left out with a warning. line_ends: quoted fields may hold line ends, and a file is then
+    read by one task."""
+    raw = spark.read.options(**DIALECT, inferSchema=False, multiLine=line_ends).csv(path)
     missing = [c for c in required if c not in raw.columns]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
@@ -108,10 +113,10 @@ def split_counts(features: DataFrame) -> DataFrame:
 class Store:
     """The results store: six tables of fixed columns as Parquet below a folder. Tables are replaced by their first key (a run, a job with its target, a
     gate) through dynamic partition overwrite, so a load that is run again replaces what it wrote; features are replaced by
-    scenario, as a new version of the table, and the last complete version is read."""
+    scenario, in the buckets of their ids that a load touches."""
 
     #: What a load replaces as a whole; these columns are the folders of a table.
-    PARTITIONS = {"runs": ["run_id"], "metrics": ["run_id"], "failure_classes": ["job_id", "target"], "mining_jobs": ["job_id"], "gate_results": ["gate_id"]}
+    PARTITIONS = {"runs": ["run_id"], "metrics": ["run_id"], "features": ["bucket"], "failure_classes": ["job_id", "target"], "mining_jobs": ["job_id"], "gate_results": ["gate_id"]}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -119,11 +124,6 @@ class Store:
     def schema(self, name: str) -> T.StructType:
         return T.StructType.fromDDL(TABLES[name])
 
-    def _versions(self) -> list[int]:
-        """Numbers of the features' versions that were written whole."""
-        found = self._list(f"{self.root}/features")
-        return sorted(int(x.removeprefix("v=")) for x in found if x.startswith("v=") and "_SUCCESS" in self._list(f"{self.root}/features/{x}"))
-
     def _list(self, path: str) -> list[str]:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -131,25 +131,28 @@ class Store:
         return [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
 
     def exists(self, name: str) -> bool:
-        return bool(self._versions()) if name == "features" else any("=" in x for x in self._list(f"{self.root}/{name}"))
+        return any("=" in x for x in self._list(f"{self.root}/{name}"))
 
     def table(self, name: str) -> DataFrame:
         """The table's rows; none where nothing has been written yet."""
+        return self._stored(name).select(*self.schema(name).names)
+
+    def _stored(self, name: str) -> DataFrame:
+        """table() with bucket, where the table has it."""
         schema = self.schema(name)
-        if not self.exists(name):
-            return self.spark.createDataFrame([], schema)
-        path = f"{self.root}/features/v={self._versions()[-1]}" if name == "features" else f"{self.root}/{name}"
-        return self.spark.read.schema(schema).parquet(path).select(*schema.names)
+        stored = T.StructType([*schema, *[T.StructField(c, T.IntegerType()) for c in self.PARTITIONS[name] if c not in schema.names]])
+        return self.spark.read.schema(stored).parquet(f"{self.root}/{name}") if self.exists(name) else self.spark.createDataFrame([], stored)
 
     def replace(self, name: str, rows: DataFrame) -> int:
         """Writes rows in the place of all that share their partition; returns their number."""
-        schema = self.schema(name)
-        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+        schema, seen = self.schema(name), Observation()
+        own = [F.col(c) for c in self.PARTITIONS[name] if c not in schema.names]
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema], *own).observe(seen, F.count(F.lit(1)).alias("n"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.PARTITIONS[name]).parquet(f"{self.root}/{name}")
-        return rows.count()
+        return seen.get["n"]
 
     def _staged(self, name: str, path: str, keys: list[str]) -> DataFrame:
-        staged = read_csv(self.spark, path, self.schema(name), REQUIRED[name])
+        staged = read_csv(self.spark, path, self.schema(name), REQUIRED[name], line_ends=name == "runs")
         bad = duplicate_keys(staged, keys).collect()
         if bad:
             raise ValueError(f"{path}: duplicate keys {[tuple(r)[:-1] for r in bad]}")
@@ -169,15 +172,15 @@ class Store:
     def load_features(self, path: str) -> int:
         """The split is a function of the scenario's id: one that the file gives is ignored with a warning, and a stored one that differs from
         the rule stops the load."""
-        if "split" in self.spark.read.option("header", True).csv(path).columns:
+        if "split" in self.spark.read.options(**DIALECT).csv(path).columns:
             warnings.warn(f"{path}: its column split is ignored", stacklevel=2)
-        staged = self._staged("features", path, ["scenario_id"]).withColumn("split", split_of("scenario_id"))
-        held = self.table("features")
+        bucket = F.pmod(F.xxhash64("scenario_id"), F.lit(FEATURE_BUCKETS)).cast("int")
+        staged = self._staged("features", path, ["scenario_id"]).withColumns({"split": split_of("scenario_id"), "bucket": bucket})
+        touched = [r[0] for r in staged.select("bucket").distinct().collect()]
+        held = self._stored("features").where(F.col("bucket").isin(touched))
         verify_splits(held.join(staged.select("scenario_id"), "scenario_id", "left_semi"))
-        whole = replaced(held, staged, ["scenario_id"])
-        version = (self._versions() or [0])[-1] + 1
-        whole.write.parquet(f"{self.root}/features/v={version}")
-        return staged.count()
+        n_held = held.join(staged.select("scenario_id"), "scenario_id", "left_anti").count()
+        return self.replace("features", replaced(held, staged, ["scenario_id"])) - n_held
 
     def load_folder(self, folder: str) -> dict[str, int]:
         """runs.csv, features.csv and metrics.csv of a folder, in this order; raises if it has none of them."""
@@ -210,9 +213,9 @@ class Store:
         return self.replace("gate_results", finite(cells.withColumns({"gate_id": F.lit(gate_id), "baseline_run": F.lit(baseline_run), "candidate_run": F.lit(candidate_run)})))
 
     def export_csv(self, name: str, path: str) -> None:
-        """A table as CSV with a header, floats with six significant digits and NULL as nothing."""
+        """A table as CSV in DIALECT, floats with six significant digits and NULL as nothing."""
         d = self.table(name)
-        d.select(*[F.format_string("%.6g", c).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes]).withColumns({c: F.when(self._present(d, c), F.col(c)) for c, t in d.dtypes if t == "double"}).write.mode("overwrite").option("header", True).csv(path)
+        d.select(*[F.format_string("%.6g", c).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes]).withColumns({c: F.when(self._present(d, c), F.col(c)) for c, t in d.dtypes if t == "double"}).write.mode("overwrite").options(**DIALECT).csv(path)
 
     @staticmethod
     def _present(d: DataFrame, c: str) -> Column:

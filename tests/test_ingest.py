@@ -116,5 +116,5 @@ def test_lane_match_prefers_the_aligned_of_two_close_lanes(spark):
     got = lanes.lane_matches(pose, two, 4.0, math.pi).where("point_id = 7").orderBy("rank").collect()
     assert [r["lane_idx"] for r in got] == [0, 1, 2] and got[0]["lateral"] == pytest.approx(0.2) and got[0]["s"] == pytest.approx(10) and got[2]["lateral"] < 0
     assert [r["lane_idx"] for r in lanes.lane_matches(pose, two, 4.0).where("rank = 1").collect()] == [1]
-    turned = {r["point_id"]: r["heading_error"] for r in lanes.wrong_direction(pose.withColumn("heading", F.lit(1.0)), two).collect()}
+    turned = {r["point_id"]: r["heading_error"] for r in lanes.wrong_direction(pose.withColumn("heading", F.lit(1.0)), two.withColumn("lane_type", F.lit("VEHICLE"))).collect()}
     assert turned[7] == pytest.approx(1.0) and turned[8] is None

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tarnspark.operators import analysis, bootstrap, cycles, miner, scene
+from tarnspark.functions import stats
+from tarnspark.operators import analysis, bootstrap, cycles, lanes, miner, scene
 from tarnspark.operators.gate import DIRECTIONS, gate, run_gate
 from tarnspark.plans import scene_queries
 from tarnspark.sources import ingest, store
@@ -83,8 +86,13 @@ def test_head_on_time_to_collision(spark):
     schema = "scenario_id long, step int, x double, y double, heading double, vx double, vy double, length double, width double"
     ego = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 10.0, 0.0, 4.8, 2.0), (2, 0, 0.0, 0.0, 0.0, 10.0, 0.0, 4.8, 2.0)], schema)
     agents = spark.createDataFrame([(1, 0, 30.0, 0.0, 3.141592653589793, -10.0, 0.0, 4.8, 2.0), (2, 0, 0.0, 5.0, 0.0, 10.0, 0.0, 4.8, 2.0)], schema)
-    got = {r["scenario_id"]: r["min_ttc"] for r in scene.time_to_collision(ego, agents).collect()}
+    got = {r["scenario_id"]: r["min_ttc"] for r in scene.time_to_collision(ego, agents, dt=0.1).collect()}
     assert abs(got[1] - 1.3) < 1e-9 and got[2] is None  # 25.2 m of gap at 20 m/s
+    far = agents.withColumn("x", F.lit(63.0))  # 58.2 m of gap: met after 2.91 s, at the exact step's thirtieth try; the stored step is tried 29 times
+    assert abs(scene.time_to_collision(ego, far, dt=0.1, radius=99.0).where("scenario_id = 1").first()["min_ttc"] - 3.0) < 1e-9
+    assert scene.time_to_collision(ego, far, radius=99.0).where("scenario_id = 1").first()["min_ttc"] is None
+    near = scene.time_to_collision(ego, agents).where("scenario_id = 1").first()["min_ttc"]
+    assert near == 13 * scene.STEP
 
 
 def test_scenarios_without_cycles(spark, sf_dir):
@@ -106,3 +114,46 @@ def test_typed_csv(spark, tmp_path):
     (tmp_path / "m.csv").write_text("run_id,scenario_id,collision,ade\nr1,s1,1.0,0.5\nr1,s2,NA,nan\n")
     got = store.read_csv(spark, str(tmp_path / "m.csv"), spark.createDataFrame([], "run_id string, scenario_id string, collision int, ade double, fde double").schema)
     assert [tuple(r) for r in got.orderBy("scenario_id").collect()] == [("r1", "s1", 1, 0.5, None), ("r1", "s2", None, None, None)]
+
+
+def test_lane_ranks(spark):
+    """The heading decides among lanes within 0.25 m of the nearest match, wherever they lie; bike lanes are no lanes of the ego."""
+    lane = lambda i, y, turn, kind="VEHICLE": (1, i, [(-10.0, y - 10 * turn), (10.0, y + 10 * turn)], kind)
+    rows = [lane(1, 0.24, 0.3), lane(2, 0.26, 0.0), lane(3, 0.6, 0.0), lane(4, 0.0, 0.0, "BIKE")]
+    ls = spark.createDataFrame(rows, "scenario_id long, lane_idx long, points array<struct<x: double, y: double>>, lane_type string")
+    at = spark.createDataFrame([(1, 7, 0.0, 0.0, 0.0)], "scenario_id long, point_id long, x double, y double, heading double")
+    ranks = lambda d: [r["lane_idx"] for r in d.orderBy("rank").collect()]
+    assert ranks(lanes.lane_matches(at, ls, 4.0, 1.5, drivable=True)) == [2, 1, 3]
+    assert ranks(lanes.lane_matches(at, ls, 4.0, 1.5)) == [4, 1, 2, 3]  # the bike lane is the nearest, and 2 lies over 0.25 m beyond it
+    assert ranks(lanes.lane_matches(at, ls, 4.0, drivable=True)) == [1, 2, 3]
+    assert abs(lanes.wrong_direction(at.withColumn("heading", F.lit(0.3)), ls).first()["heading_error"] - (0.3 - 0.2914567944778671)) < 1e-9
+
+
+def test_ego_speeds_without_step_0(spark):
+    rows = [(1, 3, 0.2), (1, 4, 6.0), (2, 0, 9.0), (2, 1, None), (3, 0, None)]
+    got = {r["scenario_id"]: tuple(r)[1:] for r in scene.ego_speed_features(spark.createDataFrame(rows, "scenario_id long, step int, v double")).collect()}
+    assert got == {1: (0.0, 3.1, 6.0, 1, "low"), 2: (9.0, 9.0, 9.0, 0, "mid"), 3: (0.0, 0.0, 0.0, 0, "stopped")}
+
+
+def test_fisher_with_nulls_and_large_counts(spark):
+    rows = [(1, 3, 10, 1, 10), (2, None, 10, 1, 10), (3, 3, 10, 1, 10), (4, 0, 5, 0, 0)]
+    got = {r["i"]: r["p_value"] for r in stats.with_fisher(spark.createDataFrame(rows, "i int, k1 long, n1 long, k0 long, n0 long"), "k1", "n1", "k0", "n0").collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2] is None and got[1] == got[3] and got[4] == 1.0
+    draw = random.Random(1)
+    for _ in range(300):
+        n1, n0 = draw.randint(1, 40), draw.randint(1, 40)
+        k1, k0 = draw.randint(0, n1), draw.randint(0, n0)
+        want = sum(math.comb(n1, x) * math.comb(n0, k1 + k0 - x) for x in range(k1, min(n1, k1 + k0) + 1) if k1 + k0 - x <= n0) / math.comb(n1 + n0, k1 + k0)
+        assert math.isclose(stats.fisher_greater(k1, n1, k0, n0), want, rel_tol=1e-9)
+    began = time.time()
+    assert 0 < stats.fisher_greater(251_000_000, 500_000_000, 250_900_000, 500_000_000) < 1 and time.time() - began < 5
+
+
+def test_unknown_lane_types_are_counted(spark, tmp_path):
+    lane = lambda kind: {"lane_type": kind, "centerline": [{"x": 0, "y": 0}]}
+    (tmp_path / "m.json").write_text(json.dumps({"lane_segments": {"1": lane("vehicle"), "2": lane("TRAM"), "3": lane(None)}}))
+    maps = ingest.read_maps(spark, str(tmp_path))
+    assert [r["n_unknown"] for r in ingest.unknown_lanes(maps).collect()] == [2] and ingest.lane_rows(maps).count() == 1
+    tracks = spark.createDataFrame([("1", "vehicle", 0, "miami", "x")], "track_id string, object_type string, timestep int, city string, novel string")
+    tracks.write.parquet(str(tmp_path / "t"))
+    assert ingest.read_tracks(spark, str(tmp_path / "t")).columns == ["track_id", "object_type", "timestep", "city"]

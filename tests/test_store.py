@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnspark.operators import gate, miner, report
 from tarnspark.sources import store
@@ -63,7 +64,7 @@ def test_refusals_and_warnings(spark, folder):
         with pytest.raises(Exception, match="no int"):
             s.load_metrics(at("m4.csv"))
     other = {"discovery": "confirmation", "confirmation": "discovery"}
-    s.table("features").replace(other, subset=["split"]).write.parquet(f"file://{path}/store/features/v=9")
+    s.replace("features", s._stored("features").replace(other, subset=["split"]))
     with pytest.raises(ValueError, match="differs from the rule"):
         s.load_features(at("f2.csv"))
 
@@ -99,3 +100,36 @@ def test_picked_runs(spark):
     assert got() == {"primary": ("b", False), "reactive": ("b", False), "log_replay": ("c", True)}
     assert got(job_run="a") == {"primary": ("a", False), "reactive": ("a", False), "log_replay": ("c", False)}
     assert got(gate_run="c")["primary"] == ("c", False) and report.picked_runs(runs.limit(0)).count() == 0
+
+
+def test_quoted_fields(spark, folder):
+    """Quotes in quoted fields are doubled; commas and line ends in them stay."""
+    path, put = folder
+    s = store.Store(spark, f"file://{path}/store")
+    config = '{"a": 1, "b": "x,y", "c": "two\nlines \\\\ back"}'
+    put("runs.csv", "run_id,created_at,config_name,config_json,agent_mode,planner,dataset,hardware\na,2024-01-01 00:00:00,base,\"" + config.replace('"', '""') + '",reactive,p,d,"8 cores, ""big"""\nb,2024-01-01 00:00:00,base,,reactive,p,d,\n')
+    assert s.load_runs(f"file://{path}/in/runs.csv") == 2
+    assert rows(s.table("runs").select("run_id", "config_json", "hardware"), "run_id") == [("a", config, '8 cores, "big"'), ("b", None, None)]
+    s.load_metrics(f"file://{path}/in/metrics.csv")
+    s.load_features(f"file://{path}/in/features.csv")
+    one = lambda name: spark.range(1).select(*[(F.lit('say "x", y') if f.dataType.simpleString() == "string" else F.lit("2024-05-06 07:08:09" if "timestamp" in f.dataType.simpleString() else "3")).cast(f.dataType).alias(f.name) for f in s.schema(name)])
+    for name in ("failure_classes", "mining_jobs", "gate_results"):
+        s.replace(name, one(name))
+    for name in store.TABLES:
+        s.export_csv(name, f"file://{path}/out/{name}")
+        back = store.read_csv(spark, f"file://{path}/out/{name}", s.schema(name), line_ends=True)
+        order = s.schema(name).names
+        assert rows(back, *order) == rows(s.table(name), *order) and back.count() > 0
+
+
+def test_features_are_replaced_by_bucket(spark, folder):
+    path, put = folder
+    s = store.Store(spark, f"file://{path}/store")
+    put("f.csv", "scenario_id,dataset,n_agents\n" + "".join(f"s{i},d,{i}\n" for i in range(500)))
+    assert s.load_features(f"file://{path}/in/f.csv") == 500
+    before = {x for x in (path / "store" / "features").rglob("*.parquet")}
+    put("g.csv", "scenario_id,dataset,n_agents\ns7,d,1000\n")
+    assert s.load_features(f"file://{path}/in/g.csv") == 1
+    after = {x for x in (path / "store" / "features").rglob("*.parquet")}
+    assert len({x.parent for x in before - after}) == 1  # one bucket was written anew
+    assert s.table("features").count() == 500 and s.table("features").where("scenario_id = 's7'").first()["n_agents"] == 1000
