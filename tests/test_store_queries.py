@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from tarnspark.plans import lane_queries, scene_queries
+from tarnspark.plans import lane_queries, route_queries, scene_queries
 from tarnspark.plans import queries as store_queries
 
-QUERIES = store_queries.QUERIES | scene_queries.QUERIES | lane_queries.QUERIES
-ORACLE_SQL = store_queries.ORACLE_SQL | scene_queries.ORACLE_SQL | lane_queries.ORACLE_SQL
+QUERIES = store_queries.QUERIES | scene_queries.QUERIES | lane_queries.QUERIES | route_queries.QUERIES
+ORACLE_SQL = store_queries.ORACLE_SQL | scene_queries.ORACLE_SQL | lane_queries.ORACLE_SQL | route_queries.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
