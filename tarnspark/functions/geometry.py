@@ -76,3 +76,16 @@ def curvature(ax, ay, bx, by, cx, cy) -> Column:  # noqa: PLR0913
     """Signed curvature of the circle through three points; 0 where two of them coincide."""
     area = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
     return F.coalesce(F.try_divide(2 * area, distance(ax, ay, bx, by) * distance(bx, by, cx, cy) * distance(ax, ay, cx, cy)), F.lit(0.0))
+
+
+def segment_segment_distance(ax, ay, bx, by, cx, cy, dx, dy) -> Column:  # noqa: PLR0913
+    """Distance of the segments a-b and c-d, 0 where they meet."""
+    ends = (segment_distance(ax, ay, cx, cy, dx, dy), segment_distance(bx, by, cx, cy, dx, dy), segment_distance(cx, cy, ax, ay, bx, by), segment_distance(dx, dy, ax, ay, bx, by))
+    return F.when(segments_meet(ax, ay, bx, by, cx, cy, dx, dy), 0.0).otherwise(F.least(*ends))
+
+
+def box_distance(box: tuple[Column, ...], other: tuple[Column, ...]) -> Column:
+    """Distance of two oriented boxes (x, y, heading, length, width), 0 where they touch."""
+    sides = lambda b: list(zip(box_corners(*b), [*box_corners(*b)[1:], box_corners(*b)[0]], strict=True))
+    gaps = [segment_segment_distance(*p, *q, *r, *t) for p, q in sides(box) for r, t in sides(other)]
+    return F.when(box_overlap(*box, *other), 0.0).otherwise(F.least(*gaps))

@@ -31,25 +31,39 @@ def ring_edges(ring: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(ring, (i + n - 1) % n).alias("a"), F.get(ring, i).alias("b")))
 
 
-def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Half-open ray casting: a point on a lower or left edge is inside, on the others outside."""
+def _crosses(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Half-open ray casting: whether the ray from (x, y) to the right meets the edge."""
+    return ((ay > y) != (by > y)) & (x < ax + F.try_divide((y - ay) * (bx - ax), by - ay))
 
-    def crosses(e: Column) -> Column:
-        ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
-        return ((ay > y) != (by > y)) & (x < ax + F.try_divide((y - ay) * (bx - ax), by - ay))
 
-    return F.size(F.filter(ring_edges(ring), crosses)) % 2 == 1
+def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """A point on a lower or left edge is inside, on the others outside."""
+    return F.size(F.filter(ring_edges(ring), lambda e: _crosses(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))) % 2 == 1
 
 
-def area_distances(points: DataFrame, polygons: DataFrame) -> DataFrame:
+def area_distances(points: DataFrame, polygons: DataFrame, cell: float = 16.0) -> DataFrame:
     """points (scenario_id, point_id, x, y) with inside (of any polygon (scenario_id, ring) of the scenario) and distance, 0 inside; NULL
-    where the scenario has no polygon with three vertices."""
-    rings = polygons.where(F.size("ring") >= 3).select("scenario_id", "ring")
-    x, y = F.col("x"), F.col("y")
-    away = F.array_min(F.transform(ring_edges(F.col("ring")), lambda e: segment_distance(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])))
-    inside = point_in_ring(x, y, F.col("ring"))
-    d = points.join(rings, "scenario_id", "left").groupBy("scenario_id", "point_id", "x", "y").agg(F.max(inside).alias("inside"), F.min(F.when(inside, 0.0).otherwise(away)).alias("distance"))
-    return d.select("scenario_id", "point_id", "inside", "distance")
+    where the scenario has no polygon with three vertices.
+
+    Edges are dealt to the rows of cells that they cross, and a point meets those of its row to see whether it is inside. A point outside meets the edges
+    that may lie within a cell's size of it, and only one that has none there meets all edges of its scenario.
+    """
+    c, key = F.col, ["scenario_id", "point_id"]
+    rings = polygons.where(F.size("ring") >= 3).select("scenario_id", "ring", F.monotonically_increasing_id().alias("ring_id"))
+    e = rings.select("scenario_id", "ring_id", F.explode(ring_edges(c("ring"))).alias("e")).select("scenario_id", "ring_id", *[c(f"e.{a}.{b}").alias(f"{a}{b}") for a in "ab" for b in "xy"])
+    ends = (c("ax"), c("ay"), c("bx"), c("by"))
+    row = lambda v, reach: F.explode(F.sequence(F.floor((F.least(f"a{v}", f"b{v}") - reach) / cell), F.floor((F.greatest(f"a{v}", f"b{v}") + reach) / cell)))
+    p = points.select(*key, "x", "y").withColumns({"cx": F.floor(c("x") / cell), "cy": F.floor(c("y") / cell)})
+    crossing = p.join(e.withColumn("cy", row("y", 0.0)), ["scenario_id", "cy"]).where(_crosses(c("x"), c("y"), *ends))
+    inside = crossing.groupBy(*key, "ring_id").agg((F.count(F.lit(1)) % 2).alias("odd")).where("odd = 1").select(*key).distinct().withColumn("inside", F.lit(True))
+    d = p.join(rings.select("scenario_id").distinct().withColumn("known", F.lit(True)), "scenario_id", "left").join(inside, key, "left")
+    out = d.where("known AND inside IS NULL")
+    away = F.min(segment_distance(c("x"), c("y"), *ends))
+    near = out.join(e.withColumn("cx", row("x", cell)).withColumn("cy", row("y", cell)), ["scenario_id", "cx", "cy"]).groupBy(*key).agg(away.alias("away")).where(c("away") <= cell)
+    far = out.join(near, key, "left_anti").join(e, "scenario_id").groupBy(*key).agg(away.alias("away"))
+    d = d.join(near.unionByName(far), key, "left")
+    known = lambda v: F.when(c("known"), v)
+    return d.select(*key, known(F.coalesce("inside", F.lit(False))).alias("inside"), known(F.when(c("inside"), 0.0).otherwise(c("away"))).alias("distance"))
 
 
 def time_to_collision(ego: DataFrame, agents: DataFrame, *, dt: float = STEP, horizon: float = 3.0, radius: float = 60.0) -> DataFrame:

@@ -9,13 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.operators import lanes, routes
+from tarnspark.operators import cycles, lanes, logged, routes, scene
 from tarnspark.plans import adapters
 from tarnspark.plans.lane_queries import SCENE_LANES, SCENE_USERS
+from tarnspark.plans.queries import touch_sql
 from tarnspark.plans.scene_queries import _STATES, _rounded, _states
+from tarnspark.sources.work import kept
 
 #: Lanes by their place in the scene: x and y of their start.
 PLACES = ((0.0, 0.0), (40.0, 0.0), (80.0, 0.0), (0.0, 3.5), (40.0, 3.5))
+#: Kinds of agents, and an area.
+KINDS = ("vehicle", "pedestrian", "static", "bus")
+AREA = ((0.0, -2.0), (110.0, -2.0), (110.0, 6.0), (60.0, 6.0), (60.0, 3.0), (0.0, 3.0))
 #: Edges by place.
 LINKS = (("succ", 0, 1), ("succ", 1, 2), ("succ", 3, 4), ("succ", 4, 2), ("left", 0, 3), ("left", 1, 4), ("right", 3, 0), ("right", 4, 1))
 
@@ -50,8 +55,8 @@ def requests(s: SparkSession, d: str) -> DataFrame:
 
 
 def found(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    graph = routes.lane_graph(road(s, d))
-    return graph, routes.find_routes(graph, links(s, d), requests(s, d))
+    graph = kept(routes.lane_graph(road(s, d)), "lane-graph")
+    return graph, kept(routes.find_routes(graph, links(s, d), requests(s, d)), "routes")
 
 
 def r1_lane_graph(s: SparkSession, d: str) -> DataFrame:
@@ -90,7 +95,49 @@ def f2_route_features(s: SparkSession, d: str) -> DataFrame:
     return _rounded(lanes.path_features(p))
 
 
-QUERIES = {f.__name__: f for f in (r1_lane_graph, r2_routes, r4_reference_paths, r5_frenet, f2_route_features)}
+def tracks(s: SparkSession, d: str) -> DataFrame:
+    """Seven users' tracks a scene, the first the ego's; a state in four is not valid."""
+    c = F.col
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (c("user_id") % len(KINDS) + 1).cast("int"))
+    e = _states(s, d).withColumns({"scenario_id": F.floor(c("user_id") / SCENE_USERS), "agent_idx": (c("user_id") % SCENE_USERS).cast("int"), "kind": kind})
+    return e.select(
+        "scenario_id", "agent_idx", "step", (c("k") % 4 != F.when(c("agent_idx") == 0, 3).otherwise(0)).alias("valid"), "kind", (c("x") * 1.2).alias("x"), (c("k") % 10 - 4).cast("double").alias("y"), "heading",
+        (F.cos("heading") * 12).alias("vx"), (F.sin("heading") * 12).alias("vy"), F.lit(4.8).alias("length"), F.lit(2.0).alias("width"),
+    )
+
+
+def areas(s: SparkSession, d: str) -> DataFrame:
+    """An L-shaped area in three scenes of four."""
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in AREA])
+    return adapters.load(s, d, "supplier").select(F.floor(F.col("s_suppkey") / SCENE_LANES).alias("scenario_id")).distinct().where("scenario_id % 4 < 3").select("scenario_id", ring.alias("ring"))
+
+
+def m6_logged_states(s: SparkSession, d: str) -> DataFrame:
+    """What a logged ego meets at each step: how far its worst corner is off the area, its turn against the lanes, time to collision, the agent that it touches."""
+    t, key = kept(tracks(s, d), "tracks"), ["scenario_id", "step"]
+    c, ego = F.col, kept(logged.ego_states(t), "ego")
+    others = t.where("agent_idx > 0 AND valid")
+    boxed = ego.select(*key, "x", "y", "heading", (c("v") * F.cos("heading")).alias("vx"), (c("v") * F.sin("heading")).alias("vy"), F.lit(4.8).alias("length"), F.lit(2.0).alias("width"))
+    out = ego.select(*key, "x", "y", "v", "a_lon", "yaw_rate", "jerk")
+    out = out.join(logged.off_road(ego, areas(s, d)), key, "left").join(logged.collisions(ego, others), key, "left").join(scene.time_to_collision(boxed, others), key)
+    turned = lanes.wrong_direction(ego.withColumnRenamed("step", "point_id"), road(s, d)).withColumnRenamed("point_id", "step")
+    return _rounded(out.join(turned, key), 4)
+
+
+def r17_logged_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Metrics of logged egos from raw tracks, lanes and areas, with the status of every scene."""
+    t = kept(tracks(s, d), "tracks")
+    graph = kept(routes.lane_graph(road(s, d)), "lane-graph")
+    ego = t.where("agent_idx = 0")
+    ends = ego.groupBy("scenario_id").agg(F.min_by(F.struct("x", "y", "heading"), "step").alias("a"), F.max_by(F.struct("x", "y"), F.when(F.col("valid"), F.col("step"))).alias("b"))
+    asked = ends.select("scenario_id", F.col("scenario_id").alias("request_id"), "a.*", F.col("b.x").alias("goal_x"), F.col("b.y").alias("goal_y"))
+    found = kept(routes.find_routes(graph, links(s, d), asked), "routes")
+    paths = kept(routes.reference_paths(found, graph), "paths")
+    m = cycles.scenario_metrics(logged.logged_cycles(t, road(s, d), areas(s, d), paths)).drop("status", "run_id")
+    return _rounded(logged.statuses(t, found, paths).join(m, "scenario_id", "left"), 5)
+
+
+QUERIES = {f.__name__: f for f in (r1_lane_graph, r2_routes, r4_reference_paths, r5_frenet, f2_route_features, m6_logged_states, r17_logged_metrics)}
 
 _PLACES = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(PLACES))
 _LINKS = ", ".join(f"('{k}', {a}, {b})" for k, a, b in LINKS)
@@ -127,6 +174,9 @@ def _near(x: str, y: str, reach: float) -> str:
   GROUP BY ALL HAVING min(distance) <= {reach}"""
 
 
+_AREA = ", ".join(f"({ax}, {ay}, {bx}, {by})" for (ax, ay), (bx, by) in zip([AREA[-1], *AREA[:-1]], AREA, strict=True))
+_STEP = "0.1::FLOAT::DOUBLE"
+
 ORACLE_SQL = {
     "r1_lane_graph": f"""WITH {_ROAD}, span AS (
   SELECT a.lane_idx, a.x + (b.x - a.x) * (l.length / 2 - a.s) / (b.s - a.s) AS half_x, a.y + (b.y - a.y) * (l.length / 2 - a.s) / (b.s - a.s) AS half_y, a.heading + {_WRAP("b.heading - a.heading")} * (l.length / 2 - a.s) / (b.s - a.s) AS half_heading
@@ -148,4 +198,43 @@ ORACLE_SQL = {
   CASE WHEN scenario_id NOT IN (SELECT scenario_id FROM lane WHERE drivable) THEN 'no_lanes' WHEN request_id NOT IN (SELECT request_id FROM begin) THEN 'no_start_lane' WHEN request_id NOT IN (SELECT request_id FROM goal) THEN 'no_goal_lane' WHEN nth IS NULL THEN 'unreachable' ELSE 'ok' END AS status,
   round(cost, 5) AS cost, round(start_s, 5) AS start_s, round(goal_s, 5) AS goal_s, array_to_string(list_transform(path, lambda p: CASE WHEN p.change THEN '>' ELSE '' END || p.lane), ' ') AS route
 FROM ask LEFT JOIN (SELECT * FROM best WHERE nth = 1) USING (request_id)""",
+    "m6_logged_states": f"""WITH {_STATES}, {_ROAD}, t AS (
+  SELECT user_id // 7 AS scenario_id, user_id % 7 AS agent_idx, step, k % 4 <> CASE WHEN user_id % 7 = 0 THEN 3 ELSE 0 END AS valid, ['vehicle', 'pedestrian', 'static', 'bus'][(user_id % 4 + 1)::INT] AS kind, x * 1.2 AS x, (k % 10 - 4)::DOUBLE AS y, heading FROM s
+), own AS (
+  SELECT *, lag(valid) OVER w AS was, lag(x) OVER w AS bx, lag(y) OVER w AS by_, valid OR step = 0 AS held FROM t WHERE agent_idx = 0 WINDOW w AS (PARTITION BY scenario_id ORDER BY step)
+), filled AS (
+  SELECT scenario_id, step, last_value(CASE WHEN held THEN x END IGNORE NULLS) OVER w AS x, last_value(CASE WHEN held THEN y END IGNORE NULLS) OVER w AS y, last_value(CASE WHEN held THEN heading END IGNORE NULLS) OVER w AS heading,
+    last_value(CASE WHEN step = 0 THEN 12.0 WHEN valid AND was THEN sqrt((x - bx) ** 2 + (y - by_) ** 2) / {_STEP} END IGNORE NULLS) OVER w AS v FROM own WINDOW w AS (PARTITION BY scenario_id ORDER BY step)
+), moved AS (
+  SELECT *, coalesce((v - lag(v) OVER w) / {_STEP}, 0.0) AS a_lon, coalesce({_WRAP("heading - lag(heading) OVER w")} / {_STEP}, 0.0) AS yaw_rate, lead(step) OVER w AS more FROM filled WINDOW w AS (PARTITION BY scenario_id ORDER BY step)
+), ego AS (
+  SELECT *, coalesce((lead(a_lon) OVER w - lag(a_lon) OVER w) / (2 * {_STEP}), (lead(a_lon) OVER w - a_lon) / {_STEP}, (a_lon - lag(a_lon) OVER w) / {_STEP}, 0.0) AS jerk FROM moved WHERE more IS NOT NULL WINDOW w AS (PARTITION BY scenario_id ORDER BY step)
+), corner AS (
+  SELECT scenario_id, step, j, x + cos(heading) * u * 2.4 - sin(heading) * q AS px, y + sin(heading) * u * 2.4 + cos(heading) * q AS py FROM ego, (VALUES (0, 1, 1.0), (1, -1, 1.0), (2, -1, -1.0), (3, 1, -1.0)) k(j, u, q)
+), away AS (
+  SELECT scenario_id, step, j, sum(((ay > py) <> (zy > py) AND px < ax + (py - ay) * (zx - ax) / nullif(zy - ay, 0))::INT) % 2 = 1 AS inside, min(sqrt((px - ax - u * (zx - ax)) ** 2 + (py - ay - u * (zy - ay)) ** 2)) AS away FROM (
+    SELECT *, greatest(0.0, least(1.0, ((px - ax) * (zx - ax) + (py - ay) * (zy - ay)) / ((zx - ax) ** 2 + (zy - ay) ** 2))) AS u FROM corner, (VALUES {_AREA}) e(ax, ay, zx, zy) WHERE scenario_id % 4 < 3 AND scenario_id IN (SELECT s_suppkey // 5 FROM supplier)) GROUP BY ALL
+), offroad AS (
+  SELECT scenario_id, step, max(CASE WHEN inside THEN 0.0 ELSE away END) AS offroad FROM away GROUP BY ALL
+), p AS (
+  SELECT {{'scenario_id': g.scenario_id, 'step': g.step, 'heading': g.heading, 'v': g.v, 'x': g.x, 'y': g.y}} AS e, {{'agent_idx': o.agent_idx, 'kind': o.kind, 'heading': o.heading, 'x': o.x, 'y': o.y}} AS o, i, i * {_STEP} AS tau,
+    o.x + i * {_STEP} * 12 * cos(o.heading) - g.x - i * {_STEP} * g.v * cos(g.heading) AS dx, o.y + i * {_STEP} * 12 * sin(o.heading) - g.y - i * {_STEP} * g.v * sin(g.heading) AS dy
+  FROM ego g JOIN t o ON o.scenario_id = g.scenario_id AND o.step = g.step AND o.agent_idx > 0 AND o.valid, range(0, 30) r(i)
+), touching AS (
+  SELECT * FROM p WHERE {touch_sql(2.4, 1.0)}
+), ttc AS (
+  SELECT e.scenario_id AS scenario_id, e.step AS step, min(tau) AS min_ttc FROM touching WHERE i > 0 AND sqrt((o.x - e.x) ** 2 + (o.y - e.y) ** 2) <= 60 GROUP BY ALL
+), hit AS (
+  SELECT e.scenario_id AS scenario_id, e.step AS step, min(o.agent_idx)::INT AS collision_agent, min_by(o.kind, o.agent_idx) AS collision_agent_type,
+    min_by((o.x - e.x) * cos(e.heading) + (o.y - e.y) * sin(e.heading) <= -0.725 AND 12 * cos(o.heading) * cos(e.heading) + 12 * sin(o.heading) * sin(e.heading) > e.v + 0.5, o.agent_idx) AS ego_struck_from_behind
+  FROM touching WHERE i = 0 AND o.kind <> 'static' GROUP BY ALL
+), seg AS (
+  SELECT scenario_id, lane_idx, 0 AS part, px AS ax, py AS ay, px + 20 AS zx, py + off AS zy FROM road WHERE drivable UNION ALL SELECT scenario_id, lane_idx, 1, px + 20, py + off, px + 40, py FROM road WHERE drivable
+), match AS (
+  SELECT scenario_id, step, lane_idx, min(away) AS away, abs(first(error ORDER BY away, part)) AS error FROM (
+    SELECT *, sqrt((x - ax - u * (zx - ax)) ** 2 + (y - ay - u * (zy - ay)) ** 2) AS away FROM (
+      SELECT ego.scenario_id, step, x, y, lane_idx, part, ax, ay, zx, zy, {_WRAP("heading - atan2(zy - ay, zx - ax)")} AS error, greatest(0.0, least(1.0, ((x - ax) * (zx - ax) + (y - ay) * (zy - ay)) / ((zx - ax) ** 2 + (zy - ay) ** 2))) AS u FROM ego JOIN seg USING (scenario_id))) GROUP BY ALL
+), against AS (SELECT scenario_id, step, min(error) AS heading_error FROM match WHERE away <= 5 GROUP BY ALL)
+SELECT scenario_id, step, round(x, 4) AS x, round(y, 4) AS y, round(v, 4) AS v, round(a_lon, 4) AS a_lon, round(yaw_rate, 4) AS yaw_rate, round(jerk, 4) AS jerk, round(offroad, 4) AS offroad, collision_agent, collision_agent_type, ego_struck_from_behind,
+  round(min_ttc, 4) AS min_ttc, round(heading_error, 4) AS heading_error FROM ego LEFT JOIN offroad USING (scenario_id, step) LEFT JOIN hit USING (scenario_id, step) LEFT JOIN ttc USING (scenario_id, step) LEFT JOIN against USING (scenario_id, step)""",
 }
