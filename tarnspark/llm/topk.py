@@ -37,20 +37,34 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     d = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(~odd)
-    return d.select(F.col(id_col).cast("long").alias("id"), F.size(vector_col).alias("dim"), F.transform(v, lambda x: F.floor(x * 256)).alias("v"))
+    # Spark's floor holds a double over the largest long at it, which would be another number.
+    whole = lambda x: F.when(F.abs(x) < 2.0**55, F.floor(x * 256)).otherwise(F.raise_error("a component of 2^55 or more has no 64-bit value").cast("long"))
+    return d.select(F.col(id_col).cast("long").alias("id"), F.size(vector_col).alias("dim"), F.transform(v, whole).alias("v"))
 
 
 def product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by floating point where every sum is below 2^53."""
+    """Exact integer inner products; by floating point where every sum is below 2^53, by Python's integers where one might not fit 64 bits. Raises where one does not."""
     if not q.size or not x.size:
         return np.zeros((len(q), len(x)), np.int64)
-    if float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2.0**53:
+    most = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(x.astype(np.float64)).max()) * q.shape[1]
+    if most < 2.0**53:
         return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    return q @ x.T
+    if most < 2.0**62:
+        return q @ x.T
+    out = q.astype(object) @ x.T.astype(object)
+    if max(map(abs, out.flat)) >= 1 << 63:
+        raise OverflowError("an inner product has no 64-bit value")
+    return out.astype(np.int64)
 
 
 def block_bounds(q: np.ndarray, top: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return product(np.maximum(q, 0), top) + product(np.minimum(q, 0), low)
+    """The most that a query scores in each block; held at the largest 64-bit value, which no score exceeds, so nothing is pruned wrongly."""
+    parts = (np.maximum(q, 0), top), (np.minimum(q, 0), low)
+    most = sum(float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * q.shape[1] for a, b in parts)
+    if most < 2.0**62:
+        return sum(product(a, b) for a, b in parts)
+    whole = sum(a.astype(object) @ b.T.astype(object) for a, b in parts)
+    return np.clip(whole, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def _matrix(rows, dim: int) -> np.ndarray:
@@ -219,5 +233,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     A query's own row is one of its id and vector; further rows of that id, equal ones too, are candidates, and each repeated query
     has its own results. Vectors of another length are no candidates; empty ones score 0. Rows with a null id, or a vector
     that is null or has null or non-finite components, take no part. Other columns are ignored. Empty tables give an empty result.
+    Components of 2^55 or more, and scores that do not fit 64 bits, raise.
     """
     return search(vectors, queries, k, id_col, vector_col)[0]
