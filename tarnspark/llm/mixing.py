@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import BLANKS, row_key, saved
 
 STEPS = 60
-#: Entropies as close as this are equal; no larger exponent is tried; weights below the least one count as it in a default budget.
-CLOSE, MAX_EXPONENT, TINY = 1e-9, 1024.0, 1e-9
+#: Entropies as close as this are equal; no larger exponent is tried; a mix that uses documents of a source more often than this is refused.
+CLOSE, MAX_EXPONENT, MAX_USES = 1e-9, 1024.0, 10_000
 #: Documents of a block, about; the cumulated sizes of a source are of blocks, not of documents.
 BLOCK_DOCS = 1024
 
@@ -61,7 +61,8 @@ def solve_mix(tokens: dict, *, target_entropy: float | None = None, max_repeat:
     """The exponent, bisected: with max_repeat, the least (most level) in [0, 1] for which no source is used over max_repeat times;
     with target_entropy (nats), the one, over 1 if need be, whose entropy is it. Raises if no exponent meets the goal: entropy
     lies between that of the largest sources alone and that of equal weights, and a budget over max_repeat times all tokens
-    breaks the limit whatever the weights.
+    breaks the limit whatever the weights. Raises too if a source would be used over MAX_USES times, as a low entropy asks of the others
+    when the rarest source is used whole: give a budget then.
 
     budget: tokens in all; by default so many that the source with the least weight against its share is used exactly
     once, so that no document is left out.
@@ -75,7 +76,7 @@ def solve_mix(tokens: dict, *, target_entropy: float | None = None, max_repeat:
         return Mix(1.0, 0, dict.fromkeys(tokens, 0))
 
     def total_of(w: dict) -> float:
-        return budget if budget is not None else max(n / w[k] for k, n in have.items())
+        return budget if budget is not None else max(n / w[k] if w[k] else math.inf for k, n in have.items())
 
     def level_enough(x: float) -> bool:
         w = tempered(have, x)
@@ -93,7 +94,9 @@ def solve_mix(tokens: dict, *, target_entropy: float | None = None, max_repeat:
             raise ValueError(f"no exponent gives an entropy of {target_entropy}")
         x = _bisect(0.0, top, lambda y: entropy(tempered(have, y)) < target_entropy)[0]
     w = tempered(tokens, x)
-    total = total_of({k: max(v, TINY) for k, v in w.items()})
+    total = total_of(w)
+    if max(w[k] * total / n if total < math.inf else math.inf for k, n in have.items()) > MAX_USES:
+        raise ValueError(f"some source would be used over {MAX_USES} times: give a smaller budget than {total:.6g} tokens")
     return Mix(x, math.floor(total + 0.5), {k: math.floor(w[k] * total + 0.5) for k in tokens})
 
 
