@@ -32,8 +32,10 @@ _VERSION_LINE = re.compile(rb"(?<=\n)WARC/1\.")
 _BAD, _DIGEST = "bad gzip member", re.compile(rb"(?i)\r\nWARC-Block-Digest:\s*sha256:")
 _PAGE = "urn:page:"
 _STEP = 1 << 16
-#: Bytes of a record's head, and of a member's decompressed content, at most; longer ones count as damaged from there on.
+#: Bytes of a record's head and of a record, at most; longer ones count as damaged. A member whose content is longer than a record may be is read as a
+#: stream, record by record.
 MAX_HEAD, MAX_CONTENT = 1 << 20, 256 << 20
+_LONG = "long"
 
 
 def record(page_id: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None, level: int = 6) -> bytes:
@@ -88,7 +90,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
 
 def read_member(data: bytes, at: int) -> tuple[bytes, int, str]:
     """The content of the gzip member at data[at], where it ends, and "" or what is wrong with it: then the content is what came
-    out before the damage, and the end is not known (at)."""
+    out before the damage, and the end is not known (at). _LONG, and no content, if that is over MAX_CONTENT: member_chunks() has it."""
     z, parts, start, size = zlib.decompressobj(31), [], at, 0
     try:
         while not z.eof and at < len(data):
@@ -98,7 +100,7 @@ def read_member(data: bytes, at: int) -> tuple[bytes, int, str]:
             parts.append(z.decompress(step))
             size += len(parts[-1])
             if size > MAX_CONTENT:
-                return b"".join(parts), start, "gzip member over the limit of its content"
+                return b"", start, _LONG
     except zlib.error:
         parts.append(_until_damage(before, step))
         return b"".join(parts), start, _BAD
@@ -118,6 +120,71 @@ def _until_damage(z, step: bytes) -> bytes:
     return b"".join(parts)
 
 
+def member_chunks(data: bytes, at: int, ended: list) -> Iterator[bytes]:
+    """The content of the gzip member at data[at] in pieces; ended then gets where it ends, and "" or what is wrong with it."""
+    z, start = zlib.decompressobj(31), at
+    while not z.eof and (at < len(data) or z.unconsumed_tail):
+        step = z.unconsumed_tail or data[at : at + _STEP]
+        at += 0 if z.unconsumed_tail else len(step)
+        before = z.copy()
+        try:
+            piece = z.decompress(step, _STEP)
+        except zlib.error:
+            yield _until_damage(before, step)
+            ended += [start, _BAD]
+            return
+        yield piece
+    ended += [at - len(z.unused_data), ""] if z.eof else [start, "gzip member cut short"]
+
+
+def _record_size(data: bytes, at: int) -> int | None:
+    """Bytes of the record that data[at] begins, by its head; None while the head has no end or says nothing."""
+    end = data.find(b"\r\n\r\n", at, at + MAX_HEAD)
+    said = re.search(rb"(?im)^content-length:\s*(\d{1,18})\s*$", data[at:end]) if end >= 0 else None
+    return end + 4 - at + int(said[1]) + 4 if said else None
+
+
+def _streamed(chunks: Iterator[bytes]) -> Iterator[tuple[int, int, dict | str, bool]]:
+    """_inner()'s rows of a content that comes in pieces, and whether a record has a digest of its own. Holds a record, or what may be a head, and a piece."""
+    held, base, at, done = b"", 0, 0, False  # held is the content from base on; at is the place in it
+    gap, reason = None, ""
+    while True:
+        begins = held.startswith(_VERSION, at) if len(held) - at >= len(_VERSION) else None
+        size = _record_size(held, at) if begins else None
+        open_head = size is None and begins is not False and len(held) - at < MAX_HEAD and held.find(b"\r\n\r\n", at) < 0
+        if not done and (open_head or (size is not None and size <= MAX_CONTENT and len(held) - at < size)):
+            piece = next(chunks, None)
+            done = piece is None
+            held, base, at = held[at:] + (piece or b""), base + at, 0
+            continue
+        if at >= len(held):
+            break
+        try:
+            if size is not None and size > MAX_CONTENT:
+                raise Damaged(f"record over the limit of {MAX_CONTENT} bytes")
+            one, end = parse_record(held, at)
+        except Damaged as e:
+            if gap is None:
+                gap, reason = base + at, str(e)
+            later = _VERSION_LINE.search(held, at + 1)
+            while later is None and not done:  # what may be the beginning of a version line stays
+                piece = next(chunks, None)
+                done = piece is None
+                keep = max(at, len(held) - len(_VERSION) - 1)
+                held, base = held[keep:] + (piece or b""), base + keep
+                later = _VERSION_LINE.search(held, 1 if keep == at else 0)
+                at = 0
+            at = later.start() if later else len(held)
+            continue
+        if gap is not None:
+            yield gap, base + at, reason, False
+            gap = None
+        yield base + at, base + end, one, bool(_DIGEST.search(held, at, end))
+        at = end
+    if gap is not None:
+        yield gap, base + len(held), reason, False
+
+
 def _inner(content: bytes) -> Iterator[tuple[int, int, dict | str]]:
     """(start, end, record or a gap's reason) of content, in order; together they cover it."""
     at, gap, reason = 0, None, ""
@@ -145,7 +212,8 @@ def salvage(data: bytes) -> Iterator[dict]:
 
     Records and gaps inside a member have the member's start and end; an inner gap's reason has the bytes of the content that
     it spans. A member that is damaged itself gives the whole records that came out of it and then one gap up to what follows;
-    those records have the start and end of that gap. A member without a single whole record is one gap.
+    those records have the start and end of that gap. A member without a single whole record is one gap. Of a member whose content is over
+    MAX_CONTENT a record is held at a time, and a gap before it is closed first.
     """
     at, gap, reason, held = 0, None, "", []
 
@@ -156,6 +224,28 @@ def salvage(data: bytes) -> Iterator[dict]:
         wrong, found = "", []
         if data.startswith(_MAGIC, at):
             content, end, wrong = read_member(data, at)
+            if wrong == _LONG:
+                # A first pass finds whether and where the member ends, as its records tell that, too, and whether it holds one.
+                ended, any_whole, first = [], False, ""
+                for _, _, x, sure in _streamed(member_chunks(data, at, ended)):
+                    any_whole, first = any_whole or isinstance(x, dict), first or (x if isinstance(x, str) else "")
+                end, wrong = ended
+                wrong = wrong or ("" if any_whole else first)
+                later = _NEXT.search(data, at + 1) if wrong else None
+                stop = end if not wrong else later.start() if later else len(data)
+                if gap is not None and (any_whole or not wrong):
+                    yield from closed(at)
+                    gap, held = None, []
+                if any_whole:
+                    for low, high, x, sure in _streamed(member_chunks(data, at, [])):
+                        if isinstance(x, dict) and (wrong != _BAD or sure):
+                            yield {"kind": "record", "start": at, "end": stop} | x
+                        elif isinstance(x, str) and not wrong:
+                            yield {"kind": "gap", "start": at, "end": stop, "reason": f"{x}: bytes {low} to {high} of the member's content"}
+                if wrong and gap is None:
+                    gap, reason = at, wrong
+                at = stop
+                continue
             found = list(_inner(content))
             whole = [x for low, high, x in found if isinstance(x, dict) and (wrong != _BAD or _DIGEST.search(content, low, high))]
             if wrong:
@@ -227,7 +317,7 @@ RECORDS = "kind string, path string, start long, end long, reason string, record
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """What salvage() finds in the files below path: a row a record (kind `record`) and a row a quarantined gap (kind `gap`). A task holds
-    one file (at most 2 GB, as Spark reads it) and MAX_CONTENT bytes of a member of it."""
+    one file (at most 2 GB, as Spark reads it) and MAX_CONTENT bytes of a member of it; longer members are read as streams, so none of their records is lost."""
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
