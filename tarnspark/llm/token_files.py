@@ -200,8 +200,8 @@ class WordEncoder:
     """The tokenizer's ids of whole texts: word by word ([^\\x20\\x09-\\x0D]+) where splits_at_blanks() allows it. There a word of Latin-1 letters
     followed by ASCII marks other than the apostrophe is two pre-tokens, the letters lower-cased and the marks."""
 
-    #: Bytes of words, and of runs of letters, that a worker remembers.
-    WORDS, RUNS = 72 << 20, 24 << 20
+    #: Bytes of words, of runs of letters and of runs of marks that a worker remembers.
+    WORDS, RUNS, MARKS = 104 << 20, 40 << 20, 2 << 20
     _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
     def __init__(self, path: str, width: int, end_id: int | None):
@@ -209,7 +209,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.packers = _Packers("H" if width == 2 else "I")
-        self.known, self.runs = Remembered(self._word, self.WORDS), Remembered(self._run, self.RUNS)
+        self.known, self.runs, self.marks = Remembered(self._word, self.WORDS), Remembered(self._run, self.RUNS), Remembered(self._whole, self.MARKS)
+        self.tokenize = self.tokenizer.model.tokenize
         self.end = b"" if end_id is None else self._pack([end_id])
         chars = byte_characters()
         self.bytewise = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
@@ -222,13 +223,16 @@ class WordEncoder:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _run(self, run: str) -> bytes:
-        """A run of letters, lower-cased, or of marks."""
-        return self._pack([t.id for t in self.tokenizer.model.tokenize(run.translate(self.bytewise))]) if run[:1].isalpha() else self._whole(run)
+        """A run of letters, lower-cased."""
+        return self._pack([t.id for t in self.tokenize(run if run.isascii() else run.translate(self.bytewise))])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         found = self._WORD.match(text)
-        return self.runs[found[1].lower()] + self.runs[found[2]] if found else self._whole(text)
+        if not found:
+            return self._whole(text)
+        run, marks = found.groups()
+        return self.runs[run.lower()] + self.marks[marks] if marks else self.runs[run.lower()]
 
     def encode(self, text: bytes) -> bytes:
         return (b"".join(map(self.known.__getitem__, text.split())) if self.by_word else self._whole(text.decode())) + self.end
