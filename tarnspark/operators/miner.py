@@ -30,21 +30,24 @@ EXCLUDED = ("scenario_id", "run_id", "split", "dataset", "status")
 
 def candidate_predicates(df: DataFrame, columns: list[str], excluded: tuple[str, ...] = EXCLUDED) -> list[Predicate]:
     """Predicates of each column: equality with a string's most frequent values; thresholds of a number, which are all but the
-    least of few distinct whole values, else tertiles of finite values rounded to one place; NULL tests where some but not all values
-    are NULL. Constants give none."""
+    least of few distinct whole values, of whatever type, else tertiles of finite values rounded to one place; NULL tests where some but not all values
+    are NULL. Strings that all read as numbers are numbers. Constants give none."""
     types, out = {f.name: f.dataType for f in df.schema}, []
     columns = [c for c in columns if c not in excluded]
-    numbers = [c for c in columns if isinstance(types[c], T.NumericType)]
-    finite = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")) & (F.abs(F.col(f"`{c}`").cast("double")) < float("inf")), F.col(f"`{c}`").cast("double")) for c in numbers}
+    numbers = [c for c in columns if isinstance(types[c], (T.NumericType, T.StringType))]
+    value = {c: F.col(f"`{c}`").try_cast("double") if isinstance(types[c], T.StringType) else F.col(f"`{c}`").cast("double") for c in numbers}
+    finite = {c: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v) for c, v in value.items()}
     sums = [F.count(F.col(f"`{c}`")).alias(f"{c}__n") for c in columns]
+    sums += [x for c, v in value.items() for x in (F.count_if(v.isNotNull() & ~F.isnan(v)).alias(f"{c}__read"), F.count_if(finite[c] != F.rint(finite[c])).alias(f"{c}__parts"))]
     edges = [F.percentile(finite[c], F.array(F.lit(1 / 3), F.lit(2 / 3))).alias(f"{c}__e") for c in numbers]
     bounds = [F.struct(F.min(finite[c]), F.max(finite[c])).alias(f"{c}__b") for c in numbers]
     stats = df.agg(F.count(F.lit(1)).alias("__all"), *sums, *edges, *bounds).first()
     for c in columns:
         n = stats[f"{c}__n"]
-        if n and c in numbers:
+        if n and c in numbers and (isinstance(types[c], T.NumericType) or stats[f"{c}__read"] == n):
             low, high = stats[f"{c}__b"]
-            few = sorted(r[0] for r in df.select(c).where(F.col(f"`{c}`").isNotNull()).distinct().limit(MAX_DISTINCT + 1).collect()) if isinstance(types[c], T.IntegralType) else []
+            exact = types[c] if isinstance(types[c], T.IntegralType) else T.DoubleType()
+            few = sorted(r[0] for r in df.select(finite[c].cast(exact)).where(finite[c].isNotNull()).distinct().limit(MAX_DISTINCT + 1).collect()) if not stats[f"{c}__parts"] else []
             cuts = few[1:] if 0 < len(few) <= MAX_DISTINCT else sorted({round(x, 1) for x in stats[f"{c}__e"] or () if low < round(x, 1) <= high})
             out += [Predicate(c, op, x) for x in cuts for op in (">=", "<")]
         elif n and isinstance(types[c], T.StringType):

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.operators import cycles, lanes, logged, routes, scene
+from tarnspark.operators import cycles, lanes, logged, routes, scene, trace
 from tarnspark.plans import adapters
 from tarnspark.plans.lane_queries import SCENE_LANES, SCENE_USERS
 from tarnspark.plans.queries import touch_sql
 from tarnspark.plans.scene_queries import _STATES, _rounded, _states
-from tarnspark.sources.work import kept
+from tarnspark.sources import scenes
+from tarnspark.sources.work import kept, work_folder
 
 #: Lanes by their place in the scene: x and y of their start.
 PLACES = ((0.0, 0.0), (40.0, 0.0), (80.0, 0.0), (0.0, 3.5), (40.0, 3.5))
@@ -137,7 +138,31 @@ def r17_logged_metrics(s: SparkSession, d: str) -> DataFrame:
     return _rounded(logged.statuses(t, found, paths).join(m, "scenario_id", "left"), 5)
 
 
-QUERIES = {f.__name__: f for f in (r1_lane_graph, r2_routes, r4_reference_paths, r5_frenet, f2_route_features, m6_logged_states, r17_logged_metrics)}
+def i36_scene_view(s: SparkSession, d: str) -> DataFrame:
+    """Scenes as nested views, written as dumps and read back through the contract's checks."""
+    t = kept(tracks(s, d), "tracks")
+    every = t.select("scenario_id").distinct().select("scenario_id", F.lit(0.1).alias("dt"), F.lit("driver").alias("dataset"))
+    path = work_folder(s, "scenes")
+    scenes.write_scenes(scenes.scene_view(t, road(s, d), areas(s, d).withColumn("kind", F.lit("drivable_area")), every), path)
+    good, _ = scenes.read_scenes(s, path)
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
+    return _rounded(good.select(
+        F.col("scenario_id").cast("long").alias("scenario_id"), "planner", F.size("lanes").alias("n_lanes"), F.size("polygons").alias("n_polygons"), F.size("agents").alias("n_agents"), F.size("ego").alias("n_steps"),
+        F.size(F.filter("ego_logged", lambda x: x["valid"])).alias("n_valid"), F.element_at("ego", -1)["t"].alias("last_t"), total("ego", lambda x: x["x"]).alias("ego_x"),
+        total("agents", lambda a: F.size(a["states"]).cast("double")).alias("agent_states"), total("lanes", lambda a: F.get(F.get(a["centerline"], F.lit(1)), F.lit(1))).alias("middle_y"),
+    ))
+
+
+def r23_cycle_trace(s: SparkSession, d: str) -> DataFrame:
+    """Orders as cycles, their lines as candidates (line numbers repeat, so prices tell them, too): the one that is chosen, term by term."""
+    c = F.col
+    terms = F.create_map(F.lit("progress"), c("l_quantity").cast("double"), F.lit("comfort"), (c("l_discount") * 100).cast("double"), F.lit("lateral"), (c("l_tax") * 100).cast("double"))
+    rows = adapters.load(s, d, "lineitem").select(F.floor(c("l_orderkey") / 100).alias("scenario_id"), c("l_orderkey").alias("step"), (c("l_linenumber") * 10**8 + F.round(c("l_extendedprice") * 100).cast("long")).alias("candidate"), (c("l_returnflag") != "R").alias("feasible"), (c("l_extendedprice") / 1000).cast("double").alias("target_v"), c("l_tax").cast("double").alias("target_d"), terms.alias("terms"))
+    traced = trace.cycle_trace(rows, {"progress": 0.5, "comfort": 2.0})
+    return _rounded(trace.trace_terms(traced).join(traced.select("step", "n_candidates", "n_feasible", "feasible", "target_v", "target_d"), "step"))
+
+
+QUERIES = {f.__name__: f for f in (i36_scene_view, r23_cycle_trace, r1_lane_graph, r2_routes, r4_reference_paths, r5_frenet, f2_route_features, m6_logged_states, r17_logged_metrics)}
 
 _PLACES = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(PLACES))
 _LINKS = ", ".join(f"('{k}', {a}, {b})" for k, a, b in LINKS)
@@ -198,6 +223,20 @@ ORACLE_SQL = {
   CASE WHEN scenario_id NOT IN (SELECT scenario_id FROM lane WHERE drivable) THEN 'no_lanes' WHEN request_id NOT IN (SELECT request_id FROM begin) THEN 'no_start_lane' WHEN request_id NOT IN (SELECT request_id FROM goal) THEN 'no_goal_lane' WHEN nth IS NULL THEN 'unreachable' ELSE 'ok' END AS status,
   round(cost, 5) AS cost, round(start_s, 5) AS start_s, round(goal_s, 5) AS goal_s, array_to_string(list_transform(path, lambda p: CASE WHEN p.change THEN '>' ELSE '' END || p.lane), ' ') AS route
 FROM ask LEFT JOIN (SELECT * FROM best WHERE nth = 1) USING (request_id)""",
+    "i36_scene_view": f"""WITH {_STATES}, {_ROAD}, t AS (
+  SELECT user_id // 7 AS scenario_id, user_id % 7 AS agent_idx, step, x * 1.2 AS x, k % 4 <> CASE WHEN user_id % 7 = 0 THEN 3 ELSE 0 END AS valid FROM s
+), e AS (
+  SELECT scenario_id, count(*) FILTER (WHERE agent_idx = 0)::INT AS n_steps, count(*) FILTER (WHERE agent_idx = 0 AND valid)::INT AS n_valid, max(step) FILTER (WHERE agent_idx = 0) * 0.1::DOUBLE AS last_t, sum(x) FILTER (WHERE agent_idx = 0) AS ego_x,
+    (count(DISTINCT agent_idx) - 1)::INT AS n_agents, count(*) FILTER (WHERE agent_idx > 0)::DOUBLE AS agent_states FROM t GROUP BY scenario_id
+), l AS (SELECT scenario_id, count(*)::INT AS n_lanes, sum(py + off) AS middle_y FROM road GROUP BY scenario_id)
+SELECT scenario_id, 'none: from the stored log' AS planner, coalesce(n_lanes, 0) AS n_lanes, CASE WHEN scenario_id % 4 < 3 AND n_lanes > 0 THEN 1 ELSE 0 END::INT AS n_polygons, n_agents, n_steps, n_valid, round(last_t, 6) AS last_t, round(ego_x, 6) AS ego_x, agent_states, round(coalesce(middle_y, 0.0), 6) AS middle_y
+FROM e LEFT JOIN l USING (scenario_id) WHERE n_steps > 0""",
+    "r23_cycle_trace": """WITH c AS (
+  SELECT l_orderkey // 100 AS scenario_id, l_orderkey AS step, l_linenumber::BIGINT * 100000000 + round(l_extendedprice * 100)::BIGINT AS candidate, l_returnflag <> 'R' AS feasible, l_extendedprice / 1000 AS target_v, l_tax AS target_d, l_quantity * 0.5 AS a, l_discount * 100 * 2.0 AS b, l_tax * 100 AS c FROM lineitem
+), r AS (
+  SELECT *, a + b + c AS total, row_number() OVER (PARTITION BY step ORDER BY NOT feasible, round((a + b + c)::DOUBLE, 9), candidate) AS nth, count(*) OVER (PARTITION BY step) AS n_candidates, count(*) FILTER (WHERE feasible) OVER (PARTITION BY step) AS n_feasible FROM c
+) SELECT scenario_id, step, candidate AS chosen, round(total::DOUBLE, 6) AS total, unnest(['progress', 'comfort', 'lateral']) AS term, round(unnest([a::DOUBLE, b::DOUBLE, c::DOUBLE]), 6) AS cost, round(unnest([a::DOUBLE, b::DOUBLE, c::DOUBLE]) / total::DOUBLE, 6) AS share,
+  n_candidates, n_feasible, feasible, round(target_v::DOUBLE, 6) AS target_v, round(target_d::DOUBLE, 6) AS target_d FROM r WHERE nth = 1""",
     "m6_logged_states": f"""WITH {_STATES}, {_ROAD}, t AS (
   SELECT user_id // 7 AS scenario_id, user_id % 7 AS agent_idx, step, k % 4 <> CASE WHEN user_id % 7 = 0 THEN 3 ELSE 0 END AS valid, ['vehicle', 'pedestrian', 'static', 'bus'][(user_id % 4 + 1)::INT] AS kind, x * 1.2 AS x, (k % 10 - 4)::DOUBLE AS y, heading FROM s
 ), own AS (

@@ -20,9 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared one."""
+    return f"{shared_folder(spark)}/tarnspark-work/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
     """df written as a work table and read again, which cuts its lineage: a lost executor costs no more than a read."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tarnspark-work/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    path = work_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
