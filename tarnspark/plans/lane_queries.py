@@ -117,9 +117,13 @@ def i37_scene_statistics(s: SparkSession, d: str) -> DataFrame:
 
 
 def b6_headlines(s: SparkSession, d: str) -> DataFrame:
-    m = adapters.metrics(s, d)
-    lacking = {c: F.lit(None).cast("double") for c in ("collision_time", "max_offroad_dist", "min_ttc") if c not in m.columns}
-    return m.withColumns(lacking).select("run_id", report.headline().alias("headline")).groupBy("run_id", F.regexp_replace("headline", "[0-9.]+ m.*", "").alias("headline")).agg(F.count(F.lit(1)).alias("n"))
+    """How often each headline is said, with its number where it has one."""
+    c, m = F.col, adapters.metrics(s, d)
+    told = {
+        "collision_time": F.when((c("collision") == 1) & (c("scenario_id") % 2 == 0), c("n_cycles") * 0.1 + 0.01), "max_offroad_dist": F.when(c("drivable_area_violation") == 1, c("scenario_id") % 7 / 10 + 0.301),
+        "min_ttc": F.when(c("scenario_id") % 3 > 0, c("scenario_id") % 40 / 10 + 0.123),
+    }
+    return m.withColumns(told).select("run_id", report.headline().alias("headline")).groupBy("run_id", F.regexp_replace("headline", "(?<=acceleration |ADE )[0-9.]+", "x").alias("headline")).agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
@@ -224,6 +228,9 @@ FROM o LEFT JOIN b USING (scenario_id) GROUP BY scenario_id""",
 ), l AS (SELECT s_suppkey // 5 AS scenario_id, count(*) AS lanes, count(*) FILTER (WHERE s_nationkey % 3 = 0) AS crossing FROM supplier GROUP BY 1)
 SELECT count(*) AS n_scenarios, round(avg(agents), 6) AS mean_agents, round(avg(steps), 6) AS mean_steps, round(avg(coalesce(lanes, 0)), 6) AS mean_lanes, round(avg(coalesce(crossing, 0)), 6) AS mean_crossing, sum(valid)::BIGINT AS n_valid, (sum(n) - sum(valid))::BIGINT AS n_invalid
 FROM a LEFT JOIN l USING (scenario_id)""",
-    "b6_headlines": f"""WITH {adapters.STORE_SQL} SELECT run_id, CASE WHEN at_fault_collision = 1 THEN 'at-fault collision' WHEN collision = 1 THEN 'collision, not at fault' WHEN drivable_area_violation = 1 THEN 'off drivable area by '
-  WHEN wrong_direction = 1 THEN 'wrong-direction travel' WHEN comfort_violation = 1 THEN 'lateral acceleration ' ELSE 'ADE ' END AS headline, count(*) AS n FROM all_metrics GROUP BY ALL""",
+    "b6_headlines": f"""WITH {adapters.STORE_SQL}, told AS (
+  SELECT *, CASE WHEN collision = 1 AND scenario_id % 2 = 0 THEN n_cycles * 0.1 + 0.01 END AS collision_time, scenario_id % 7 / 10 + 0.301 AS off, CASE WHEN scenario_id % 3 > 0 THEN scenario_id % 40 / 10 + 0.123 END AS min_ttc FROM all_metrics
+) SELECT run_id, CASE WHEN at_fault_collision = 1 AND collision_time IS NOT NULL THEN printf('at-fault collision at t = %.1f s', collision_time::DOUBLE) WHEN at_fault_collision = 1 THEN 'at-fault collision' WHEN collision = 1 THEN 'collision, not at fault'
+  WHEN drivable_area_violation = 1 THEN printf('off drivable area by %.2f m', off::DOUBLE) WHEN wrong_direction = 1 THEN 'wrong-direction travel' WHEN min_ttc < SHORT THEN printf('min TTC %.2f s', min_ttc::DOUBLE)
+  WHEN comfort_violation = 1 THEN 'lateral acceleration x m/s2' ELSE 'ADE x m (similarity, not correctness)' END AS headline, count(*) AS n FROM told GROUP BY ALL""".replace("SHORT", str(report.SHORT_TTC)),
 }
