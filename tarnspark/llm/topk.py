@@ -42,11 +42,16 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return d.select(F.col(id_col).cast("long").alias("id"), F.size(vector_col).alias("dim"), F.transform(v, whole).alias("v"))
 
 
+def _largest(x: np.ndarray) -> float:
+    """The greatest absolute value, without a copy of x."""
+    return max(float(x.max(initial=0)), -float(x.min(initial=0)))
+
+
 def product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact integer inner products; by floating point where every sum is below 2^53, by Python's integers where one might not fit 64 bits. Raises where one does not."""
     if not q.size or not x.size:
         return np.zeros((len(q), len(x)), np.int64)
-    most = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(x.astype(np.float64)).max()) * q.shape[1]
+    most = _largest(q) * _largest(x) * q.shape[1]
     if most < 2.0**53:
         return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
     if most < 2.0**62:
@@ -60,7 +65,7 @@ def product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def block_bounds(q: np.ndarray, top: np.ndarray, low: np.ndarray) -> np.ndarray:
     """The most that a query scores in each block; held at the largest 64-bit value, which no score exceeds, so nothing is pruned wrongly."""
     parts = (np.maximum(q, 0), top), (np.minimum(q, 0), low)
-    most = sum(float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * q.shape[1] for a, b in parts)
+    most = sum(_largest(a) * _largest(b) * q.shape[1] for a, b in parts)
     if most < 2.0**62:
         return sum(product(a, b) for a, b in parts)
     whole = sum(a.astype(object) @ b.T.astype(object) for a, b in parts)
