@@ -119,7 +119,7 @@ def m6_logged_states(s: SparkSession, d: str) -> DataFrame:
     c, ego = F.col, kept(logged.ego_states(t), "ego")
     others = t.where("agent_idx > 0 AND valid")
     boxed = ego.select(*key, "x", "y", "heading", (c("v") * F.cos("heading")).alias("vx"), (c("v") * F.sin("heading")).alias("vy"), F.lit(4.8).alias("length"), F.lit(2.0).alias("width"))
-    out = ego.select(*key, "x", "y", "v", "a_lon", "yaw_rate", "jerk")
+    out = ego.select(*key, "x", "y", "v", "a_lon", F.abs("yaw_rate").alias("yaw_rate"), "jerk")  # an exact half turn has no sign
     out = out.join(logged.off_road(ego, areas(s, d)), key, "left").join(logged.collisions(ego, others), key, "left").join(scene.time_to_collision(boxed, others), key)
     turned = lanes.wrong_direction(ego.withColumnRenamed("step", "point_id"), road(s, d)).withColumnRenamed("point_id", "step")
     return _rounded(out.join(turned, key), 4)
@@ -274,6 +274,6 @@ FROM e LEFT JOIN l USING (scenario_id) WHERE n_steps > 0""",
     SELECT *, sqrt((x - ax - u * (zx - ax)) ** 2 + (y - ay - u * (zy - ay)) ** 2) AS away FROM (
       SELECT ego.scenario_id, step, x, y, lane_idx, part, ax, ay, zx, zy, {_WRAP("heading - atan2(zy - ay, zx - ax)")} AS error, greatest(0.0, least(1.0, ((x - ax) * (zx - ax) + (y - ay) * (zy - ay)) / ((zx - ax) ** 2 + (zy - ay) ** 2))) AS u FROM ego JOIN seg USING (scenario_id))) GROUP BY ALL
 ), against AS (SELECT scenario_id, step, min(error) AS heading_error FROM match WHERE away <= 5 GROUP BY ALL)
-SELECT scenario_id, step, round(x, 4) AS x, round(y, 4) AS y, round(v, 4) AS v, round(a_lon, 4) AS a_lon, round(yaw_rate, 4) AS yaw_rate, round(jerk, 4) AS jerk, round(offroad, 4) AS offroad, collision_agent, collision_agent_type, ego_struck_from_behind,
+SELECT scenario_id, step, round(x, 4) AS x, round(y, 4) AS y, round(v, 4) AS v, round(a_lon, 4) AS a_lon, round(abs(yaw_rate), 4) AS yaw_rate, round(jerk, 4) AS jerk, round(offroad, 4) AS offroad, collision_agent, collision_agent_type, ego_struck_from_behind,
   round(min_ttc, 4) AS min_ttc, round(heading_error, 4) AS heading_error FROM ego LEFT JOIN offroad USING (scenario_id, step) LEFT JOIN hit USING (scenario_id, step) LEFT JOIN ttc USING (scenario_id, step) LEFT JOIN against USING (scenario_id, step)""",
 }
