@@ -12,9 +12,13 @@ import math
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnspark.functions.geometry import curvature, distance, lerp_angle, wrap_angle
 from tarnspark.operators.lanes import DRIVABLE, lane_matches, smoothed
@@ -29,6 +33,8 @@ START_LATERAL, START_TURN, GOAL_LATERAL, HALF_LANE = 4.0, math.pi / 2, 8.0, 1.75
 OUTCOMES = ("no_lanes", "no_start_lane", "no_goal_lane", "unreachable", "ok")
 # Fixed values of reference paths: spacing (m), length of a lane change (m), smoothing passes, most samples, run-up before the start (m), reach of the lane that is left (m), least gap between points (m).
 PATH_STEP, CHANGE_LENGTH, PASSES, MAX_PATH, RUN_UP, LEFT_REACH, LEAST_GAP = 0.5, 25.0, 2, 1 << 18, 2.0, 12.0, 0.05
+#: Distances that a task holds at a time when it looks for nearest samples.
+CELLS = 1 << 20
 ROUTE = "array<struct<lane_idx: bigint, lane_change: boolean>>"
 
 
@@ -253,32 +259,72 @@ def to_cartesian(path: Column, s: Column, d: Column, step: float = PATH_STEP) ->
     return F.struct((p["x"] - F.sin(p["heading"]) * d).alias("x"), (p["y"] + F.cos(p["heading"]) * d).alias("y"))
 
 
+def wrapped(a: np.ndarray) -> np.ndarray:
+    """geometry.wrap_angle of an array."""
+    r = np.fmod(a, 2 * np.pi)
+    return np.where(r > np.pi, r - 2 * np.pi, np.where(r <= -np.pi, r + 2 * np.pi, r))
+
+
+def nearest_samples(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> np.ndarray:
+    """Index of the sample (qx, qy) that is nearest to each point (x, y), the first of equally near ones; at most CELLS distances are held at a time."""
+    rows = max(1, CELLS // len(qx))
+    square = lambda i: (x[i : i + rows, None] - qx) ** 2 + (y[i : i + rows, None] - qy) ** 2
+    return np.concatenate([square(i).argmin(axis=1) for i in range(0, len(x), rows)])
+
+
+def along_path(x: np.ndarray, y: np.ndarray, k: np.ndarray, path: tuple[np.ndarray, ...], first: np.ndarray, n: np.ndarray, step: float) -> tuple[np.ndarray, ...]:  # noqa: PLR0913
+    """(distance, s, d) of points from segment k of their path, which is n samples of `path` (x and y) from `first` on; the distance is infinite where the path has no such segment or
+    its length is none."""
+    qx, qy = path
+    j = first + np.clip(k, 0, n - 2)
+    ux, uy = qx[j + 1] - qx[j], qy[j + 1] - qy[j]
+    size = ux * ux + uy * uy
+    t = np.clip(((x - qx[j]) * ux + (y - qy[j]) * uy) / size, 0.0, 1.0)
+    gx, gy = x - qx[j] - ux * t, y - qy[j] - uy * t
+    away = np.where((k >= 0) & (k + 1 < n) & (size > EPS), np.sqrt(gx * gx + gy * gy), np.inf)
+    return away, (k + t) * step, (gy * ux - gx * uy) / np.sqrt(size)
+
+
 def to_frenet(points: DataFrame, paths: DataFrame, keys: list[str], step: float = PATH_STEP) -> DataFrame:
     """points (keys, point_id, x, y, heading, v) along their path (keys, path): keys, point_id, s, d (left is positive), ds, dd (speeds along and across), path_length, and speed_prior, lane_idx
-    and is_intersection of the sample before s. Points without a path are left out.
+    and is_intersection of the sample before s. Points without a path of two samples are left out; a point whose place is NULL or not finite stays, with NULLs, and without
+    heading or v only its speeds are NULL.
 
-    A path's points come to it as one array, so the path is not copied for each of them. The nearest sample is found first, then the nearest place on the two
-    segments that meet there. Every stage is an array of its own, as an expression that is used twice inside a lambda is computed twice.
+    The nearest sample is found first, then the nearest place on the two segments that meet there. A partition's points of a path come to it as one
+    array, so the path is not copied for each of them, and no array holds more of a path's points than one partition had.
     """
     c = F.col
-    d = points.groupBy(*keys).agg(F.collect_list(F.struct("point_id", "x", "y", "heading", "v")).alias("p")).join(paths.select(*keys, "path", "length"), keys)
-    square = lambda p, q: (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])
-    nearest = lambda p: F.array_min(F.transform("path", lambda q, i: F.struct(square(p, q).alias("away"), i.alias("i"))))["i"]
-    d = d.withColumn("p", F.transform("p", lambda p: F.struct(p.alias("p"), nearest(p).alias("i"))))
-
-    def on(p: Column, i: Column) -> Column:
-        a, b = F.get("path", i), F.get("path", i + 1)
-        ux, uy = b["x"] - a["x"], b["y"] - a["y"]
-        size = ux * ux + uy * uy
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p["x"] - a["x"]) * ux + (p["y"] - a["y"]) * uy) / size))
-        gx, gy = p["x"] - a["x"] - ux * t, p["y"] - a["y"] - uy * t
-        found = F.struct(F.sqrt(gx * gx + gy * gy).alias("away"), i.alias("i"), ((i + t) * step).alias("s"), ((gy * ux - gx * uy) / F.sqrt(size)).alias("d"))
-        return F.when((i >= 0) & (i + 1 < F.size("path")) & (size > EPS), found)
-
-    d = d.withColumn("p", F.transform("p", lambda x: F.struct(x["p"].alias("p"), F.array_min(F.array_compact(F.array(on(x["p"], x["i"] - 1), on(x["p"], x["i"])))).alias("f"))))
-    d = d.withColumn("p", F.transform("p", lambda x: F.struct(x["p"].alias("p"), x["f"].alias("f"), path_pose(c("path"), x["f"]["s"], step).alias("pose"))))
-    d = d.select(*keys, "path", "length", F.explode("p").alias("x")).select(*keys, "length", c("x.p").alias("p"), c("x.f").alias("f"), wrap_angle(c("x.p.heading") - c("x.pose.heading")).alias("turn"), F.get("path", c("x.pose.i")).alias("at"))
-    return d.select(*keys, "p.point_id", "f.s", "f.d", (c("p.v") * F.cos("turn")).alias("ds"), (c("p.v") * F.sin("turn")).alias("dd"), c("length").alias("path_length"), "at.speed_prior", "at.lane_idx", "at.is_intersection")
+    pack = F.collect_list(F.struct("point_id", *[c(a).cast("double").alias(a) for a in ("x", "y", "heading", "v")])).alias("_points")
+    packs = points.withColumn("_part", F.spark_partition_id()).groupBy(*keys, "_part").agg(pack).drop("_part")
+    d = packs.join(paths.where(F.size("path") >= 2).select(*keys, "path", "length"), keys)
+    of_path = ("speed_prior", "lane_idx", "is_intersection")
+    sample = d.schema["path"].dataType.elementType
+    double = lambda *names: [T.StructField(a, T.DoubleType()) for a in names]
+    schema = T.StructType([*[d.schema[k] for k in keys], points.schema["point_id"], *double("s", "d", "ds", "dd", "path_length"), *[sample[a] for a in of_path]])
+
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, counts = (np.asarray(b.column(a).value_lengths()).astype(np.int64) for a in ("path", "_points"))
+            q, p = b.column("path").flatten(), b.column("_points").flatten()
+            qx, qy, qh = (q.field(a).to_numpy(zero_copy_only=False) for a in ("x", "y", "heading"))
+            x, y, heading, v = (p.field(a).to_numpy(zero_copy_only=False) for a in ("x", "y", "heading", "v"))
+            row, begin, end = np.repeat(np.arange(b.num_rows), counts), sizes.cumsum() - sizes, counts.cumsum()
+            first, n = begin[row], sizes[row]
+            with np.errstate(all="ignore"):
+                near = [nearest_samples(x[e - m : e], y[e - m : e], qx[f : f + k], qy[f : f + k]) for e, m, f, k in zip(end, counts, begin, sizes, strict=True)]
+                i = np.concatenate(near) if near else np.empty(0, np.int64)
+                before, after = (along_path(x, y, k, (qx, qy), first, n, step) for k in (i - 1, i))
+                away, s, side = (np.where(before[0] <= after[0], one, other) for one, other in zip(before, after, strict=True))
+                lacks = ~np.isfinite(away)
+                at = np.where(lacks, 0, np.minimum(np.floor(np.clip(s, 0.0, (n - 1) * step) / step), n - 1)).astype(np.int64)
+                a, t = qh[first + at], np.clip((s - at * step) / step, 0.0, 1.0)
+                turn = wrapped(heading - wrapped(a + t * wrapped(qh[first + np.minimum(at + 1, n - 1)] - a)))
+                found = (s, side, v * np.cos(turn), v * np.sin(turn))
+            of = q.take(pa.array(first + at, mask=lacks))
+            numbers = [pa.array(np.where(lacks, np.nan, u), from_pandas=True) for u in found]
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(row)) for k in keys], p.field("point_id"), *numbers, b.column("length").take(pa.array(row)), *[pc.struct_field(of, a) for a in of_path]], names=schema.names)
+
+    return d.mapInArrow(located, schema)
 
 
 def route_features(routes: DataFrame, paths: DataFrame, graph: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,30 @@ def test_paths_against_plain_version(spark, sf_dir):
         assert r["ds"] ** 2 + r["dd"] ** 2 == pytest.approx((e["k"] / 4) ** 2, abs=1e-4)
 
 
+def test_frenet_places_that_are_not_there(spark):
+    sample = "array<struct<i: long, s: double, x: double, y: double, heading: double, curvature: double, speed_prior: double, lane_idx: long, is_intersection: boolean>>"
+    straight = [(i, i * 0.5, i * 0.5, 0.0, 0.0, 0.0, 7.0, 3, i > 3) for i in range(8)]
+    paths = spark.createDataFrame([(1, 3.5, straight), (2, 0.0, straight[:1]), (3, 0.0, None), (4, 0.5, [straight[0], straight[0]])], f"scenario_id long, length double, path {sample}")
+    rows = [(1, 0, 1.2, 0.5, 0.0, 2.0), (1, 1, None, 0.5, 0.0, 2.0), (1, 2, float("nan"), 0.5, 0.0, 2.0), (1, 3, 9.0, 9.0, None, 2.0), (1, 4, -3.0, -1.0, 0.0, None), (2, 5, 0.0, 0.0, 0.0, 1.0), (3, 6, 0.0, 0.0, 0.0, 1.0), (4, 7, 0.0, 0.0, 0.0, 1.0), (5, 8, 0.0, 0.0, 0.0, 1.0)]
+    kind = "scenario_id long, point_id long, x double, y double, heading double, v double"
+    got = {r["point_id"]: r for r in routes.to_frenet(spark.createDataFrame(rows, kind), paths, ["scenario_id"]).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 7]  # no path, or none of two samples, no row
+    assert (got[0]["s"], got[0]["d"], got[0]["ds"], got[0]["dd"], got[0]["is_intersection"]) == pytest.approx((1.2, 0.5, 2.0, 0.0, False))
+    for i in (1, 2, 7):  # no place, no finite one, a path without length
+        assert [got[i][a] for a in ("s", "d", "ds", "dd", "speed_prior", "lane_idx", "is_intersection")] == [None] * 7
+    assert (got[3]["s"], got[3]["d"], got[3]["ds"], got[3]["lane_idx"], got[3]["is_intersection"]) == (3.5, 9.0, None, 3, True)
+    assert (got[4]["s"], got[4]["d"], got[4]["dd"]) == (0.0, -1.0, None)
+    assert routes.to_frenet(spark.createDataFrame([], kind), paths, ["scenario_id"]).count() == 0
+
+
+def test_nearest_samples_in_blocks(monkeypatch):
+    monkeypatch.setattr(routes, "CELLS", 7)
+    rng = np.random.default_rng(5)
+    x, y, qx, qy = (rng.integers(0, 6, n).astype(float) for n in (50, 50, 5, 5))
+    want = [min(range(5), key=lambda i: ((x[k] - qx[i]) ** 2 + (y[k] - qy[i]) ** 2, i)) for k in range(50)]
+    assert routes.nearest_samples(x, y, qx, qy).tolist() == want
+
+
 def test_frenet_round_trip(spark):
     rows = [lane(0, (0, 0), (30, 40))]
     graph = routes.lane_graph(spark.createDataFrame(rows, LANE))
