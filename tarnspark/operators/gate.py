@@ -74,12 +74,15 @@ def run_gate(
         if len({s for s, _ in named}) < len(named):
             raise ValueError("two scopes have one name")
     cells = spark.createDataFrame([(s, m, seed + SEED_STEP * si + mi) for s, si in named for mi, m in enumerate(metrics)], "scope string, metric string, seed long")
-    values = lambda d, name: d.select("scenario_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*[F.col(m).cast("double") for m in metrics]))).alias("metric", name)).where(F.col(name).isNotNull() & ~F.isnan(name))
-    pairs = values(baseline, "a").join(values(candidate, "b"), ["scenario_id", "metric"])
-    placed = pairs.withColumn("scope", F.lit(OVERALL))
+    # Scenarios are joined as they are, and unfolded by scope and metric only then: what is shuffled does not grow with the number of metrics or scopes.
+    side = lambda d, name: d.select("scenario_id", F.array(*[F.col(m).cast("double") for m in metrics]).alias(name))
+    placed, inside = side(baseline, "a").join(side(candidate, "b"), "scenario_id"), F.array(F.lit(OVERALL))
     if scopes is not None:
-        placed = placed.unionByName(pairs.join(scopes.select("scope", "scenario_id").distinct(), "scenario_id"))
-    placed = placed.join(F.broadcast(cells), ["scope", "metric"])
+        placed = placed.join(scopes.groupBy("scenario_id").agg(F.collect_set("scope").alias("inside")), "scenario_id", "left")
+        inside = F.concat(inside, F.coalesce("inside", F.array().cast("array<string>")))
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col("a")[i].alias("a"), F.col("b")[i].alias("b")) for i, m in enumerate(metrics)])
+    placed = placed.select("scenario_id", F.explode(inside).alias("scope"), values.alias("values")).select("scenario_id", "scope", F.inline("values"))
+    placed = placed.where(" AND ".join(f"{x} IS NOT NULL AND NOT isnan({x})" for x in "ab")).join(F.broadcast(cells), ["scope", "metric"])
 
     groups: dict[Statistic, list[str]] = {}
     for m in metrics:
