@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnspark.functions.geometry import curvature, distance, lerp_angle, wrap_angle
-from tarnspark.operators.lanes import DRIVABLE, lane_matches, smoothed
+from tarnspark.operators.lanes import DRIVABLE, lane_matches, shuffled, smoothed
 
 # Spacing of a lane's samples (m) and the most it may have; lengths that count as none.
 SPACING, MAX_SAMPLES, EPS = 1.0, 1 << 16, 1e-9
@@ -213,8 +213,8 @@ def reference_paths(routes: DataFrame, graph: DataFrame, step: float = PATH_STEP
     c, key = F.col, ["scenario_id", "request_id"]
     hops = F.transform("route", lambda h, k: F.struct(k.alias("k"), h["lane_idx"].alias("lane_idx"), F.when(h["lane_change"] & (k > 0), F.get("route", k - 1)["lane_idx"]).alias("before")))
     r = routes.where("status = 'ok'").select(*key, "start_s", F.explode(hops).alias("h")).select(*key, "start_s", "h.*")
-    r = r.join(graph.select("scenario_id", "lane_idx", "samples", "speed_prior", "is_intersection"), ["scenario_id", "lane_idx"])
-    r = r.join(graph.select("scenario_id", c("lane_idx").alias("before"), c("samples").alias("left")), ["scenario_id", "before"], "left")
+    r = r.join(shuffled(graph.select("scenario_id", "lane_idx", "samples", "speed_prior", "is_intersection")), ["scenario_id", "lane_idx"])
+    r = r.join(shuffled(graph.select("scenario_id", c("lane_idx").alias("before"), c("samples").alias("left"))), ["scenario_id", "before"], "left")
     since = F.when(c("k") == 0, F.greatest(F.lit(0.0), c("start_s") - RUN_UP)).otherwise(0.0)
     ahead = F.filter("samples", lambda p: p["s"] >= since)
     near = F.transform(ahead, lambda p: F.struct(p["i"].alias("j"), p["s"].alias("s"), p["x"].alias("x"), p["y"].alias("y"), F.when(c("left").isNotNull(), nearest_on(c("left"), p["x"], p["y"])).alias("from")))

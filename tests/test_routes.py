@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnspark.operators import lanes, routes
 from tarnspark.plans import route_queries
+from tarnspark.sources.work import kept
 
 from . import plain_routes as plain
 
@@ -167,3 +169,17 @@ def test_frenet_round_trip(spark):
         assert (f["ds"], f["dd"], f["lane_idx"]) == pytest.approx((2 * 0.6, -2 * 0.8, 0), abs=1e-6)
     features = lanes.path_features(routes.route_features(r, path, graph)).first()
     assert features["route_len_m"] in (49.5, 50.0) and features["max_abs_curvature"] < 1e-9 and features["route_lane_changes"] == 0
+
+
+def test_polylines_are_not_broadcast(spark):
+    graph = kept(routes.lane_graph(spark.createDataFrame([lane(0, (0, 0), (30, 40)), lane(1, (30, 40), (60, 80))], LANE)), "lane-graph")
+    asked = spark.createDataFrame([(1, 5, 1.0, 1.0, 0.9, 50.0, 66.0)], ASK)
+    r = kept(routes.find_routes(graph, spark.createDataFrame([(1, 0, 1, "succ")], EDGE), asked), "routes")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(routes.reference_paths(r, graph))
+    paths = kept(routes.reference_paths(r, graph), "paths")
+    points = kept(asked.select("scenario_id", "request_id", F.lit(1).alias("point_id"), "x", "y", "heading", F.lit(1.0).alias("v")), "points")
+    of = lanes.lane_matches(points.drop("request_id"), graph.select("scenario_id", "lane_idx", F.transform("samples", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points")), 4.0)
+    for d in (of,):
+        assert re.search(r"\w+Join", plan(d)).group() == "SortMergeJoin"
+        assert d.count()
