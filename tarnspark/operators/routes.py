@@ -334,4 +334,4 @@ def route_features(routes: DataFrame, paths: DataFrame, graph: DataFrame) -> Dat
     hop = hop.join(graph.select("scenario_id", "lane_idx", "is_intersection"), ["scenario_id", "lane_idx"])
     route = hop.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "lane_idx", "is_intersection", "lane_change"))), lambda h: F.struct(h["lane_idx"].alias("lane_idx"), h["is_intersection"].alias("is_intersection"), h["lane_change"].alias("lane_change"))).alias("route"))
     of = lambda a: F.transform("path", lambda p: p[a]).alias(a)
-    return paths.select(*key, of("s"), of("curvature")).join(route, key)
+    return shuffled(paths.select(*key, of("s"), of("curvature"))).join(route, key)
