@@ -296,7 +296,7 @@ def to_frenet(points: DataFrame, paths: DataFrame, keys: list[str], step: float
     c = F.col
     pack = F.collect_list(F.struct("point_id", *[c(a).cast("double").alias(a) for a in ("x", "y", "heading", "v")])).alias("_points")
     packs = points.withColumn("_part", F.spark_partition_id()).groupBy(*keys, "_part").agg(pack).drop("_part")
-    d = packs.join(paths.where(F.size("path") >= 2).select(*keys, "path", "length"), keys)
+    d = packs.join(shuffled(paths.where(F.size("path") >= 2).select(*keys, "path", "length")), keys)
     of_path = ("speed_prior", "lane_idx", "is_intersection")
     sample = d.schema["path"].dataType.elementType
     double = lambda *names: [T.StructField(a, T.DoubleType()) for a in names]

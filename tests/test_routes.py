@@ -180,6 +180,6 @@ def test_polylines_are_not_broadcast(spark):
     paths = kept(routes.reference_paths(r, graph), "paths")
     points = kept(asked.select("scenario_id", "request_id", F.lit(1).alias("point_id"), "x", "y", "heading", F.lit(1.0).alias("v")), "points")
     of = lanes.lane_matches(points.drop("request_id"), graph.select("scenario_id", "lane_idx", F.transform("samples", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points")), 4.0)
-    for d in (routes.route_features(r, paths, graph), of):
+    for d in (routes.to_frenet(points, paths, ["scenario_id", "request_id"]), routes.route_features(r, paths, graph), of):
         assert re.search(r"\w+Join", plan(d)).group() == "SortMergeJoin"
         assert d.count()
