@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnspark.functions.quantiles import quantiles, with_few
 from tarnspark.functions.stats import kendall_tau, wilson
+from tarnspark.sources.work import kept
 
 from . import bootstrap
 
@@ -62,11 +64,15 @@ def latency_aggregates(metrics: DataFrame, runs: DataFrame, run_ids: list[str])
     labels = [r[0] for r in chosen.select("hardware").distinct().limit(2).collect()]
     if len(labels) > 1:
         raise ValueError(f"runs of different hardware can't be blended: {sorted(map(str, labels))}")
-    d = _ok(metrics).join(F.broadcast(chosen.select("run_id", "hardware")), "run_id").where("n_cycles > 0")
-    return d.groupBy("hardware").agg(
-        F.count(F.lit(1)).alias("n_scenarios"), F.sum("n_cycles").alias("n_cycles"), F.percentile("plan_us_p50", F.lit(0.5)).alias("p50_median"), F.percentile("plan_us_p50", F.lit(0.9)).alias("p50_p90"),
-        F.percentile("plan_us_p99", F.lit(0.5)).alias("p99_median"), (F.sum(F.col("plan_us_mean") * F.col("n_cycles")) / F.nullif(F.sum("n_cycles"), F.lit(0))).alias("mean_weighted"), F.max("plan_us_max").alias("max_us"),
+    columns = ("n_cycles", "plan_us_p50", "plan_us_p99", "plan_us_mean", "plan_us_max")
+    d = kept(_ok(metrics).join(F.broadcast(chosen.select("run_id", "hardware")), "run_id").where("n_cycles > 0").select("hardware", *columns), "latency")
+    out = d.groupBy("hardware").agg(
+        F.count(F.lit(1)).alias("n_scenarios"), F.sum("n_cycles").alias("n_cycles"),
+        (F.sum(F.col("plan_us_mean") * F.col("n_cycles")) / F.nullif(F.sum("n_cycles"), F.lit(0))).alias("mean_weighted"), F.max("plan_us_max").alias("max_us"),
     )
+    for q in (quantiles(d, ["hardware"], "plan_us_p50", {"p50_median": 0.5, "p50_p90": 0.9}), quantiles(d, ["hardware"], "plan_us_p99", {"p99_median": 0.5})):
+        out = with_few(out, q, ["hardware"], "left")
+    return out.select("hardware", "n_scenarios", "n_cycles", "p50_median", "p50_p90", "p99_median", "mean_weighted", "max_us")
 
 
 def paired_by_mode(metrics: DataFrame, runs: DataFrame, metric: str, modes: tuple[str, str] = ("log_replay", "reactive"), *, dataset: str, planner: str) -> DataFrame:

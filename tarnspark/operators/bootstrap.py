@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnspark.functions.quantiles import quantiles, with_few
+from tarnspark.sources.work import kept
+
 #: Weights drawn at once, and cells held before their sums are given on.
 DRAWN, CELLS = 1_000_000, 200
 #: Replicates that one task draws for a statistic of values.
@@ -100,9 +103,11 @@ def log_mean(total: Column, n: Column) -> Column:
 
 @dataclass(frozen=True)
 class OverValues:
-    """A statistic of a cell's values: of(sorted distinct values, whole weights (value, replicate)) gives one number a replicate, NaN where there is none."""
+    """A statistic of a cell's values: of(sorted distinct values, whole weights (value, replicate)) gives one number a replicate, NaN where there is none. q: the quantile that it is, if it
+    is one."""
 
     of: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    q: float | None = None
 
 
 def quantile(q: float) -> OverValues:
@@ -116,7 +121,7 @@ def quantile(q: float) -> OverValues:
         first, second = pick(low), pick(np.minimum(low + 1, upto[-1] - 1))
         return np.where(upto[-1] > 0, first + (second - first) * (at - low), np.nan)
 
-    return OverValues(of)
+    return OverValues(of, q)
 
 
 median = quantile(0.5)
@@ -171,10 +176,12 @@ def paired_cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, a: st
 def paired_value_bootstrap(df: DataFrame, keys: list[str], cluster: str, a: str, b: str, *, seed: int | Column, n_boot: int = 10_000, alpha: float = 0.05, statistic: OverValues) -> DataFrame:
     """paired_cluster_bootstrap()'s rows for a statistic of values, such as a median: both arms take the same weights, and those of a cluster go to all its rows.
 
-    A task draws REPLICATES replicates of a cell and holds the cell's distinct pairs of values (of one-row clusters; else its rows): stored metrics have six
+    A quantile without draws goes by sorted ranges of values, and no task holds a cell. Else a task draws REPLICATES replicates of a cell and holds the cell's distinct pairs of values (of one-row clusters; else its rows): stored metrics have six
     digits, so these are bounded by the digits, not by the number of scenarios, unless clusters have several rows each.
     """
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(cluster).alias("__cluster"), F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"), (seed if isinstance(seed, Column) else F.lit(seed)).alias("__seed"))
+    if n_boot <= 0 and statistic.q is not None:
+        return _paired_quantiles(d, keys, statistic.q)
     rows = F.array_sort(F.collect_list(F.struct("__a", "__b")))
     d = d.groupBy(*keys, "__cluster", "__seed").agg(rows.alias("rows")).groupBy(*keys, "__seed", "rows").agg(F.count(F.lit(1)).alias("__times"))
     d = d.withColumn("__mark", F.xxhash64("__seed", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.to_json("rows"))).drop("__seed")
@@ -215,3 +222,13 @@ def paired_value_bootstrap(df: DataFrame, keys: list[str], cluster: str, a: str,
     )
     bound = lambda c: _alone(c, "n_clusters")
     return out.select(*keys, "n_clusters", "n_paired", "first", "second", "delta", bound(F.col("__ci")[0]).alias("delta_lo"), bound(F.col("__ci")[1]).alias("delta_hi"), bound(F.col("p_value")).alias("p_value"))
+
+
+def _paired_quantiles(d: DataFrame, keys: list[str], q: float) -> DataFrame:
+    """paired_value_bootstrap()'s rows of a quantile without draws. d: *keys, __cluster, __a, __b."""
+    d = kept(d.select(*keys, "__cluster", "__a", "__b"), "pairs")
+    out = d.groupBy(*keys, "__cluster").agg(F.count(F.lit(1)).alias("__rows")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("__rows").alias("n_paired"))
+    for arm, name in (("__a", "first"), ("__b", "second")):
+        out = with_few(out, quantiles(d, keys, arm, {name: q}), keys)
+    delta, none = F.nanvl(F.col("second") - F.col("first"), F.lit(None).cast("double")), F.lit(None).cast("double")
+    return out.select(*keys, "n_clusters", "n_paired", "first", "second", delta.alias("delta"), *[_alone(none, "n_clusters").alias(c) for c in ("delta_lo", "delta_hi", "p_value")])
