@@ -7,7 +7,7 @@ import random
 
 import duckdb
 
-from tarnspark.plans import route_queries
+from tarnspark.plans import lane_queries, route_queries
 
 from .conftest import sorted_rows
 
@@ -36,3 +36,17 @@ def test_logged_states_beyond_a_bend(spark, tmp_path):
     suppliers = [(draw.choice((0, 1, 2, 3)), round(draw.uniform(0, 9999), 2)) for _ in range(5 * 150)]
     events = [(7 * scene, x, draw.randint(0, 9) * 10 + y) for scene in range(150) for x, y in ((50.0, 8), (50.0, 2), (83.33, 6), (16.67, 7), (50.0, 5))]
     assert not differing(spark, tmp_path, "m6_logged_states", route_queries, events, suppliers)
+
+
+def test_wrong_direction_beyond_a_bend(spark, tmp_path):
+    """Tracks' points about 3 m beyond the bends of their scenes' lanes."""
+    draw = random.Random(5)
+    suppliers = [(draw.choice([n for n in range(25) if n % 5 != 4]), round(draw.uniform(0, 9999), 2)) for _ in range(5 * 150)]
+    events = []
+    for key, (nation, balance) in enumerate(suppliers):
+        a = nation * math.pi / 12.5
+        out = a + 0.25 - math.pi / 2  # between the two segments' right-hand normals
+        x, y = balance % 100 + 40 * math.cos(a) + 3 * math.cos(out), key * 37 % 100 + 40 * math.sin(a) + 3 * math.sin(out)
+        if 0 <= round(y) <= 99:
+            events.append((7 * (key // 5) + key % 5, round(x, 2), round(y)))
+    assert not differing(spark, tmp_path, "m7_wrong_direction", lane_queries, events, suppliers)
