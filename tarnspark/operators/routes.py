@@ -60,8 +60,9 @@ def evenly(points: DataFrame, keys: list[str], spacing: float, most: int, *, who
     high = F.when(c("i") == c("last"), c("n") - 1).otherwise(place(c("end")))
     d = d.withColumn("k", F.explode(F.when(low <= high, F.sequence(low.cast("long"), high.cast("long")))))
     target = c("total") * c("k") / (c("n") - 1) if whole else F.least(c("total"), c("k") * spacing)
-    d = d.withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (target - c("start")) / c("size"))))
-    return d.select(*keys, c("k").alias("i"), *[(c(a) + (c(f"next_{a}") - c(a)) * c("t")).alias(a) for a in ("x", "y")], *[F.when(c("t") < 0.5, c(a)).otherwise(c(f"next_{a}")).alias(a) for a in attributes])
+    # Rounding decides between two segments beyond a bend: a place is taken as in the SQL, multiplied before it is divided.
+    d = d.withColumn("along", F.greatest(F.lit(0.0), F.least(c("size"), target - c("start"))))
+    return d.select(*keys, c("k").alias("i"), *[(c(a) + (c(f"next_{a}") - c(a)) * c("along") / c("size")).alias(a) for a in ("x", "y")], *[F.when(c("along") / c("size") < 0.5, c(a)).otherwise(c(f"next_{a}")).alias(a) for a in attributes])
 
 
 def differentiated(points: DataFrame, keys: list[str]) -> DataFrame:

@@ -50,3 +50,11 @@ def test_wrong_direction_beyond_a_bend(spark, tmp_path):
         if 0 <= round(y) <= 99:
             events.append((7 * (key // 5) + key % 5, round(x, 2), round(y)))
     assert not differing(spark, tmp_path, "m7_wrong_direction", lane_queries, events, suppliers)
+
+
+def test_start_lanes_beyond_a_bend(spark, tmp_path):
+    """Poses 1 m and more above a lane's bend, turned so that one of its segments is within a right angle and the other is not."""
+    draw = random.Random(7)
+    suppliers = [(draw.choice((0, 1, 2, 3)), round(2 * draw.randint(0, 4000) + draw.uniform(1.2, 2.0), 2) if i % 5 == 0 else draw.randint(0, 999) + 0.0) for i in range(5 * 400)]
+    events = [(7 * scene + i, x, k) for scene in range(400) for i, at in enumerate((33.33, 33.34)) for x, k in ((at, 5), (round(draw.uniform(20, 80), 2), draw.randint(0, 99)))]
+    assert not differing(spark, tmp_path, "r2_routes", route_queries, events, suppliers)
