@@ -122,7 +122,7 @@ def m6_logged_states(s: SparkSession, d: str) -> DataFrame:
     out = ego.select(*key, "x", "y", "v", "a_lon", F.abs("yaw_rate").alias("yaw_rate"), "jerk")  # an exact half turn has no sign
     out = out.join(logged.off_road(ego, areas(s, d)), key, "left").join(logged.collisions(ego, others), key, "left").join(scene.time_to_collision(boxed, others), key)
     turned = lanes.wrong_direction(ego.withColumnRenamed("step", "point_id"), road(s, d)).withColumnRenamed("point_id", "step")
-    return _rounded(out.join(turned, key), 4)
+    return _rounded(out.join(turned, key), 4, signed=("a_lon", "jerk"))
 
 
 def r17_logged_metrics(s: SparkSession, d: str) -> DataFrame:

@@ -17,8 +17,10 @@ SPLIT_DAY = 18
 RING = [(0.0, 0.0), (150.0, 0.0), (150.0, 40.0), (60.0, 40.0), (60.0, 80.0), (0.0, 80.0)]
 
 
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[(F.round(c, digits).alias(c) if t == "double" else F.col(c)) for c, t in df.dtypes])
+def _rounded(df: DataFrame, digits: int = 6, signed: tuple[str, ...] = ()) -> DataFrame:
+    """df with its doubles rounded; in the columns signed a zero keeps the sign of what was rounded to it, as in DuckDB."""
+    near = lambda c: F.when(F.round(c, digits) == 0, F.col(c) * 0.0).otherwise(F.round(c, digits)) if c in signed else F.round(c, digits)
+    return df.select(*[(near(c).alias(c) if t == "double" else F.col(c)) for c, t in df.dtypes])
 
 
 def _states(s: SparkSession, d: str) -> DataFrame:
